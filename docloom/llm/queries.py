@@ -5,14 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import media, sharding
+from docloom.llm import bpe, langid, lines, media, neardup, sharding, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_vocabulary() -> str:
+    """The public word-end BPE file of this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many and which of them are later copies of repeated runs, and the text that stays."""
+    found = lines.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_table(_read(spark, sf_dir, "documents"), word_vocabulary(), with_ids=False)
+
+
+def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), words=4)
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_digests(_read(spark, sf_dir, "documents"))
 
@@ -21,9 +47,19 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_read(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return langid.identify(documents, langid.fit(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_bpe": op4_bpe,
+    "op5_superminhash": op5_superminhash,
+    "op6_url_filters": op6_url_filters,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op9_sampled_splitters": op9_sampled_splitters,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}

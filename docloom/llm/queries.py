@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, langid, lines, media, neardup, sharding, urls
+from docloom.llm import bpe, decontaminate, langid, lines, media, neardup, sharding, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return toxicity.severity(documents, toxicity.fit(documents, _read(spark, sf_dir, "labels")))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(_read(spark, sf_dir, "documents"), word_vocabulary(), with_ids=False)
 
@@ -43,6 +52,10 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_digests(_read(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_read(spark, sf_dir, "documents"))
 
@@ -54,10 +67,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_superminhash": op5_superminhash,
     "op6_url_filters": op6_url_filters,
     "op7_mpeg_audio": op7_mpeg_audio,
+    "op8_decontamination": op8_decontamination,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_language_id": op10_language_id,
 }

@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from docloom.plans import joins_q, projection_q, quality_q, search_q, text_q, tree_q  # noqa: F401
+from docloom.plans.base import ORACLES, QUERIES  # noqa: F401

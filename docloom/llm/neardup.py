@@ -4,11 +4,12 @@ A document is the set of its word shingles. SuperMinHash draws a random permutat
 each element step by step, adds the step's number to a fresh uniform value, and stops as soon as no slot can fall
 further; ranks of one element are correlated, which lowers the variance against independent hashes.
 
-Texts with equal sets are one node from the start. Bands of the signature put nodes into buckets; instead of all
-pairs of a bucket, nodes are checked against leaders, and the links found are grouped. What is left are buckets
-whose nodes are in several groups: small ones are compared pairwise across groups, the nodes of large ones are
-joined exactly by their rarest shingles (a pair with the similarity must share one of them). Every link between
-nodes that meet in a bucket is thus checked or already implied.
+Texts with equal sets are one node from the start. Bands of the signature put nodes into buckets. Instead of all
+pairs of a bucket, its nodes are compared with a leader, and the links found are grouped. What is left are buckets
+whose nodes are in several groups. Small ones are compared pairwise across groups. In large ones two nodes can only
+link by shingles they share outside the leader's set, which a join on the rarest of these finds, or by their parts
+inside it, which the sizes already counted bound. Every link between nodes that meet in a bucket is thus compared
+or already implied, and no group is ever expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -162,64 +163,87 @@ def _node_sets(documents: DataFrame, wanted: DataFrame, words: int, scratch: Scr
     return scratch.keep(found, "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose sets have denominator * intersection >= numerator * union."""
+def _compared(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b, n_a, n_b, common: the sizes of both sets and of their intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            common = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                if denominator * min(len(p), len(q)) < numerator * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([p, q])
+                both = np.concatenate([np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)])
                 both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(denominator * common >= numerator * (len(p) + len(q) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                common.append(int((both[1:] == both[:-1]).sum()))
+            kept = batch.select(["a", "b", "n_a", "n_b"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(common, pa.int64())], ["a", "b", "n_a", "n_b", "common"])
 
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"), F.col("n").alias(f"n_{x}"))
-    sizes = sets.select("node", "n")
-    fit = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-    fit = fit.filter(F.least("n_a", "n_b") * denominator >= F.greatest("n_a", "n_b") * numerator).select("a", "b")
-    joined = fit.join(side("a"), "a").join(side("b"), "b")
-    return scratch.keep(joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary"), "links")
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return scratch.keep(joined.mapInArrow(run, "a binary, b binary, n_a long, n_b long, common long"), "compared")
+
+
+def _alike(numerator: int, denominator: int, common: Column, n_a: Column, n_b: Column) -> Column:
+    return common * denominator >= (n_a + n_b - common) * numerator
+
 
+def _sizes_fit(numerator: int, denominator: int, n_a: Column, n_b: Column) -> Column:
+    return F.least(n_a, n_b) * denominator >= F.greatest(n_a, n_b) * numerator
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
+def _leaders(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, hub: of each bucket the node that meets most others in all its buckets.
 
-def _led(members: DataFrame, salt: Column) -> DataFrame:
-    """Distinct pairs of a bucket's leader (least salted hash) and its other members."""
-    leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", salt).alias("h"), "node")).alias("first")).select("key", F.col("first.node").alias("leader"))
-    return members.join(leaders.hint("merge"), "key").filter("leader <> node").select(*_ordered(F.col("leader"), F.col("node"))).distinct()
+    Copies of one text differ from it less than from each other, so the text itself leads wherever it is there.
+    """
+    central = scratch.keep(members.groupBy("node").agg(F.sum("size").alias("weight")), "central")
+    first = members.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("first"))
+    return scratch.keep(first.select("key", F.col("first.node").alias("hub")), "leaders")
 
 
-def _prefix_pairs(members: DataFrame, sets: DataFrame, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
-    """Pairs of nodes in different groups that share one of their rarest shingles; no pair with the similarity is missed.
+def _sharing_beside_hub(hubbed: DataFrame, sets: DataFrame, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
+    """Pairs of a hub's nodes, in different groups, that share one of their rarest shingles outside the hub's set.
 
-    Of n shingles, ordered alike for all nodes, two sets with the similarity agree in one of the first
-    n - ceil(similarity * n) + 1.
+    If two sets with the similarity share a shingle outside the hub's, then one of the first
+    n - ceil(similarity * n) + 1 of either, in an order that has those outside first, the rarest foremost.
     """
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["hub", "node", "label", "n", "token"]
         for batch in batches:
-            for node, group, packed in zip(batch.column("node").to_pylist(), batch.column("label").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                s = np.frombuffer(packed, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(s), pa.binary()), pa.array([group] * len(s), pa.binary()), pa.array(s), pa.array(np.full(len(s), len(s)))], ["node", "label", "token", "n"])
-
-    nodes = members.select("node", "label").distinct()
-    exploded = scratch.keep(nodes.join(sets.select("node", "shingles"), "node").mapInArrow(tokens, "node binary, label binary, token long, n long"), "tokens")
-    frequent = scratch.keep(exploded.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
-    rarest = Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "token")
-    ranked = exploded.join(frequent, "token", "left").withColumn("at", F.row_number().over(rarest))
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                rest = [np.setdiff1d(np.frombuffer(y.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.int64), assume_unique=True) for x, y in zip(part.column("set_hub"), part.column("set_node"), strict=True)]
+                rows = pa.array(np.repeat(np.arange(len(rest)), [len(r) for r in rest]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in names[:4]), pa.array(np.concatenate(rest))], names)
+
+    both = hubbed.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("set_hub")), "hub").join(sets.select("node", F.col("shingles").alias("set_node")), "node")
+    tokens = scratch.keep(both.select("hub", "node", "label", "n", "set_hub", "set_node").mapInArrow(outside, "hub binary, node binary, label binary, n long, token long"), "outside")
+    frequent = scratch.keep(tokens.groupBy("hub", "token").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
+    rarest = Window.partitionBy("hub", "node").orderBy(F.coalesce("df", F.lit(1)), "token")
+    ranked = tokens.join(frequent, ["hub", "token"], "left").withColumn("at", F.row_number().over(rarest))
     need = F.ceil(F.col("n") * numerator / denominator)
-    prefix = scratch.keep(ranked.filter((F.col("at") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("token", "node", "label", "n"), "prefixes")
-    other = prefix.toDF("token", "node_b", "label_b", "n_b")
-    met = prefix.join(other, (prefix.token == other.token) & (F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b")) & (F.least("n", "n_b") * denominator >= F.greatest("n", "n_b") * numerator))
-    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    first = scratch.keep(ranked.filter((F.col("at") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("hub", "token", "node", "label", "n"), "prefixes")
+    other = first.toDF("hub", "token", "node_b", "label_b", "n_b")
+    met = first.join(other, ["hub", "token"]).filter((F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b")) & _sizes_fit(numerator, denominator, F.col("n"), F.col("n_b")))
+    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+
+
+def _alike_inside_hub(hubbed: DataFrame, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
+    """Pairs of a hub's nodes, in different groups, that could reach the similarity by shingles of the hub's set alone.
+
+    Two sets share at most the smaller of their parts inside the hub's set then. Nodes with equal size and part are
+    one class; classes are held against each other, and only fitting ones are opened.
+    """
+    inside = hubbed.filter(F.col("common") * denominator >= F.col("n") * numerator)
+    classes = scratch.keep(inside.groupBy("hub", "n", "common").agg(F.min("label").alias("low"), F.max("label").alias("high")), "classes")
+    other = classes.toDF("hub", "n_b", "common_b", "low_b", "high_b")
+    reach = _alike(numerator, denominator, F.least("common", "common_b"), F.col("n"), F.col("n_b"))
+    several = (F.col("low") != F.col("high")) | (F.col("low_b") != F.col("high_b")) | (F.col("low") != F.col("low_b"))
+    ordered = F.struct("n", "common") <= F.struct("n_b", "common_b")
+    fitting = scratch.keep(classes.join(other, "hub").filter(ordered & reach & several).select("hub", "n", "common", "n_b", "common_b"), "fitting")
+    left = fitting.join(inside.select("hub", "n", "common", F.col("node").alias("x"), F.col("label").alias("label_x")), ["hub", "n", "common"])
+    right = inside.select("hub", F.col("n").alias("n_b"), F.col("common").alias("common_b"), F.col("node").alias("y"), F.col("label").alias("label_y"))
+    met = left.join(right, ["hub", "n_b", "common_b"]).filter("label_x <> label_y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, small: int = 24) -> DataFrame:
@@ -247,19 +271,27 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     sets = _node_sets(documents, wanted, words, scratch)
-    links, several, grouped = None, members, None
-    for salt in (F.lit(0), F.col("key")):
-        pairs = _led(several.select("key", "node"), salt)
-        found = _verified(pairs, sets, numerator, denominator, scratch)
-        links = found if links is None else links.unionByName(found)
-        grouped = components(links, scratch)
-        several = _in_several_groups(members, grouped, scratch)
+    leaders = _leaders(members, scratch)
+    led = members.join(leaders, "key").filter("hub <> node")
+    pairs = scratch.keep(led.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    met = _compared(pairs, sets, scratch)
+    alike = _alike(numerator, denominator, F.col("common"), F.col("n_a"), F.col("n_b"))
+    links = met.filter(alike).select("a", "b")
+    several = _in_several_groups(members, components(links, scratch), scratch)
+
     few = several.filter(F.col("size") <= small)
     other = few.select("key", F.col("node").alias("node_b"), F.col("label").alias("label_b"))
     across = few.join(other, "key").filter("node < node_b and label <> label_b").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-    rare = _prefix_pairs(several.filter(F.col("size") > small), sets, numerator, denominator, scratch)
-    pairs = scratch.keep(across.unionByName(rare).distinct(), "pairs")
-    links = links.unionByName(_verified(pairs, sets, numerator, denominator, scratch))
+    parts = met.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_b").alias("n"), "common")
+    hubbed = several.filter(F.col("size") > small).join(leaders, "key").select("hub", "node", "label").distinct().join(parts, ["hub", "node"])
+    hubbed = scratch.keep(hubbed, "hubbed")
+    beside = _sharing_beside_hub(hubbed, sets, numerator, denominator, scratch)
+    inside = _alike_inside_hub(hubbed, numerator, denominator, scratch)
+    sizes = sets.select("node", "n")
+    pairs = across.unionByName(beside).unionByName(inside).distinct()
+    pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(_sizes_fit(numerator, denominator, F.col("n_a"), F.col("n_b")))
+    pairs = scratch.keep(pairs.select("a", "b"), "pairs")
+    links = scratch.keep(links.unionByName(_compared(pairs, sets, scratch).filter(alike).select("a", "b")), "links")
     grouped = components(links, scratch)
 
     least = grouped.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
@@ -275,3 +307,13 @@ def _in_several_groups(members: DataFrame, grouped: DataFrame, scratch: Scratch)
     labelled = scratch.keep(members.join(grouped, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")), "labelled")
     mixed = scratch.keep(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"), "mixed")
     return scratch.keep(labelled.join(mixed, "key"), "several")
+
+
+def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of df that `near_duplicates` keeps: of every group the one with the least id; columns stay as they are.
+
+    Rows that agree in id and text fare alike; rows that share an id with a kept and a dropped text stay.
+    """
+    found = near_duplicates(df, id_column, text_column, words, similarity)
+    dropped = found.groupBy(F.col("doc_id").alias("__dropped")).agg(F.bool_or("kept").alias("any")).filter("not any").select("__dropped")
+    return df.join(dropped, F.col(id_column).eqNullSafe(F.col("__dropped")), "left_anti")

@@ -35,6 +35,9 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+_NEVER = 1 << 62
+
+
 class Memo(dict):
     """A bounded memo of a function of one argument; when full it starts anew."""
 
@@ -56,26 +59,27 @@ class WordBpe:
     are the words; other kinds of file are refused.
     """
 
-    def __init__(self, definition: str, memo: int = 300_000):
+    def __init__(self, definition: str, memo: int = 600_000):
         spec = json.loads(definition)
         model, steps = spec["model"], [x["type"] for x in spec["normalizer"].get("normalizers", [])]
         if steps != ["NFC", "Replace", "Lowercase"] or model["type"] != "BPE" or model.get("byte_fallback") or spec.get("decoder"):
             raise ValueError("not a word-end BPE file of the known kind")
         self.end = model["end_of_word_suffix"]
         self.ids = dict(model["vocab"])
+        if max(self.ids.values()) >= 1 << 16:
+            raise ValueError("ids of more than 16 bits")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern.replace(r"\s", SPACE))
         self.split_plain = re.compile(pattern.replace(r"\s", SPACE).replace(r"\p{L}", r"a-z\xdf-\xf6\xf8-\u017f").replace(r"\p{N}", "0-9"))
         self.spaces = re.compile(f"[{SPACE}]+")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.names = {i: x for x, i in (self.ids | self.special).items()}
+        by_id = {i: x for x, i in (self.ids | self.special).items()}
+        self.names = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self.characters = byte_characters()
-        self.ranks = {tuple(x) if isinstance(x, list) else tuple(x.split(" ")): (rank, self.ids["".join(x) if isinstance(x, list) else x.replace(" ", "")]) for rank, x in enumerate(model["merges"])}
-        by_id = {}
-        for (a, b), (rank, new) in self.ranks.items():
-            by_id[self.ids[a], self.ids[b]] = (rank, new)
-        self.merges = by_id
+        pairs = (x if isinstance(x, list) else x.split(" ") for x in model["merges"])
+        # a pair of ids as one number, and its rank with the new id below it: the least such number is the next merge
+        self.merges = {self.ids[a] << 16 | self.ids[b]: rank << 16 | self.ids[a + b] for rank, (a, b) in enumerate(pairs)}
         back = {c: b for b, c in enumerate(self.characters)}
         self.joined = set()
         for token in self.ids:
@@ -90,53 +94,68 @@ class WordBpe:
         at = [0, *(i for i in range(1, len(word)) if (word[i - 1], word[i]) not in self.joined), len(word)]
         return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def _merge(self, fragment: tuple[bytes, bool]) -> tuple[int, ...]:
+    def _merge(self, fragment: tuple[bytes, bool]) -> list[int]:
         """Merge by rank, leftmost first, until no pair is left to merge."""
         data, last = fragment
         names = [self.characters[b] for b in data]
         if last:
             names[-1] += self.end
         ids = [self.ids[x] for x in names]
-        if len(ids) == 1:
-            return tuple(ids)
-        # a linked list of units and a heap of (rank, place); stale heap entries are recognised by their units
+        if len(ids) > 256:
+            return self._merge_long(ids)
+        find = self.merges.get
+        ranks = [find(a << 16 | b, _NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least == _NEVER:
+                break
+            i = ranks.index(least)
+            ids[i : i + 2] = [least & 0xFFFF]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = find(ids[i] << 16 | ids[i + 1], _NEVER)
+            if i:
+                ranks[i - 1] = find(ids[i - 1] << 16 | ids[i], _NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same by a linked list and a heap of (merge, place); stale entries are known by their units."""
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         alive = [True] * len(ids)
-        heap = []
+        heap: list[tuple[int, int, int]] = []
 
         def push(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j < len(ids):
-                found = self.merges.get((ids[i], ids[j]))
-                if found:
-                    heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+            if i >= 0 and after[i] < len(ids):
+                key = ids[i] << 16 | ids[after[i]]
+                if key in self.merges:
+                    heapq.heappush(heap, (self.merges[key], i, key))
 
         for i in range(len(ids) - 1):
             push(i)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            merge, i, key = heapq.heappop(heap)
             j = after[i]
-            if not alive[i] or ids[i] != a or j >= len(ids) or ids[j] != b:
+            if not alive[i] or j >= len(ids) or ids[i] << 16 | ids[j] != key:
                 continue
-            ids[i], alive[j], after[i] = new, False, after[j]
+            ids[i], alive[j], after[i] = merge & 0xFFFF, False, after[j]
             if after[j] < len(ids):
                 before[after[j]] = i
             push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return tuple(x for x, keep in zip(ids, alive, strict=True) if keep)
+            push(before[i])
+        return [x for x, keep in zip(ids, alive, strict=True) if keep]
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
+        """A word's ids, packed as 32-bit integers."""
         parts = self.cuts(word.encode())
-        return tuple(chain.from_iterable(self.fragments[part, i == len(parts) - 1] for i, part in enumerate(parts)))
+        return array("I", chain.from_iterable(self.fragments[part, i == len(parts) - 1] for i, part in enumerate(parts))).tobytes()
 
-    def _encode_plain(self, text: str, ids: array) -> None:
+    def _encode_plain(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text):
             words = self.split_plain.findall(self.spaces.sub(" ", unicodedata.normalize("NFC", text)).lower())
         else:
             text = self.spaces.sub(" ", unicodedata.normalize("NFC", text))
             words = self.split.findall(text.replace("Σ", "σ").lower())
-        ids.extend(chain.from_iterable(map(self.words.__getitem__, words)))
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str) -> array:
         ids = array("I")
@@ -145,7 +164,7 @@ class WordBpe:
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                self._encode_plain(part, ids)
+                ids.frombytes(self._encode_plain(part))
         return ids
 
     def decode(self, ids: array) -> str:

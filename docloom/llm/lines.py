@@ -118,10 +118,10 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     and text count as one copy and fare alike; other columns stay as they are, whatever their names (a column
     called `lines` or `removed` is replaced).
     """
-    cuts = later_copies(df, id_column, text_column, min_words)
+    cuts = later_copies(df, id_column, text_column, min_words).toDF("__cut_doc", "__cut_part", "removed")
     names = [c for c in df.columns if c not in ("lines", "removed")]
     left = df.select(*[F.col(f"`{c}`") for c in names]).withColumns({"__part": F.xxhash64(F.col(text_column)), "__doc": F.col(id_column).cast("long")})
-    joined = left.join(cuts, (F.col("__part") == F.col("part")) & F.col("__doc").eqNullSafe(F.col("doc")), "left")
+    joined = left.join(cuts, (F.col("__part") == F.col("__cut_part")) & F.col("__doc").eqNullSafe(F.col("__cut_doc")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     split = F.split(F.col(text_column), "\n", -1)
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("removed", i)), "\n")

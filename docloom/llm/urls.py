@@ -102,9 +102,8 @@ def model_table(labelled: DataFrame, scratch: Scratch, order: int = 4) -> DataFr
         probability = {f"p_{c}": F.when(F.col(f"all_{c}") > 0, blend[c]).otherwise(F.col(f"below_{c}")) for c in classes}
         kept = scratch.keep(joined.select("gram", *[p.alias(n) for n, p in probability.items()]), "probabilities")
         below = kept.select("gram", *[F.col(f"p_{c}").alias(f"below_{c}") for c in classes])
-    # a character that a class never showed at all has probability 1 / alphabet there, so neither is zero
-    floor = F.lit(0.5 / alphabet)
-    return kept.select("gram", F.log2(F.greatest("p_accepted", floor * 1e-6) / F.greatest("p_rejected", floor * 1e-6)).alias("llr"))
+    # neither probability is 0: each context leaves something to the shorter one, the shortest to the whole alphabet
+    return kept.select("gram", F.log2(F.col("p_accepted") / F.col("p_rejected")).alias("llr"))
 
 
 def calibrated_threshold(scored: DataFrame) -> float:

@@ -154,7 +154,7 @@ def expand_articles(article: Column, most: int) -> Column:
 
 def request_fragments(text: Column) -> Column:
     """A request split at its connectives, commas and semicolons; parts of one or two letters are dropped."""
-    return F.filter(F.transform(F.split(text, r"(?i)\s+(?:et|puis|ainsi que|avec)\s+|[,;]|\bet/ou\b"), F.trim), lambda x: F.length(x) > 2)
+    return F.filter(F.transform(F.split(text, r"(?i)\s+(?:et|puis|ainsi que|avec)\s+|[,;]|\bet/ou\b"), lambda x: F.trim(x)), lambda x: F.length(x) > 2)
 
 
 def browser_words(text: Column, stop_words: tuple[str, ...]) -> Column:

@@ -1,8 +1,9 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH, with exact edit verification.
 
 Texts and items are compared in lower case with single spaces. An item of n characters tolerates k = ratio * n
-edits. Cut into k + 1 pieces, one piece of it stands unchanged in every passage within k edits, so the pieces say
-where item-sized windows of a document are worth embedding; nothing is lost by leaving out the others.
+edits. Cut into k + 1 pieces, one piece of it stands unchanged in every passage within k edits, and of many pieces
+more than a third on average, so the pieces say where item-sized windows of a document are worth embedding. An
+item of PIECES or more must show two of its pieces at nearly the right distance; with fewer, one is enough.
 
 CGK's random walk reads a string with random pauses that depend on the character under the head. Two strings that
 are few edits apart fall into step again after each edit, so their walks differ in few places: edit distance
@@ -25,6 +26,8 @@ from docloom.llm.common import pieces
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 PAD = 255
+#: From so many pieces on, one unchanged piece alone is no reason to look closer.
+PIECES = 8
 
 
 def normalized(text: str) -> str:
@@ -75,31 +78,31 @@ class Walks:
         return out.T
 
 
-def edits_inside(pattern: str, text: str, most: int) -> tuple[int, int] | None:
-    """The least edit distance of pattern to a substring of text and the substring's end, if at most `most`.
+def edits_near(patterns: np.ndarray, lengths: np.ndarray, texts: np.ndarray, reach: int) -> np.ndarray:
+    """For each row the least edit distance of its pattern to a substring of its text.
 
-    Bit-parallel dynamic programming (Myers 1999) with whole columns in one Python integer.
+    patterns: rows of codes, `lengths` of them used; texts: rows of codes that begin `reach` before the place where
+    the pattern is looked for and go on `reach` beyond its end (unused places hold a code of their own). The table
+    is kept by diagonals, for all rows at once; a diagonal more than `reach` off the allowed starts isn't.
     """
-    n = len(pattern)
-    full, top = (1 << n) - 1, 1 << (n - 1)
-    masks: dict[str, int] = {}
-    for i, c in enumerate(pattern):
-        masks[c] = masks.get(c, 0) | 1 << i
-    up, down, distance, best = full, 0, n, (most + 1, 0)
-    for j, c in enumerate(text):
-        equal = masks.get(c, 0)
-        vertical = equal | down
-        horizontal = (((equal & up) + up) ^ up) | equal
-        plus, minus = down | (full & ~(horizontal | up)), up & horizontal
-        if plus & top:
-            distance += 1
-        elif minus & top:
-            distance -= 1
-        plus, minus = plus << 1 & full, minus << 1 & full
-        up, down = minus | (full & ~(vertical | plus)), plus & vertical
-        if distance < best[0]:
-            best = (distance, j + 1)
-    return best if best[0] <= most else None
+    n, width = patterns.shape[1], 4 * reach + 1
+    steps = np.arange(width, dtype=np.int16)
+    big = np.int16(10_000)
+    padded = np.full((len(texts), reach + n + width), -1, np.int64)
+    padded[:, reach : reach + texts.shape[1]] = texts
+    row = np.where(steps >= reach, 0, big).astype(np.int16) + np.zeros((len(texts), 1), np.int16)
+    best = np.full(len(texts), big)
+    for i in range(1, n + 1):
+        differ = padded[:, i - 1 : i - 1 + width] != patterns[:, i - 1 : i]
+        row += differ
+        row[:, :-1] = np.minimum(row[:, :-1], (row[:, 1:] - differ[:, 1:]) + 1)
+        row -= steps
+        np.minimum.accumulate(row, axis=1, out=row)
+        row += steps
+        ends = lengths == i
+        if ends.any():
+            best[ends] = row[ends].min(axis=1)
+    return best
 
 
 @dataclass
@@ -117,11 +120,12 @@ class Plan:
     places: list[np.ndarray]
     keys: np.ndarray
     lengths: np.ndarray
+    patterns: np.ndarray
     tables: int
     bits: int
 
     @classmethod
-    def of(cls, items: list[tuple[int | None, str]], ratio: float, recall: float, bits: int = 4, walks: int = 2, most_tables: int = 128, seed: int = 11) -> Plan:
+    def of(cls, items: list[tuple[int | None, str]], ratio: float, recall: float, bits: int = 4, walks: int = 3, most_tables: int = 256, seed: int = 11) -> Plan:
         ids, texts = [i for i, _ in items], [t for _, t in items]
         lengths = np.array([len(t) for t in texts])
         edits = (ratio * lengths).astype(int)
@@ -137,7 +141,9 @@ class Plan:
         rng = np.random.default_rng(seed)
         walk = Walks(walks, int(2 * lengths.max()) + 1, seed)
         shares = rng.random((most_tables, bits))
-        plan = cls(ids, texts, edits, gram, np.array(hashes, _U)[order], np.array(owners)[order], np.array(offsets)[order], walk, [], np.empty(0), lengths, most_tables, bits)
+        plan = cls(ids, texts, edits, gram, np.array(hashes, _U)[order], np.array(owners)[order], np.array(offsets)[order], walk, [], np.empty(0), lengths, np.full((len(texts), int(lengths.max())), -2, np.int64), most_tables, bits)
+        for i, t in enumerate(texts):
+            plan.patterns[i, : len(t)] = _codes(t)
         plan.places = [shares for _ in range(walks)]
         plan.keys = plan._sampled(*plan._joined(texts), np.arange(len(texts)))
         plan.tables = plan._tables_for(recall, rng)
@@ -199,6 +205,9 @@ class Plan:
         bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in clean])])
         text = np.searchsorted(bounds, at, "right") - 1
         start = np.maximum(at - self.gram_offset[gram], bounds[text])
+        if not len(start):
+            return []
+        text, item, start = self._supported(text, item, start, self.gram_offset[gram])
         if not len(start):
             return []
         windows = np.unique(np.stack([text, item, start]), axis=1)
@@ -208,15 +217,32 @@ class Plan:
         for a in range(0, len(order), 4096):
             text, item, start = windows[:, order[a : a + 4096]]
             meets = (self._sampled(classes, start, item) == self.keys[item]).any(axis=1)
-            for t, i, s in sorted(zip(text[meets].tolist(), item[meets].tolist(), start[meets].tolist(), strict=True)):
-                if best.get((t, i)) == 0:
-                    continue
-                k, local = int(self.edits[i]), s - int(bounds[t])
-                found = edits_inside(self.texts[i], clean[t][max(0, local - k) : local + len(self.texts[i]) + k], k)
-                if found:
-                    best[t, i] = min(found[0], best.get((t, i), found[0]))
+            for b in range(0, int(meets.sum()), 256):
+                self._verify(codes, bounds, *(x[meets][b : b + 256] for x in (text, item, start)), best)
         return [(t, i, e) for (t, i), e in sorted(best.items())]
 
+    def _supported(self, text: np.ndarray, item: np.ndarray, start: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows beside which another piece of the same item begins a window, at most its edits away."""
+        order = np.lexsort((offset, start, item, text))
+        text, item, start, offset = text[order], item[order], start[order], offset[order]
+        keep = self.edits[item] + 1 < PIECES
+        for step in (1, 2, 3):
+            near = (text[step:] == text[:-step]) & (item[step:] == item[:-step]) & (start[step:] - start[:-step] <= self.edits[item[step:]]) & (offset[step:] != offset[:-step])
+            keep[step:] |= near
+            keep[:-step] |= near
+        return text[keep], item[keep], start[keep]
+
+    def _verify(self, codes: np.ndarray, bounds: np.ndarray, text: np.ndarray, item: np.ndarray, start: np.ndarray, best: dict[tuple[int, int], int]) -> None:
+        """Note the least edits of the windows' items in the text around them, where they are few enough."""
+        reach, longest = max(1, int(self.edits[item].max())), int(self.lengths[item].max())
+        at = start[:, None] - reach + np.arange(longest + 2 * reach)
+        inside = (at >= bounds[text][:, None]) & (at < bounds[text + 1][:, None] - 1)
+        around = np.where(inside, codes[np.clip(at, 0, len(codes) - 1)], -1).astype(np.int64)
+        found = edits_near(self.patterns[item, :longest], self.lengths[item], around, reach)
+        for t, i, e in zip(text.tolist(), item.tolist(), found.tolist(), strict=True):
+            if e <= self.edits[i]:
+                best[t, i] = min(e, best.get((t, i), e))
+
 
 def item_blocks(items: DataFrame, id_column: str, text_column: str, most_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """The normalised items in blocks of at most most_chars characters, read one by one; empty and null items have none."""

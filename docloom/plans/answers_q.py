@@ -180,3 +180,36 @@ def e31(spark, sf):
     s = Tables(spark, sf).conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.trim("text").alias("t")))), lambda x: x["t"]).alias("a"))
     kept = F.size(F.slice(F.filter("a", lambda x: (x != "") & (F.length(x) <= 200)), 1, 3))
     return s.select("conv_id", kept.alias("kept"), (F.size("a") - kept).alias("dropped"))
+
+
+@query("e10_rejected_founder", "WITH f AS (SELECT l_orderkey, bool_or(l_returnflag = 'R' AND l_tax > 0.04) AS correctable, bool_or(l_returnflag IN ('A', 'R') AND l_linestatus = 'F') AS based FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey FROM f WHERE correctable AND NOT based")
+def e10(spark, sf):
+    """A correctable rejected claim cites a founding block, and nothing else founds the decision."""
+    flag = F.col("l_returnflag")
+    f = Tables(spark, sf).lineitem.groupBy("l_orderkey").agg(F.bool_or((flag == "R") & (F.col("l_tax") > 0.04)).alias("correctable"), F.bool_or(flag.isin("A", "R") & (F.col("l_linestatus") == "F")).alias("based"))
+    return f.filter("correctable and not based").select("l_orderkey")
+
+
+@query("e19_blocks_of_node", f"WITH {NODES}, {BLOCKS}, own AS (SELECT node_id, block_id, 0 AS part FROM blocks WHERE node_id NOT LIKE 'c%' AND kind <> 'paragraph'), leaf AS (SELECT n.parent_id AS node_id, min(b.block_id) AS block_id, 1 AS part FROM nodes n JOIN blocks b ON b.node_id = n.node_id WHERE n.level = 3 GROUP BY n.node_id, n.parent_id HAVING count(*) = 1 AND max(b.kind) <> 'paragraph') SELECT node_id, block_id, part FROM own UNION ALL SELECT node_id, block_id, part FROM leaf")
+def e19(spark, sf):
+    """A node's own citable blocks, then those of its children that hold one block only."""
+    t = Tables(spark, sf)
+    b = blocks(t)
+    own = b.filter(~F.col("node_id").startswith("c") & (F.col("kind") != "paragraph")).select("node_id", "block_id", F.lit(0).alias("part"))
+    single = b.groupBy("node_id").agg(F.count("*").alias("n"), F.min("block_id").alias("block_id"), F.max("kind").alias("kind")).filter("n = 1 and kind <> 'paragraph'")
+    leaf = single.join(nodes(t).filter("level = 3").select("node_id", "parent_id"), "node_id").select(F.col("parent_id").alias("node_id"), "block_id", F.lit(1).alias("part"))
+    return own.unionByName(leaf)
+
+
+@query("e28_without_circular_labels", "SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_name)), ',') AS labels FROM part WHERE NOT (contains(p_name, 'ring') AND p_size < 20) GROUP BY p_brand")
+def e28(spark, sf):
+    """Labels without those that only name the coverage itself."""
+    kept = Tables(spark, sf).part.filter(~(F.contains("p_name", F.lit("ring")) & (F.col("p_size") < 20)))
+    return kept.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_name")), ",").alias("labels"))
+
+
+@query("e29_qualities_to_confirm", "WITH a AS (SELECT DISTINCT p_brand, split_part(p_name, ' ', 1) AS quality FROM part WHERE p_size > 40), asked AS (SELECT DISTINCT p_brand, split_part(p_name, ' ', 1) AS quality FROM part WHERE p_size < 4) SELECT p_brand, quality FROM a EXCEPT SELECT p_brand, quality FROM asked")
+def e29(spark, sf):
+    """Qualities that were said to hold and that haven't been asked about yet."""
+    part = Tables(spark, sf).part.select("p_brand", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("quality"), "p_size")
+    return part.filter("p_size > 40").select("p_brand", "quality").subtract(part.filter("p_size < 4").select("p_brand", "quality"))

@@ -303,3 +303,48 @@ def q9(spark, sf):
     n = F.size(tx.words(F.col("t")))
     motive = F.when(F.col("t") == "", "blank").when(F.length("t") > 400, "too long").when(n > 40, "too many words").when(n == 0, "no word").otherwise("admitted")
     return terms.groupBy(motive.alias("motive")).agg(F.count("*").alias("n"))
+
+
+@query("r16_target_definitions", f"WITH {_THESAURUS} SELECT c.grp, c.form FROM claims c JOIN owned o ON o.form = c.form AND o.owner = c.grp WHERE contains(' ' || c.form || ' ', ' ring ') OR contains(' ' || c.form || ' ', ' bolt ')")
+def r16(spark, sf):
+    """Of the forms that a group owns, those that define one of the wanted targets as a whole word."""
+    claimed = claims(Tables(spark, sf))
+    own = owned_forms(claimed).filter("owner is not null").select("form", F.col("owner").alias("grp"))
+    padded = F.concat(F.lit(" "), "form", F.lit(" "))
+    return claimed.join(own, ["grp", "form"]).filter(padded.contains(" ring ") | padded.contains(" bolt ")).select("grp", "form")
+
+
+@query(
+    "r20_answer_list",
+    """WITH s AS (SELECT conv_id, turn, CAST((CASE WHEN contains(lower(text), 'th') THEN 3 WHEN contains(role, 's') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(text), 'que') THEN 3 WHEN contains(role, 'us') THEN 1 ELSE 0 END) AS BIGINT) AS score FROM conversations),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS INT) AS pos FROM s WHERE score >= 3) SELECT conv_id, turn, score, pos FROM r WHERE pos <= 2""",
+)
+def r20(spark, sf):
+    """3 for a term in the question, else 1 for one in the answer; from 3 points on, two best."""
+    points = lambda term, mark: F.when(F.lower("text").contains(term), 3).when(F.col("role").contains(mark), 1).otherwise(0)
+    s = Tables(spark, sf).conversations.select("conv_id", "turn", (points("th", "s") + points("que", "us")).cast("long").alias("score")).filter("score >= 3")
+    return s.withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn"))).filter("pos <= 2")
+
+
+@query(
+    "r22_best_scenario",
+    "WITH s AS (SELECT p_brand, p_partkey, CAST(contains(p_name, 'ring') AS INT) + CAST(p_type = 'PROMO' AS INT) + CAST(p_size > 25 AS INT) AS hits FROM part) SELECT p_brand, arg_max(p_partkey, hits * 100000000 - p_partkey) AS best, max(hits) AS hits FROM s GROUP BY p_brand HAVING max(hits) >= 2",
+)
+def r22(spark, sf):
+    """The scenario with most hits, the first of equals, if it has at least two."""
+    hits = F.contains("p_name", F.lit("ring")).cast("int") + (F.col("p_type") == "PROMO").cast("int") + (F.col("p_size") > 25).cast("int")
+    s = Tables(spark, sf).part.select("p_brand", "p_partkey", hits.alias("hits"))
+    return s.groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(-F.col("hits"), "p_partkey")).alias("best"), F.max("hits").alias("hits")).filter("hits >= 2")
+
+
+@query(
+    "n29_nearest_themes",
+    f"""WITH {LINES}, h AS (SELECT source, doc_id, {N('line')} AS head FROM lines WHERE seq = 1), s AS (SELECT source, doc_id, CAST(contains(head, 'that') AS INT) + CAST(contains(head, 'tion') AS INT) + CAST(contains(head, 'ment') AS INT) AS score FROM h),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS INT) AS pos FROM s) SELECT source, doc_id, score, pos FROM r WHERE pos <= 5""",
+)
+def n29(spark, sf):
+    """Headings by how many terms they contain; five a source, filled up from the first ones where fewer have any."""
+    head = tx.normalize(F.col("line"))
+    score = sum((F.contains(F.col("head"), F.lit(x)).cast("int") for x in ("tion", "ment")), F.contains(F.col("head"), F.lit("that")).cast("int"))
+    s = lines(Tables(spark, sf)).filter("seq = 1").select("source", "doc_id", head.alias("head")).select("source", "doc_id", score.alias("score"))
+    return s.withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))).filter("pos <= 5")

@@ -78,4 +78,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+_LINES = """
+WITH l AS (
+  SELECT doc_id, CAST(unnest(generate_series(0, len(ls) - 1)) AS INT) AS pos, unnest(ls) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i
+  FROM (SELECT *, len(regexp_extract_all(line, '[^ \t-\r]+')) AS words FROM l) WHERE words > 0),
+w AS (
+  SELECT a.doc_id, a.i, k, md5(string_agg(b.line, chr(10) ORDER BY b.i)) AS key, list(b.pos ORDER BY b.i) AS places
+  FROM n a CROSS JOIN (VALUES (1), (2), (3), (4), (5)) v(k) JOIN n b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + k - 1
+  GROUP BY a.doc_id, a.i, k
+  HAVING count(*) = k AND sum(b.words) >= 5),
+f AS (SELECT k, key, min((doc_id, i)) AS origin FROM w GROUP BY k, key),
+cut AS (SELECT DISTINCT w.doc_id, unnest(places) AS pos FROM w JOIN f ON f.k = w.k AND f.key = w.key WHERE (w.doc_id, w.i) <> origin)
+SELECT l.doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(count(c.pos) AS BIGINT) AS n_removed,
+  coalesce(string_agg(CAST(c.pos AS VARCHAR), ',' ORDER BY c.pos) FILTER (c.pos IS NOT NULL), '') AS removed_lines,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (c.pos IS NULL), '')) AS kept_md5
+FROM l LEFT JOIN cut c ON c.doc_id = l.doc_id AND c.pos = l.pos GROUP BY l.doc_id
+"""
+
+_WARC = """
+WITH s AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
+m AS (SELECT sha, max(page_id) AS newest FROM s GROUP BY sha)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(s.sha, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM s JOIN m ON m.sha = s.sha
+"""
+
+_NEAR = """
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sh FROM t),
+e AS (SELECT doc_id, len(sh) AS n, hash(g) AS g FROM (SELECT doc_id, sh, unnest(sh) AS g FROM s)),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM c WHERE 100 * n >= 80 * (na + nb - n)),
+linked AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM reach r JOIN linked l ON l.a = r.b)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
+FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, sh
+"""
+
+#: The other queries rest on learned models, checksums or edit distances that SQL doesn't have.
+ORACLES: dict[str, str] = {"op1_line_dedup": _LINES, "op2_warc": _WARC, "op5_superminhash": _NEAR}

@@ -31,7 +31,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def telling_words(labelled: DataFrame, evidence: float = 20.0, most_words: int = 50_000) -> list[str]:
-    """Words that raise the share of toxic texts, from all labelled texts (toxic, text).
+    """Words that raise the share of toxic texts among labelled ones (toxic, text).
 
     A word's presence and the label are dependent with a likelihood ratio statistic (G) of at least `evidence`;
     chance words of a large vocabulary stay below it. At most `most_words` with the highest G reach the driver.
@@ -118,26 +118,28 @@ class OrdinalModel:
 
 
 def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> OrdinalModel:
-    """Words from all labelled texts, weights and cuts from a bounded sample of them.
+    """Fit on a bounded sample: at most about `most_rows` labelled documents.
 
-    The telling words' counts in at most about `most_rows` texts reach the driver. Learned from are documents whose
-    crc32(doc_id as text) mod 4 is not 2, so that the rest can tell the accuracy; of several labels of a document
-    the worst counts, null labels and ids don't.
+    The sample's ids and labels go to the tasks that read the documents, its words are counted there, and the
+    telling words' counts in its texts reach the driver. Learned from are documents whose crc32(doc_id as text)
+    mod 4 is not 2, so that the rest can tell the accuracy; of several labels of a document the worst counts, null
+    labels and ids don't.
     """
     known = labels.filter("doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 != 2").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    share = most_rows / max(1, known.count())
+    sample = known.filter(F.abs(F.xxhash64("doc_id") % 1_000_003) < share * 1_000_003) if share < 1 else known
     scratch = Scratch(documents.sparkSession, "toxicity")
-    labelled = scratch.keep(documents.select("doc_id", "text").filter("text is not null").join(known, "doc_id"), "labelled")
+    sample = F.broadcast(scratch.keep(sample, "sample"))  # most_rows rows of an id and a flag
+    labelled = documents.select("doc_id", "text").filter("text is not null").join(sample, "doc_id")
     words = telling_words(labelled.select("toxic", "text"))
     telling = labelled.sparkSession.sparkContext.broadcast(frozenset(words))
-    share = most_rows / max(1, labelled.count())
-    sample = labelled.filter(F.abs(F.xxhash64("doc_id") % 1_000_003) < share * 1_000_003) if share < 1 else labelled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             counts = [{w: n for w, n in word_counts(t).items() if w in telling.value} for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([list(c.keys()) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["toxic", "words", "times"])
 
-    got = sample.select("toxic", "text").mapInArrow(run, "toxic boolean, words array<string>, times array<int>").toArrow()
+    got = labelled.select("toxic", "text").mapInArrow(run, "toxic boolean, words array<string>, times array<int>").toArrow()
     rows = [(dict(zip(w, n, strict=True)), t) for t, w, n in zip(got["toxic"].to_pylist(), got["words"].to_pylist(), got["times"].to_pylist(), strict=True)]
     rows.sort(key=lambda r: (r[1], sorted(r[0].items())))
     return OrdinalModel.fit(rows, words)
@@ -149,8 +151,6 @@ def severity(documents: DataFrame, model: OrdinalModel, bound: float = 0.5, id_c
     Whole texts count. Null and empty texts and texts without a known word have score 0, which is the model's base
     rate; repeated rows stay; a model fitted without toxic rows gives severity 0; other columns are not read.
     """
-    grades = len(model.cuts)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             scores = np.array([model.score(word_counts(t)) if t else 0.0 for t in batch.column("text").to_pylist()])
@@ -159,5 +159,4 @@ def severity(documents: DataFrame, model: OrdinalModel, bound: float = 0.5, id_c
             columns = [np.round(above.sum(axis=1), 6), each.argmax(axis=1).astype("i4"), np.round(above[:, 0], 6), above[:, 0] >= bound]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
-    assert grades >= 1
     return documents.selectExpr(f"cast(`{id_column}` as long) doc_id", f"`{text_column}` text").mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")

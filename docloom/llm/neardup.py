@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -207,46 +208,74 @@ def _sharing_beside_hub(hubbed: DataFrame, sets: DataFrame, numerator: int, deno
     """
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hub", "node", "label", "n", "token"]
+        names = ["hub", "node", "label", "n", "outside", "token"]
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
                 rest = [np.setdiff1d(np.frombuffer(y.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.int64), assume_unique=True) for x, y in zip(part.column("set_hub"), part.column("set_node"), strict=True)]
                 rows = pa.array(np.repeat(np.arange(len(rest)), [len(r) for r in rest]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in names[:4]), pa.array(np.concatenate(rest))], names)
+                sizes = np.array([len(r) for r in rest])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in names[:4]), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(rest))], names)
 
     both = hubbed.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("set_hub")), "hub").join(sets.select("node", F.col("shingles").alias("set_node")), "node")
-    tokens = scratch.keep(both.select("hub", "node", "label", "n", "set_hub", "set_node").mapInArrow(outside, "hub binary, node binary, label binary, n long, token long"), "outside")
+    tokens = scratch.keep(both.select("hub", "node", "label", "n", "set_hub", "set_node").mapInArrow(outside, "hub binary, node binary, label binary, n long, outside long, token long"), "outside")
     frequent = scratch.keep(tokens.groupBy("hub", "token").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
-    rarest = Window.partitionBy("hub", "node").orderBy(F.coalesce("df", F.lit(1)), "token")
-    ranked = tokens.join(frequent, ["hub", "token"], "left").withColumn("at", F.row_number().over(rarest))
+    per_node = Window.partitionBy("hub", "node")
+    shared = tokens.join(frequent, ["hub", "token"])  # what only one node has comes first and pairs with nothing
+    single = F.col("outside") - F.count("*").over(per_node)
+    ranked = shared.withColumn("at", single + F.row_number().over(per_node.orderBy("df", "token")))
     need = F.ceil(F.col("n") * numerator / denominator)
-    first = scratch.keep(ranked.filter((F.col("at") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("hub", "token", "node", "label", "n"), "prefixes")
+    first = scratch.keep(ranked.filter(F.col("at") <= F.col("n") - need + 1).select("hub", "token", "node", "label", "n"), "prefixes")
     other = first.toDF("hub", "token", "node_b", "label_b", "n_b")
     met = first.join(other, ["hub", "token"]).filter((F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b")) & _sizes_fit(numerator, denominator, F.col("n"), F.col("n_b")))
     return met.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
-def _alike_inside_hub(hubbed: DataFrame, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
-    """Pairs of a hub's nodes, in different groups, that could reach the similarity by shingles of the hub's set alone.
+def _alike_inside_hub(hubbed: DataFrame, sets: DataFrame, numerator: int, denominator: int, scratch: Scratch, block: int = 256) -> DataFrame:
+    """Links between a hub's nodes of different groups by shingles of the hub's set alone, one for a pair of groups and task.
 
     Two sets share at most the smaller of their parts inside the hub's set then. Nodes with equal size and part are
-    one class; classes are held against each other, and only fitting ones are opened.
+    one class; classes are held against each other, and nodes of fitting ones are compared in blocks: a task gets
+    two blocks of about `block` nodes with their parts as bits and gives back the links it finds, not the pairs.
     """
     inside = hubbed.filter(F.col("common") * denominator >= F.col("n") * numerator)
     classes = scratch.keep(inside.groupBy("hub", "n", "common").agg(F.min("label").alias("low"), F.max("label").alias("high")), "classes")
     other = classes.toDF("hub", "n_b", "common_b", "low_b", "high_b")
     reach = _alike(numerator, denominator, F.least("common", "common_b"), F.col("n"), F.col("n_b"))
     several = (F.col("low") != F.col("high")) | (F.col("low_b") != F.col("high_b")) | (F.col("low") != F.col("low_b"))
-    ordered = F.struct("n", "common") <= F.struct("n_b", "common_b")
-    fitting = scratch.keep(classes.join(other, "hub").filter(ordered & reach & several).select("hub", "n", "common", "n_b", "common_b"), "fitting")
-    left = fitting.join(inside.select("hub", "n", "common", F.col("node").alias("x"), F.col("label").alias("label_x")), ["hub", "n", "common"])
-    right = inside.select("hub", F.col("n").alias("n_b"), F.col("common").alias("common_b"), F.col("node").alias("y"), F.col("label").alias("label_y"))
-    met = left.join(right, ["hub", "n_b", "common_b"]).filter("label_x <> label_y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    fitting = scratch.keep(classes.join(other, "hub").filter(reach & several).select("hub", "n", "common").distinct(), "fitting")
+    chosen = scratch.keep(inside.join(fitting, ["hub", "n", "common"]).select("hub", "node", "label", "n"), "chosen")
+    counts = scratch.keep(chosen.groupBy("hub").agg(F.ceil(F.count("*") / block).alias("blocks")), "blocks")
 
-
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, small: int = 24) -> DataFrame:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.isin(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), assume_unique=True)).tobytes() for x, y in zip(batch.column("set_hub"), batch.column("set_node"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.select(["hub", "node", "label", "n"]).columns, pa.array(bits, pa.binary())], ["hub", "node", "label", "n", "bits"])
+
+    both = chosen.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("set_hub")), "hub").join(sets.select("node", F.col("shingles").alias("set_node")), "node")
+    marked = both.select("hub", "node", "label", "n", "set_hub", "set_node").mapInArrow(parts, "hub binary, node binary, label binary, n long, bits binary")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = marked.join(counts, "hub").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = scratch.keep(dealt.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "bits"), "dealt")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.unpackbits(np.frombuffer(b"".join(rows.bits), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+        sizes, groups = rows.n.to_numpy(), pd.factorize(rows.label)[0]
+        left = np.flatnonzero(rows.own.to_numpy() == rows.i.iloc[0])
+        right = np.flatnonzero(rows.own.to_numpy() == rows.j.iloc[0])
+        common = bits[left] @ bits[right].T
+        linked = common * denominator >= (sizes[left][:, None] + sizes[right][None, :] - common) * numerator
+        x, y = np.nonzero(linked & (groups[left][:, None] != groups[right][None, :]))
+        x, y = left[x], right[y]
+        pair = np.minimum(groups[x], groups[y]) * len(rows) + np.maximum(groups[x], groups[y])
+        first = np.unique(pair, return_index=True)[1]
+        nodes = rows.node.to_numpy()
+        return pd.DataFrame({"a": nodes[x[first]], "b": nodes[y[first]]})
+
+    return scratch.keep(dealt.groupBy("hub", "i", "j").applyInPandas(compare, "a binary, b binary"), "inside")
+
+
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, small: int = 24, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     Words are runs of other bytes than space, tab and line breaks, A-Z lower-cased; sets hold `words`-word shingles,
@@ -286,12 +315,12 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     hubbed = several.filter(F.col("size") > small).join(leaders, "key").select("hub", "node", "label").distinct().join(parts, ["hub", "node"])
     hubbed = scratch.keep(hubbed, "hubbed")
     beside = _sharing_beside_hub(hubbed, sets, numerator, denominator, scratch)
-    inside = _alike_inside_hub(hubbed, numerator, denominator, scratch)
+    inside = _alike_inside_hub(hubbed, sets, numerator, denominator, scratch, block)
     sizes = sets.select("node", "n")
-    pairs = across.unionByName(beside).unionByName(inside).distinct()
+    pairs = across.unionByName(beside).distinct()
     pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(_sizes_fit(numerator, denominator, F.col("n_a"), F.col("n_b")))
     pairs = scratch.keep(pairs.select("a", "b"), "pairs")
-    links = scratch.keep(links.unionByName(_compared(pairs, sets, scratch).filter(alike).select("a", "b")), "links")
+    links = scratch.keep(links.unionByName(inside).unionByName(_compared(pairs, sets, scratch).filter(alike).select("a", "b")), "links")
     grouped = components(links, scratch)
 
     least = grouped.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))

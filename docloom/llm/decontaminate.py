@@ -7,9 +7,10 @@ item of PIECES or more must show two of its pieces at nearly the right distance;
 
 CGK's random walk reads a string with random pauses that depend on the character under the head. Two strings that
 are few edits apart fall into step again after each edit, so their walks differ in few places: edit distance
-becomes Hamming distance. Tables of sampled places of a few walks put windows and items into buckets; the number of
-tables is chosen so that items with k random edits meet themselves with the target recall. What meets is verified
-by the exact edit distance between the item and the best substring around the window.
+becomes Hamming distance. Tables of sampled places of a few walks put windows and items into buckets. Walks drift
+apart with length, so each class of lengths is measured: where the tables bring at least the target recall of its
+items with k random edits, windows that meet are verified; in any other class all windows that pieces name are. What
+is verified is the exact edit distance between the item and the best substring around the window.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ _BASE = 0x9E3779B97F4A7C15
 PAD = 255
 #: From so many pieces on, one unchanged piece alone is no reason to look closer.
 PIECES = 8
+#: Items of a length class differ in length by this factor at most.
+CLASS = 1.25
+#: Longer items are not walked: no number of tables brings them to a recall worth having.
+WALKED = 1_000
 
 
 def normalized(text: str) -> str:
@@ -78,20 +83,22 @@ class Walks:
         return out.T
 
 
-def edits_near(patterns: np.ndarray, lengths: np.ndarray, texts: np.ndarray, reach: int) -> np.ndarray:
+def edits_near(patterns: np.ndarray, lengths: np.ndarray, texts: np.ndarray, reach: int, most: np.ndarray | None = None) -> np.ndarray:
     """For each row the least edit distance of its pattern to a substring of its text.
 
     patterns: rows of codes, `lengths` of them used; texts: rows of codes that begin `reach` before the place where
     the pattern is looked for and go on `reach` beyond its end (unused places hold a code of their own). The table
-    is kept by diagonals, for all rows at once; a diagonal more than `reach` off the allowed starts isn't.
+    is kept by diagonals, for all rows at once; a diagonal more than `reach` off the allowed starts isn't. A row
+    whose least value is over its `most` can't come down again: it is left with a distance too large to count.
     """
     n, width = patterns.shape[1], 4 * reach + 1
-    steps = np.arange(width, dtype=np.int16)
-    big = np.int16(10_000)
-    padded = np.full((len(texts), reach + n + width), -1, np.int64)
+    kind = np.int16 if reach < 2_000 else np.int32
+    steps = np.arange(width, dtype=kind)
+    big = kind(10_000 if kind is np.int16 else 1 << 29)
+    padded = np.full((len(texts), reach + n + width), -1, np.int32)
     padded[:, reach : reach + texts.shape[1]] = texts
-    row = np.where(steps >= reach, 0, big).astype(np.int16) + np.zeros((len(texts), 1), np.int16)
-    best = np.full(len(texts), big)
+    row = np.where(steps >= reach, 0, big).astype(kind) + np.zeros((len(texts), 1), kind)
+    best, live = np.full(len(texts), big), np.arange(len(texts))
     for i in range(1, n + 1):
         differ = padded[:, i - 1 : i - 1 + width] != patterns[:, i - 1 : i]
         row += differ
@@ -99,15 +106,21 @@ def edits_near(patterns: np.ndarray, lengths: np.ndarray, texts: np.ndarray, rea
         row -= steps
         np.minimum.accumulate(row, axis=1, out=row)
         row += steps
-        ends = lengths == i
+        ends = lengths[live] == i
         if ends.any():
-            best[ends] = row[ends].min(axis=1)
+            best[live[ends]] = row[ends].min(axis=1)
+        if most is not None and i % 16 == 0:
+            keep = (row.min(axis=1) <= most[live]) & (lengths[live] > i)
+            if not keep.all():
+                row, padded, patterns, live = row[keep], padded[keep], patterns[keep], live[keep]
+            if not len(live):
+                break
     return best
 
 
 @dataclass
 class Plan:
-    """What a task needs of a block of items: pieces, walks, sampled places and bucket keys."""
+    """What a task needs of a block of items: pieces, length classes, walks, sampled places and bucket keys."""
 
     ids: list[int | None]
     texts: list[str]
@@ -120,8 +133,10 @@ class Plan:
     places: list[np.ndarray]
     keys: np.ndarray
     lengths: np.ndarray
-    patterns: np.ndarray
-    tables: int
+    codes: np.ndarray
+    begins: np.ndarray
+    group: np.ndarray
+    tables: dict[int, int]
     bits: int
 
     @classmethod
@@ -139,51 +154,70 @@ class Plan:
                 offsets.append(p * size)
         order = np.argsort(np.array(hashes, _U), kind="stable")
         rng = np.random.default_rng(seed)
-        walk = Walks(walks, int(2 * lengths.max()) + 1, seed)
+        walked = lengths <= WALKED
+        walk = Walks(walks, int(2 * lengths[walked].max(initial=0)) + 1, seed)
         shares = rng.random((most_tables, bits))
-        plan = cls(ids, texts, edits, gram, np.array(hashes, _U)[order], np.array(owners)[order], np.array(offsets)[order], walk, [], np.empty(0), lengths, np.full((len(texts), int(lengths.max())), -2, np.int64), most_tables, bits)
-        for i, t in enumerate(texts):
-            plan.patterns[i, : len(t)] = _codes(t)
-        plan.places = [shares for _ in range(walks)]
-        plan.keys = plan._sampled(*plan._joined(texts), np.arange(len(texts)))
-        plan.tables = plan._tables_for(recall, rng)
-        plan.keys = plan.keys[:, : plan.tables]
+        group = np.floor(np.log(lengths) / np.log(CLASS)).astype(int)
+        codes, begins = _codes("".join(texts)), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        plan = cls(ids, texts, edits, gram, np.array(hashes, _U)[order], np.array(owners)[order], np.array(offsets)[order], walk, [shares] * walks, np.zeros((len(texts), most_tables), f"<u{bits}"), lengths, codes, begins, group, {}, bits)
+        for g in np.unique(group).tolist():
+            members = np.flatnonzero(group == g)
+            if walked[members].all():
+                for a in range(0, len(members), 4096):
+                    some = members[a : a + 4096]
+                    plan.keys[some] = plan._sampled(_classes(codes), begins[some], some, most_tables)
+                plan.tables[g] = most_tables if plan._reaches(members, recall, most_tables, rng) else 0
+            else:
+                plan.tables[g] = 0
         return plan
 
-    @staticmethod
-    def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.array([len(t) for t in texts])
-        return _classes(_codes("".join(texts))), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-
-    def _sampled(self, classes: np.ndarray, starts: np.ndarray, item: np.ndarray) -> np.ndarray:
+    def _sampled(self, classes: np.ndarray, starts: np.ndarray, item: np.ndarray, tables: int) -> np.ndarray:
         """Bucket keys (window, table): the sampled places of item-sized windows; tables take the walks in turn."""
         lengths = self.lengths[item]
-        out = np.empty((len(starts), self.tables, self.bits), np.uint8)
+        out = np.empty((len(starts), tables, self.bits), np.uint8)
         for w in range(len(self.places)):
-            mine = np.arange(w, self.tables, len(self.places))
+            mine = np.arange(w, tables, len(self.places))
             steps = int(2 * lengths.max()) if len(lengths) else 0
             read = self.walks.embed(w, classes, starts, lengths, steps)
             at = (self.places[w][mine][None] * (2 * lengths)[:, None, None]).astype(int)
             out[:, mine] = np.take_along_axis(read, at.reshape(len(starts), -1), axis=1).reshape(at.shape)
-        return out.view(f"<u{self.bits}")[:, :, 0] if self.bits in (1, 2, 4, 8) else out
-
-    def _tables_for(self, recall: float, rng: np.random.Generator, trials: int = 400) -> int:
-        """The fewest tables by which at least `recall` of items with all their edits, at random places, are met."""
-        pick = rng.integers(0, len(self.texts), trials)
-        letters = sorted(set("".join(self.texts)))
-        changed = []
-        for i in pick:
-            t = list(self.texts[i])
-            for _ in range(int(self.edits[i])):
+        return out.view(f"<u{self.bits}")[:, :, 0]
+
+    def _reaches(self, members: np.ndarray, recall: float, most: int, rng: np.random.Generator, trials: int = 400) -> bool:
+        """Whether at least `recall` of a length class is met by `most` tables.
+
+        Each trial puts an item of the class with all its edits, at random places, between other letters, and looks
+        at the windows that its unchanged pieces name: these begin where the edits before a piece have shifted them.
+        """
+        pick = members[rng.integers(0, len(members), trials)]
+        letters = sorted(set("".join(self.texts[i] for i in set(pick.tolist()))))
+        own: dict[int, list[tuple[int, int]]] = {i: [] for i in pick.tolist()}
+        for g in np.flatnonzero(np.isin(self.gram_item, members)).tolist():
+            if (i := int(self.gram_item[g])) in own:
+                own[i].append((int(self.gram_hash[g]), int(self.gram_offset[g])))
+        whole, starts, trial, held = [], [], [], 0
+        for n, i in enumerate(pick.tolist()):
+            t, k = list(self.texts[i]), int(self.edits[i])
+            for _ in range(k):
                 p, kind = int(rng.integers(0, len(t))), int(rng.integers(0, 3))
                 letter = letters[int(rng.integers(0, len(letters)))]
                 t[p : p + (kind != 1)] = [] if kind == 2 and len(t) > 1 else [letter]
-            changed.append("".join(t))
-        classes, starts = self._joined(changed)
-        met = self._sampled(np.append(classes, np.full(int(self.lengths.max()), PAD, np.uint8)), starts, pick) == self.keys[pick]
-        first = np.where(met.any(axis=1), met.argmax(axis=1), self.tables)
-        needed = int(np.quantile(first, recall, method="higher")) + 1
-        return min(self.tables, max(8, needed))
+            around = ["".join(letters[j] for j in rng.integers(0, len(letters), 2 * k)) for _ in range(2)]
+            text = around[0] + "".join(t) + around[1]
+            found: dict[int, list[int]] = {}
+            for at, h in enumerate(_gram_hashes(_codes(text), self.gram).tolist()):
+                found.setdefault(h, []).append(at)
+            for s in sorted({at - offset for h, offset in own[i] for at in found.get(h, ()) if abs(at - offset - 2 * k) <= k}):
+                starts.append(held + s)
+                trial.append(n)
+            whole.append(text)
+            held += len(text)
+        classes, met = _classes(_codes("".join(whole))), np.zeros(trials, bool)
+        for a in range(0, len(starts), 4096):
+            n = np.array(trial[a : a + 4096])
+            meets = self._sampled(classes, np.array(starts[a : a + 4096]), pick[n], most) == self.keys[pick[n]]
+            met[n[meets.any(axis=1)]] = True
+        return bool(met.mean() >= recall)
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(text, item, least edits) of every match in some texts."""
@@ -213,12 +247,18 @@ class Plan:
         windows = np.unique(np.stack([text, item, start]), axis=1)
         classes = np.append(_classes(codes), np.full(1, PAD, np.uint8))
         best: dict[tuple[int, int], int] = {}
-        order = np.argsort(self.lengths[windows[1]], kind="stable")
-        for a in range(0, len(order), 4096):
-            text, item, start = windows[:, order[a : a + 4096]]
-            meets = (self._sampled(classes, start, item) == self.keys[item]).any(axis=1)
-            for b in range(0, int(meets.sum()), 256):
-                self._verify(codes, bounds, *(x[meets][b : b + 256] for x in (text, item, start)), best)
+        windows = windows[:, np.argsort(self.lengths[windows[1]], kind="stable")]
+        group = self.group[windows[1]]
+        for g in np.unique(group).tolist():
+            mine, tables = windows[:, group == g], self.tables[g]
+            for a in range(0, mine.shape[1], 4096):
+                text, item, start = mine[:, a : a + 4096]
+                if tables:
+                    meets = (self._sampled(classes, start, item, tables) == self.keys[item, :tables]).any(axis=1)
+                    text, item, start = text[meets], item[meets], start[meets]
+                rows = int(np.clip(4_000_000 // (2 * self.lengths[item].max(initial=1)), 1, 256))
+                for b in range(0, len(text), rows):
+                    self._verify(codes, bounds, *(x[b : b + rows] for x in (text, item, start)), best)
         return [(t, i, e) for (t, i), e in sorted(best.items())]
 
     def _supported(self, text: np.ndarray, item: np.ndarray, start: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,8 +277,11 @@ class Plan:
         reach, longest = max(1, int(self.edits[item].max())), int(self.lengths[item].max())
         at = start[:, None] - reach + np.arange(longest + 2 * reach)
         inside = (at >= bounds[text][:, None]) & (at < bounds[text + 1][:, None] - 1)
-        around = np.where(inside, codes[np.clip(at, 0, len(codes) - 1)], -1).astype(np.int64)
-        found = edits_near(self.patterns[item, :longest], self.lengths[item], around, reach)
+        around = np.where(inside, codes[np.clip(at, 0, len(codes) - 1)].astype(np.int32), np.int32(-1))
+        at = np.arange(longest)
+        used = at < self.lengths[item][:, None]
+        patterns = np.where(used, self.codes[np.where(used, self.begins[item][:, None] + at, 0)].astype(np.int32), np.int32(-2))
+        found = edits_near(patterns, self.lengths[item], around, reach, self.edits[item])
         for t, i, e in zip(text.tolist(), item.tolist(), found.tolist(), strict=True):
             if e <= self.edits[i]:
                 best[t, i] = min(e, best.get((t, i), e))
@@ -265,8 +308,8 @@ def contaminated(documents: DataFrame, items: DataFrame, ratio: float = 0.1, rec
     Edits are counted in characters after lower-casing and joining white space, against the item's best substring of
     the document. Items go to the tasks in blocks of at most `most_chars` characters, each in its own pass over the
     documents, so that what is sent is bounded however many items there are; items of very unlike lengths (under 40
-    characters) get passes of their own. Exact copies are always found; passages at the bound with about the target
-    recall. Null and empty texts and items match nothing; repeated rows give repeated matches; an item text under
+    characters) get passes of their own. Exact copies are always found. Passages at the bound are found with at
+    least about the target recall in length classes whose tables reach it, and all of them in the others. Null and empty texts and items match nothing; repeated rows give repeated matches; an item text under
     several ids is reported under each; an empty table on either side gives no rows; other columns are not read.
     """
     spark = documents.sparkSession

@@ -89,3 +89,15 @@ def test_awkward_rows(spark, awkward):
     assert dc.contaminated(awkward.limit(0), items).count() == 0
     assert dc.contaminated(awkward, items.limit(0)).count() == 0
     assert dc.drop_contaminated(awkward, items).columns == awkward.columns
+
+
+def test_each_length_keeps_its_recall():
+    """Short items don't hide that walks of long ones drift apart."""
+    rng = random.Random(5)
+    items = [p[:n].strip() for n, count in ((100, 40), (390, 20), (3_000, 12)) for p in passages(rng, count, n // 3)]
+    plan = dc.Plan.of(list(enumerate(items)), 0.1, 0.98)
+    for n in (100, 390, 3_000):
+        mine = [i for i, t in enumerate(items) if n - 5 <= len(t) <= n]
+        texts = [passages(rng, 1, 40)[0] + " " + edited(items[i], len(items[i]) // 10, rng) + " " + passages(rng, 1, 40)[0] for i in mine]
+        found = {(t, i) for t, i, _ in plan.find(texts)}
+        assert sum((t, i) in found for t, i in enumerate(mine)) >= 0.9 * len(mine), n

@@ -101,3 +101,18 @@ def test_each_length_keeps_its_recall():
         texts = [passages(rng, 1, 40)[0] + " " + edited(items[i], len(items[i]) // 10, rng) + " " + passages(rng, 1, 40)[0] for i in mine]
         found = {(t, i) for t, i, _ in plan.find(texts)}
         assert sum((t, i) in found for t, i in enumerate(mine)) >= 0.9 * len(mine), n
+
+
+def test_one_unchanged_piece_is_enough():
+    """Evenly spread edits that leave one of ten pieces alone are within the bound."""
+    rng = random.Random(6)
+    items = [p[:98] + "x" for p in passages(rng, 40, 40)]
+    plan = dc.Plan.of(list(enumerate(items)), 0.1, 0.98)
+    texts = []
+    for t in items:
+        changed = list(t)
+        for at in range(9, 90, 10):
+            changed[at] = "#"
+        texts.append("before it " + "".join(changed) + " after it")
+    found = [(t, i, e) for t, i, e in plan.find(texts) if t == i]
+    assert len(found) >= 0.9 * len(items) and all(e == 9 for _, _, e in found)

@@ -15,7 +15,7 @@ from docloom.plans.text_q import DENIALS, NO, UNSURE, YES
 def r13(spark, sf):
     """An order's line items by price are units of one to three parts; twelve parts and 150 pieces are the budget."""
     t = Tables(spark, sf)
-    rows = t.lineitem.filter("l_orderkey % 10 = 0").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("int").alias("q"), "l_linenumber", "l_extendedprice")
+    rows = t.lineitem.select("l_orderkey", "l_partkey", F.col("l_quantity").cast("int").alias("q"), "l_linenumber", "l_extendedprice")
     numbered = rows.withColumn("unit", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")).cast("long"))
     units = numbered.select(F.col("l_orderkey").alias("question"), "unit", (-F.col("l_extendedprice")).alias("ord"), F.array("l_partkey", F.col("l_partkey") % 5).alias("blocks"), F.array("q", F.lit(3)).alias("tokens"))
     return folds.greedy_admission(units, 12, 150)
@@ -25,7 +25,7 @@ def r13(spark, sf):
 def r15(spark, sf):
     """The same operator with the counters of a smaller remaining budget, block by block."""
     t = Tables(spark, sf)
-    rows = t.lineitem.filter("l_orderkey % 10 = 1").withColumn("unit", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")).cast("long"))
+    rows = t.lineitem.withColumn("unit", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")).cast("long"))
     units = rows.select(F.col("l_orderkey").alias("question"), "unit", F.col("l_linenumber").cast("double").alias("ord"), F.array("l_partkey").alias("blocks"), F.array(F.col("l_quantity").cast("int")).alias("tokens"))
     return folds.greedy_admission(units, 3, 60)
 
@@ -47,7 +47,7 @@ def l4(spark, sf):
 def d7(spark, sf):
     """Line items' parts as labels; the words of a part's name and type are its roots."""
     t = Tables(spark, sf)
-    named = t.lineitem.filter("l_orderkey % 10 = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    named = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     roots = F.when(F.col("p_size") % 4 == 0, F.array_union(F.split("p_name", " "), F.array(F.lower("p_type")))).when(F.col("p_size") % 4 == 3, F.array().cast("array<string>")).otherwise(F.split("p_name", " "))
     labels = named.select(F.col("l_orderkey").alias("group"), F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("ord"), F.concat_ws(" ", "p_name", "p_type").alias("label"), roots.alias("roots"))
     order = Window.partitionBy("group").orderBy("ord")

@@ -1,9 +1,11 @@
 """Folds that SQL doesn't express, against plain loops and hand-computed rows."""
 
 import pytest
+import support
 from pyspark.sql import functions as F
 
 from docloom.operators import folds
+from docloom.plans.catalog import QUERIES
 from docloom.streaming.quota import quota_stream
 
 
@@ -77,3 +79,10 @@ def test_search_is_the_same_under_any_partitioning(spark):
         scored = search.scores(index(t).repartition(n), forms.repartition(n), words.orderBy(F.rand(n)))
         runs.append(sorted(tuple(r) for r in search.best(scored, 5).collect()))
     assert runs[0] == runs[1]
+
+
+@pytest.mark.parametrize("name, key", [("r13_greedy_admission", "question"), ("r15_targeted_extension", "question"), ("d7_fact_absorption", "group")])
+def test_every_order_is_folded(spark, name, key):
+    orders = spark.read.parquet(f"{support.SMALL}/lineitem.parquet").select("l_orderkey").distinct()
+    got = QUERIES[name](spark, support.SMALL).select(key).distinct()
+    assert orders.count() == got.count() and orders.subtract(got).count() == 0

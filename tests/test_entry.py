@@ -6,6 +6,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 REPO = Path(__file__).parents[1]
 
 
@@ -15,11 +17,15 @@ def test_core_never_imports_llm():
             assert "docloom.llm" not in path.read_text(), path
 
 
-def test_entry_without_llm(tmp_path):
-    shutil.copytree(REPO / "docloom", tmp_path / "docloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 200 and set(o) <= set(q) and not any(n.startswith('op') for n in q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+@pytest.mark.parametrize("gone", [("docloom/llm", "tests/llm"), ("docloom/llm", "tests/llm", "corpus_pipeline.py")])
+def test_entry_without_llm(tmp_path, gone):
+    """The whole repository but for what is taken out: with and without corpus_pipeline.py."""
+    copy = tmp_path / "repo"
+    shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for name in gone:
+        shutil.rmtree(copy / name) if (copy / name).is_dir() else (copy / name).unlink()
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 200 and set(o) <= set(q) and not any(n.startswith('op') for n in q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True)
 
 
 def test_flagship(spark):

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +18,13 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="docloom-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
@@ -34,6 +38,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        self._kept: list[tuple[DataFrame, str]] = []
 
     def place(self, name: str) -> str:
         self._count += 1
@@ -43,7 +48,21 @@ class Scratch:
         """Write df and read it back."""
         path = self.place(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._kept.append((kept, path))
+        return kept
+
+    def renamed(self, kept: DataFrame, view: DataFrame) -> DataFrame:
+        """`view`, a projection of the kept table: dropping it drops the table."""
+        self._kept = [(view, path) if frame is kept else (frame, path) for frame, path in self._kept]
+        return view
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete kept tables that nothing reads any more: what was made of them has been kept itself."""
+        for frame, path in [x for x in self._kept if any(x[0] is f for f in frames)]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            self._kept.remove((frame, path))
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4_000_000, most_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
@@ -60,6 +79,29 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4_0
             yield batch.slice(start)
 
 
+def groups_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows that agree in `keys`, across batches, from batches in which equal keys stand together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k) for k in keys]
+        changed = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            changed |= pa.compute.not_equal(c.slice(1), c.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            key = [c[a] for c in columns]
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def lower_ascii(column: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -4,12 +4,18 @@ A document is the set of its word shingles. SuperMinHash draws a random permutat
 each element step by step, adds the step's number to a fresh uniform value, and stops as soon as no slot can fall
 further; ranks of one element are correlated, which lowers the variance against independent hashes.
 
-Texts with equal sets are one node from the start. Bands of the signature put nodes into buckets. Instead of all
-pairs of a bucket, its nodes are compared with a leader, and the links found are grouped. What is left are buckets
-whose nodes are in several groups. Small ones are compared pairwise across groups. In large ones two nodes can only
-link by shingles they share outside the leader's set, which a join on the rarest of these finds, or by their parts
-inside it, which the sizes already counted bound. Every link between nodes that meet in a bucket is thus compared
-or already implied, and no group is ever expanded into all its pairs.
+Texts with equal sets are one node from the start. Bands of the signature put nodes into buckets, and every bucket
+has a leader, the node that meets most others. Links are found in three rounds, with a union-find after each, and
+buckets whose nodes are all in one group are done:
+
+1. each node is compared with the weightiest of its leaders, its base;
+2. in buckets still in several groups each node is compared with the bucket's leader;
+3. what is left are nodes of such buckets beside the leader. Those that share a base (else the leader) are compared
+   by their edits, the symmetric difference to it: two sets differ by as much as their edits do. Tasks get two blocks
+   of bounded size and give back links only, one for a pair of groups. Nodes that belong to the base's own group are
+   held only against those that don't.
+
+So every two nodes that meet in a bucket are compared or already in one group, and no group is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -19,12 +25,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, pieces
+from docloom.llm.common import Scratch, groups_of, pieces
 from docloom.llm.graph import components
 
 BANDS, ROWS = 24, 4
@@ -133,8 +138,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (set size), node (128-bit digest of the set, null if empty), keys (of its bands)."""
-    names = ["doc_id", "n", "node", "keys"]
+    """doc_id, part, n (set size), node (128-bit digest of the set, null if empty), keys (of its bands)."""
+    names = ["doc_id", "part", "n", "node", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1_000_000, 1_000):
@@ -144,200 +149,220 @@ def signatures(documents: DataFrame, words: int, bands: int, rows: int) -> DataF
             keys = band_keys(signature, bands, rows)
             nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names)
 
-    return documents.mapInArrow(run, "doc_id long, n long, node binary, keys array<long>")
+    return documents.mapInArrow(run, "doc_id long, part long, n long, node binary, keys array<long>")
 
 
-def _node_sets(documents: DataFrame, wanted: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """node, n, shingles (sorted 64-bit values) of the wanted (node, doc_id), from their texts."""
+def _node_sets(documents: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, n, shingles (sorted 64-bit values) of the nodes, each from the text of its `rep`, a doc_id and hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1_000_000, 1_000):
             sets = [s.tobytes() for s in shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], words)]
-            nodes = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-            keep = pa.array([n == w for n, w in zip(nodes, batch.column("node").to_pylist(), strict=True)])
+            digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+            keep = pa.array([n == w for n, w in zip(digests, batch.column("node").to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["node", "n", "shingles"]).filter(keep)
 
-    texts = documents.join(wanted, documents.doc_id.eqNullSafe(wanted.rep)).select("node", "text")
-    found = texts.mapInArrow(run, "node binary, n long, shingles binary")
-    return scratch.keep(found, "sets")
+    wanted = nodes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.part").alias("rep_part"))
+    same = (documents.part == wanted.rep_part) & documents.doc_id.eqNullSafe(wanted.rep_id)
+    found = documents.join(wanted, same).select("node", "text").mapInArrow(run, "node binary, n long, shingles binary")
+    return found.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))  # repeated rows
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b, n_a, n_b, common: the sizes of both sets and of their intersection."""
+def _against_hub(pairs: DataFrame, sets: DataFrame, with_edits: bool = False, slice_rows: int = 1024) -> DataFrame:
+    """For pairs (hub, node): n_hub, n, common (size of the intersection), and the edits (symmetric difference) if wanted.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            common = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                both = np.concatenate([np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)])
-                both.sort()
-                common.append(int((both[1:] == both[:-1]).sum()))
-            kept = batch.select(["a", "b", "n_a", "n_b"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(common, pa.int64())], ["a", "b", "n_a", "n_b", "common"])
-
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"), F.col("n").alias(f"n_{x}"))
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return scratch.keep(joined.mapInArrow(run, "a binary, b binary, n_a long, n_b long, common long"), "compared")
-
-
-def _alike(numerator: int, denominator: int, common: Column, n_a: Column, n_b: Column) -> Column:
-    return common * denominator >= (n_a + n_b - common) * numerator
-
-
-def _sizes_fit(numerator: int, denominator: int, n_a: Column, n_b: Column) -> Column:
-    return F.least(n_a, n_b) * denominator >= F.greatest(n_a, n_b) * numerator
-
-
-def _leaders(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, hub: of each bucket the node that meets most others in all its buckets.
-
-    Copies of one text differ from it less than from each other, so the text itself leads wherever it is there.
+    A hub's nodes are dealt into slices; its set goes once to each slice, ahead of the nodes, which stream past it.
     """
-    central = scratch.keep(members.groupBy("node").agg(F.sum("size").alias("weight")), "central")
-    first = members.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("first"))
-    return scratch.keep(first.select("key", F.col("first.node").alias("hub")), "leaders")
 
-
-def _sharing_beside_hub(hubbed: DataFrame, sets: DataFrame, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
-    """Pairs of a hub's nodes, in different groups, that share one of their rarest shingles outside the hub's set.
-
-    If two sets with the similarity share a shingle outside the hub's, then one of the first
-    n - ceil(similarity * n) + 1 of either, in an order that has those outside first, the rarest foremost.
-    """
-
-    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hub", "node", "label", "n", "outside", "token"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.array([], _U)
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
-                rest = [np.setdiff1d(np.frombuffer(y.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.int64), assume_unique=True) for x, y in zip(part.column("set_hub"), part.column("set_node"), strict=True)]
-                rows = pa.array(np.repeat(np.arange(len(rest)), [len(r) for r in rest]))
-                sizes = np.array([len(r) for r in rest])
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in names[:4]), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(rest))], names)
-
-    both = hubbed.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("set_hub")), "hub").join(sets.select("node", F.col("shingles").alias("set_node")), "node")
-    tokens = scratch.keep(both.select("hub", "node", "label", "n", "set_hub", "set_node").mapInArrow(outside, "hub binary, node binary, label binary, n long, outside long, token long"), "outside")
-    frequent = scratch.keep(tokens.groupBy("hub", "token").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
-    per_node = Window.partitionBy("hub", "node")
-    shared = tokens.join(frequent, ["hub", "token"])  # what only one node has comes first and pairs with nothing
-    single = F.col("outside") - F.count("*").over(per_node)
-    ranked = shared.withColumn("at", single + F.row_number().over(per_node.orderBy("df", "token")))
-    need = F.ceil(F.col("n") * numerator / denominator)
-    first = scratch.keep(ranked.filter(F.col("at") <= F.col("n") - need + 1).select("hub", "token", "node", "label", "n"), "prefixes")
-    other = first.toDF("hub", "token", "node_b", "label_b", "n_b")
-    met = first.join(other, ["hub", "token"]).filter((F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b")) & _sizes_fit(numerator, denominator, F.col("n"), F.col("n_b")))
-    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-
-
-def _alike_inside_hub(hubbed: DataFrame, sets: DataFrame, numerator: int, denominator: int, scratch: Scratch, block: int = 256) -> DataFrame:
-    """Links between a hub's nodes of different groups by shingles of the hub's set alone, one for a pair of groups and task.
-
-    Two sets share at most the smaller of their parts inside the hub's set then. Nodes with equal size and part are
-    one class; classes are held against each other, and nodes of fitting ones are compared in blocks: a task gets
-    two blocks of about `block` nodes with their parts as bits and gives back the links it finds, not the pairs.
+            member, n_hub, common, edits = batch.column("member").to_pylist(), [], [], []
+            for is_member, values in zip(member, batch.column("shingles"), strict=True):
+                values = np.frombuffer(values.as_buffer(), _U)
+                if not is_member:
+                    hub = values
+                    continue
+                both = np.concatenate([hub, values])
+                both.sort(kind="stable")
+                twice = both[1:] == both[:-1]
+                n_hub.append(len(hub))
+                common.append(int(twice.sum()))
+                if with_edits:
+                    single = np.ones(len(both), bool)
+                    single[1:] &= ~twice
+                    single[:-1] &= ~twice
+                    edits.append(both[single].tobytes())
+            kept = batch.select(["hub", "node", "n"]).filter(batch.column("member"))
+            columns = [*kept.columns, pa.array(n_hub, pa.int64()), pa.array(common, pa.int64())]
+            names = ["hub", "node", "n", "n_hub", "common"]
+            if with_edits:
+                columns, names = [*columns, pa.array(edits, pa.binary())], [*names, "edits"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    slices = pairs.groupBy("hub").agg(F.ceil(F.count("*") / slice_rows).alias("slices"))
+    members = pairs.select("hub", "node").join(slices, "hub").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices"))).join(sets, "node")
+    hubs = slices.join(sets, slices.hub == sets.node).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    columns = ["hub", "slice", "node", "n", "shingles"]
+    dealt = hubs.select(*columns, F.lit(False).alias("member")).unionByName(members.select(*columns, F.lit(True).alias("member")))
+    streams = dealt.repartition("hub", "slice").sortWithinPartitions("hub", "slice", "member")
+    return streams.mapInArrow(run, "hub binary, node binary, n long, n_hub long, common long" + (", edits binary" if with_edits else ""))
+
+
+def _alike(numerator: int, denominator: int) -> Column:
+    return F.col("common") * denominator >= (F.col("n") + F.col("n_hub") - F.col("common")) * numerator
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of `left` shares with each of `right`: frequent values by products of 0-1 matrices, others by their pairs."""
+    own_l, own_r = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+    values, code = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    code_l, code_r = code[: len(own_l)], code[len(own_l) :]
+    n_l, n_r = np.bincount(code_l, minlength=len(values)), np.bincount(code_r, minlength=len(values))
+    many = n_l * n_r
+    counts = np.zeros((len(left), len(right)), np.float32)
+    heavy = np.flatnonzero(many > 4096)
+    for a in range(0, len(heavy), 512):
+        column = np.full(len(values), -1)
+        column[heavy[a : a + 512]] = np.arange(len(heavy[a : a + 512]))
+        sides = []
+        for own, code, n in ((own_l, code_l, len(left)), (own_r, code_r, len(right))):
+            at = column[code]
+            bits = np.zeros((n, 512), np.float32)
+            bits[own[at >= 0], at[at >= 0]] = 1
+            sides.append(bits)
+        counts += sides[0] @ sides[1].T
+    order_l, order_r = np.argsort(code_l, kind="stable"), np.argsort(code_r, kind="stable")
+    first_l, first_r = np.cumsum(n_l) - n_l, np.cumsum(n_r) - n_r
+    light = np.flatnonzero((many > 0) & (many <= 4096))
+    passes = np.cumsum(many[light]) // 4_000_000
+    for k in range(int(passes[-1]) + 1 if len(light) else 0):
+        own = light[passes == k]
+        pair = np.arange(many[own].sum()) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
+        token = np.repeat(own, many[own])
+        x = own_l[order_l[first_l[token] + pair // n_r[token]]]
+        y = own_r[order_r[first_r[token] + pair % n_r[token]]]
+        counts += np.bincount(x * len(right) + y, minlength=counts.size).reshape(counts.shape)
+    return counts.astype(np.int64)
+
+
+def _links_in_blocks(groups: DataFrame, sets: DataFrame, numerator: int, denominator: int, scratch: Scratch, block_rows: int, block_bytes: int = 8_000_000) -> DataFrame:
+    """Links (a, b) between nodes of groups (hub, node, label, own: the hub's label) that have different labels.
+
+    Nodes whose label isn't the hub's are dealt into blocks, and all nodes into others; a task compares one of
+    either. Blocks hold about `block_rows` nodes or `block_bytes` of edits.
     """
-    inside = hubbed.filter(F.col("common") * denominator >= F.col("n") * numerator)
-    classes = scratch.keep(inside.groupBy("hub", "n", "common").agg(F.min("label").alias("low"), F.max("label").alias("high")), "classes")
-    other = classes.toDF("hub", "n_b", "common_b", "low_b", "high_b")
-    reach = _alike(numerator, denominator, F.least("common", "common_b"), F.col("n"), F.col("n_b"))
-    several = (F.col("low") != F.col("high")) | (F.col("low_b") != F.col("high_b")) | (F.col("low") != F.col("low_b"))
-    fitting = scratch.keep(classes.join(other, "hub").filter(reach & several).select("hub", "n", "common").distinct(), "fitting")
-    chosen = scratch.keep(inside.join(fitting, ["hub", "n", "common"]).select("hub", "node", "label", "n"), "chosen")
-    counts = scratch.keep(chosen.groupBy("hub").agg(F.ceil(F.count("*") / block).alias("blocks")), "blocks")
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.packbits(np.isin(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), assume_unique=True)).tobytes() for x, y in zip(batch.column("set_hub"), batch.column("set_node"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.select(["hub", "node", "label", "n"]).columns, pa.array(bits, pa.binary())], ["hub", "node", "label", "n", "bits"])
-
-    both = chosen.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("set_hub")), "hub").join(sets.select("node", F.col("shingles").alias("set_node")), "node")
-    marked = both.select("hub", "node", "label", "n", "set_hub", "set_node").mapInArrow(parts, "hub binary, node binary, label binary, n long, bits binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = marked.join(counts, "hub").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = scratch.keep(dealt.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "bits"), "dealt")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.unpackbits(np.frombuffer(b"".join(rows.bits), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-        sizes, groups = rows.n.to_numpy(), pd.factorize(rows.label)[0]
-        left = np.flatnonzero(rows.own.to_numpy() == rows.i.iloc[0])
-        right = np.flatnonzero(rows.own.to_numpy() == rows.j.iloc[0])
-        common = bits[left] @ bits[right].T
-        linked = common * denominator >= (sizes[left][:, None] + sizes[right][None, :] - common) * numerator
-        x, y = np.nonzero(linked & (groups[left][:, None] != groups[right][None, :]))
-        x, y = left[x], right[y]
-        pair = np.minimum(groups[x], groups[y]) * len(rows) + np.maximum(groups[x], groups[y])
-        first = np.unique(pair, return_index=True)[1]
-        nodes = rows.node.to_numpy()
-        return pd.DataFrame({"a": nodes[x[first]], "b": nodes[y[first]]})
-
-    return scratch.keep(dealt.groupBy("hub", "i", "j").applyInPandas(compare, "a binary, b binary"), "inside")
-
-
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, small: int = 24, block: int = 256) -> DataFrame:
+    found = scratch.keep(groups.join(_against_hub(groups, sets, with_edits=True), ["hub", "node"]).select("hub", "node", "label", "n", "edits", (F.col("label") != F.col("own")).alias("apart")), "edits")
+
+    def blocks(of: Column) -> Column:
+        return F.greatest(F.ceil(F.sum(F.when(of, 1)) / block_rows), F.ceil(F.sum(F.when(of, F.length("edits"))) / block_bytes))
+
+    sizes = found.groupBy("hub").agg(blocks(F.col("apart")).alias("blocks_i"), blocks(F.lit(True)).alias("blocks_j")).filter("blocks_i > 0")
+    mine, zero = found.join(sizes, "hub"), F.lit(0).cast("long")
+    own_i, own_j = (F.pmod(F.xxhash64("node"), F.col(c)) for c in ("blocks_i", "blocks_j"))
+    left = mine.filter("apart").withColumn("i", own_i).withColumn("j", F.explode(F.sequence(zero, F.col("blocks_j") - 1)))
+    right = mine.withColumn("j", own_j).withColumn("i", F.explode(F.sequence(zero, F.col("blocks_i") - 1)))
+    columns = ["hub", "i", "j", "node", "label", "n", "edits"]
+    dealt = left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(batches, ["hub", "i", "j"]):
+            nodes, labels = rows.column("node").to_pylist(), rows.column("label").to_pylist()
+            code = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+            label, n = np.array([code[x] for x in labels]), rows.column("n").to_numpy()
+            edits = [np.frombuffer(x.as_buffer(), _U) for x in rows.column("edits")]
+            size = np.array([len(e) for e in edits])
+            split = int((rows.column("side").to_numpy() == 0).sum())
+            apart = (n - size)[:split, None] + (n - size)[None, split:]
+            common = apart // 2 + shared_counts(edits[:split], edits[split:])
+            linked = common * denominator >= (n[:split, None] + n[None, split:] - common) * numerator
+            x, y = np.nonzero(linked & (label[:split, None] != label[None, split:]))
+            first = np.unique(label[x] * len(code) + label[split + y], return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in x[first]], pa.binary()), pa.array([nodes[split + k] for k in y[first]], pa.binary())], ["a", "b"])
+
+    links = scratch.keep(dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "side").mapInArrow(compare, "a binary, b binary"), "links")
+    scratch.drop(found)
+    return links
+
+
+def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """labels (node, base, label) after joining the groups that links (a, b) connect."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    found = components(between, scratch).toDF("old", "new")
+    merged = scratch.keep(labels.join(found, labels.label == found.old, "left").select("node", "base", F.coalesce("new", "label").alias("label")), "labels")
+    scratch.drop(found, labels)
+    return merged
+
+
+def _mixed(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, hub, base, label, own (the hub's label) of the buckets whose nodes are in several groups."""
+    labelled = placed.join(labels, "node")
+    several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("own"))
+    return labelled.join(several.filter("low <> high").select("key", "own"), "key")
+
+
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, block_rows: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     Words are runs of other bytes than space, tab and line breaks, A-Z lower-cased; sets hold `words`-word shingles,
     the whole sequence where there are fewer words. Rows link where intersection / union reaches `similarity`;
     component_id is the least id that a row reaches, kept whether that is its own.
 
-    With the standard bands a pair at the bound of 0.8 is missed with probability (1 - 0.8 ** 4) ** 24 < 4e-6, one
-    above it less often. Rows without words or text have an empty set, link with nothing and are kept; equal sets
-    link; null ids are never the least unless alone; rows that share an id count separately, by their texts; ties
-    don't occur, as ids decide. An empty table gives an empty result. Other columns are not read.
+    With the standard bands a pair at the bound of 0.8 would be missed with probability (1 - 0.8 ** 4) ** 24 < 4e-6 if
+    hashes were independent, one above it less often; the tests measure it. Rows without words or text have an empty
+    set, link with nothing and are kept; equal sets link; null ids are never the least unless alone; rows that share
+    an id count separately, by their texts; ties don't occur, as ids decide. An empty table gives an empty result.
+    Other columns are not read.
     """
     numerator, denominator = similarity
-    spark = df.sparkSession
-    scratch = Scratch(spark, "near")
-    documents = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    scratch = Scratch(df.sparkSession, "near")
+    documents = df.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text_column)).alias("part"), F.col(text_column).alias("text"))
     signed = scratch.keep(signatures(documents, words, bands, rows), "signatures")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    nodes = scratch.keep(nodes, "nodes")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "part")).alias("rep")
+    nodes = scratch.keep(signed.filter("node is not null").groupBy("node").agg(rep, F.first("keys").alias("keys")), "nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))
-    shared = scratch.keep(banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = scratch.keep(banded.join(shared, "key"), "members")
-
-    wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    sets = _node_sets(documents, wanted, words, scratch)
-    leaders = _leaders(members, scratch)
-    led = members.join(leaders, "key").filter("hub <> node")
-    pairs = scratch.keep(led.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    met = _compared(pairs, sets, scratch)
-    alike = _alike(numerator, denominator, F.col("common"), F.col("n_a"), F.col("n_b"))
-    links = met.filter(alike).select("a", "b")
-    several = _in_several_groups(members, components(links, scratch), scratch)
-
-    few = several.filter(F.col("size") <= small)
-    other = few.select("key", F.col("node").alias("node_b"), F.col("label").alias("label_b"))
-    across = few.join(other, "key").filter("node < node_b and label <> label_b").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-    parts = met.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_b").alias("n"), "common")
-    hubbed = several.filter(F.col("size") > small).join(leaders, "key").select("hub", "node", "label").distinct().join(parts, ["hub", "node"])
-    hubbed = scratch.keep(hubbed, "hubbed")
-    beside = _sharing_beside_hub(hubbed, sets, numerator, denominator, scratch)
-    inside = _alike_inside_hub(hubbed, sets, numerator, denominator, scratch, block)
-    sizes = sets.select("node", "n")
-    pairs = across.unionByName(beside).distinct()
-    pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(_sizes_fit(numerator, denominator, F.col("n_a"), F.col("n_b")))
-    pairs = scratch.keep(pairs.select("a", "b"), "pairs")
-    links = scratch.keep(links.unionByName(inside).unionByName(_compared(pairs, sets, scratch).filter(alike).select("a", "b")), "links")
-    grouped = components(links, scratch)
-
-    least = grouped.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
-    least = scratch.keep(least, "least")
-    of_node = scratch.keep(nodes.select("node", "rep").join(grouped, "node", "left").join(least, "label", "left").select("node", F.coalesce("least", "rep").alias("component_id")), "components")
+    central = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("hub"))).alias("first"))
+    placed = scratch.keep(members.join(leaders, "key").select("key", "node", F.col("first.hub").alias("hub"), F.col("first.weight").alias("weight")), "placed")
+    labels = scratch.keep(placed.groupBy("node").agg(F.max(F.struct("weight", "hub")).alias("first")).select("node", F.col("first.hub").alias("base"), F.col("node").alias("label")), "labels")
+    sets = scratch.keep(_node_sets(documents, labels.select("node").join(nodes, "node"), words), "sets")
+    scratch.drop(members)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        kept = scratch.keep(pairs, "pairs")
+        met = _against_hub(kept, sets).filter(_alike(numerator, denominator))
+        links = scratch.keep(met.select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
+        scratch.drop(kept)
+        return links
+
+    labels = _merged(labels, linked(labels.filter("base <> node").select(F.col("base").alias("hub"), "node")), scratch)
+    unlike = (F.col("hub") != F.col("node")) & (F.col("label") != F.col("own"))
+    labels = _merged(labels, linked(_mixed(placed, labels).filter(unlike & (F.col("hub") != F.col("base"))).select("hub", "node").distinct()), scratch)
+
+    rest = scratch.keep(_mixed(placed.filter("hub <> node"), labels).select("key", "node", "hub", "base", "label"), "rest")
+    common = rest.groupBy("key").agg(F.min("base").alias("low"), F.max("base").alias("high"))
+    hub = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("hub"))
+    groups = rest.join(common, "key").select(hub.alias("hub"), "node", "label").distinct()
+    own = labels.select(F.col("node").alias("hub"), F.col("label").alias("own"))
+    groups = scratch.keep(groups.join(own, "hub"), "groups")
+    labels = _merged(labels, _links_in_blocks(groups, sets, numerator, denominator, scratch, block_rows), scratch)
+    scratch.drop(sets, placed, rest, groups)
+
+    ids = nodes.select("node", F.col("rep.doc_id").alias("rep_id"))
+    least = ids.join(labels, "node").groupBy("label").agg(F.min("rep_id").alias("least"))
+    of_node = ids.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("least", "rep_id").alias("component_id"))
+    of_node = scratch.keep(of_node, "components")
+    scratch.drop(nodes, labels)
     out = signed.select("doc_id", "n", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _in_several_groups(members: DataFrame, grouped: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, node, size, label of the members of buckets whose nodes are in several groups (a node without links is its own)."""
-    labelled = scratch.keep(members.join(grouped, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")), "labelled")
-    mixed = scratch.keep(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"), "mixed")
-    return scratch.keep(labelled.join(mixed, "key"), "several")
-
-
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of df that `near_duplicates` keeps: of every group the one with the least id; columns stay as they are.
 

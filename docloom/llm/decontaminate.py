@@ -2,7 +2,8 @@
 
 Texts and items are compared in lower case with single spaces. An item of n characters tolerates k = ratio * n
 edits. Cut into k + 1 pieces, one piece of it stands unchanged in every passage within k edits, so the pieces say
-where item-sized windows of a document are worth embedding; nothing is lost by leaving out the others.
+where item-sized windows of a document are worth embedding. k edits leave at least n - q + 1 - k * q of the item's
+q-grams in place, so windows with fewer of them are left out too. Neither loses a passage within k edits.
 
 CGK's random walk reads a string with random pauses that depend on the character under the head. Two strings that
 are few edits apart fall into step again after each edit, so their walks differ in few places: edit distance
@@ -28,6 +29,8 @@ _BASE = 0x9E3779B97F4A7C15
 PAD = 255
 #: Items of a length class differ in length by this factor at most.
 CLASS = 1.25
+#: Length of the q-grams that windows are counted by, and bits of the filter that holds those of an item.
+Q, FILTER = 5, 4096
 #: Longer items are not walked: no number of tables brings them to a recall worth having.
 WALKED = 1_000
 
@@ -59,6 +62,11 @@ def _gram_hashes(codes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _filter_codes(codes: np.ndarray) -> np.ndarray:
+    """The place in an item's filter of every q-gram."""
+    return (_gram_hashes(codes, Q) >> _U(64 - FILTER.bit_length() + 1)).astype(np.int16)
+
+
 class Walks:
     """Random walks: for each step and character class, whether the head moves on."""
 
@@ -135,6 +143,7 @@ class Plan:
     group: np.ndarray
     tables: dict[int, int]
     bits: int
+    grams: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[int | None, str]], ratio: float, recall: float, bits: int = 4, walks: int = 3, most_tables: int = 256, seed: int = 11) -> Plan:
@@ -156,7 +165,12 @@ class Plan:
         shares = rng.random((most_tables, bits))
         group = np.floor(np.log(lengths) / np.log(CLASS)).astype(int)
         codes, begins = _codes("".join(texts)), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        plan = cls(ids, texts, edits, gram, np.array(hashes, _U)[order], np.array(owners)[order], np.array(offsets)[order], walk, [shares] * walks, np.zeros((len(texts), most_tables), f"<u{bits}"), lengths, codes, begins, group, {}, bits)
+        held = np.zeros((len(texts), FILTER // 8), np.uint8)
+        if len(codes) >= Q:
+            at, owner = _filter_codes(codes), np.repeat(np.arange(len(texts)), lengths)
+            inside = np.arange(len(at)) + Q <= (begins + lengths)[owner[: len(at)]]
+            np.bitwise_or.at(held, (owner[: len(at)][inside], at[inside] >> 3), np.left_shift(1, at[inside] & 7).astype(np.uint8))
+        plan = cls(ids, texts, edits, gram, np.array(hashes, _U)[order], np.array(owners)[order], np.array(offsets)[order], walk, [shares] * walks, np.zeros((len(texts), most_tables), f"<u{bits}"), lengths, codes, begins, group, {}, bits, held)
         for g in np.unique(group).tolist():
             members = np.flatnonzero(group == g)
             if walked[members].all():
@@ -216,6 +230,24 @@ class Plan:
             met[n[meets.any(axis=1)]] = True
         return bool(met.mean() >= recall)
 
+    def _may_hold(self, grams: np.ndarray, bounds: np.ndarray, text: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether enough of the item's q-grams stand in or near each window for a passage within the item's edits."""
+        n, k = self.lengths[item], self.edits[item]
+        need = n - Q + 1 - k * Q
+        low = np.maximum(start - k, bounds[text])
+        high = np.minimum(start + n + k, bounds[text + 1] - 1) - Q + 1
+        out = need <= 0
+        todo = np.flatnonzero(~out & (high > low))
+        step = int(np.clip(2_000_000 // ((n + 2 * k).max(initial=1)), 1, 8192))
+        for a in range(0, len(todo), step):
+            rows = todo[a : a + step]
+            at = low[rows, None] + np.arange(int((high - low)[rows].max()))
+            inside = at < high[rows, None]
+            code = grams[np.where(inside, at, 0)]
+            hit = self.grams[item[rows, None], code >> 3] >> (code & 7).astype(np.uint8) & 1
+            out[rows] = (hit.astype(bool) & inside).sum(axis=1) >= need[rows]
+        return out
+
     def find(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(text, item, least edits) of every match in some texts."""
         clean = [normalized(t) for t in texts]
@@ -239,9 +271,11 @@ class Plan:
         if not len(start):
             return []
         windows = np.unique(np.stack([text, item, start]), axis=1)
+        windows = windows[:, np.argsort(self.lengths[windows[1]], kind="stable")]
+        grams = _filter_codes(codes)
+        windows = np.concatenate([w[:, self._may_hold(grams, bounds, *w)] for w in (windows[:, a : a + 65_536] for a in range(0, windows.shape[1], 65_536))], axis=1)
         classes = np.append(_classes(codes), np.full(1, PAD, np.uint8))
         best: dict[tuple[int, int], int] = {}
-        windows = windows[:, np.argsort(self.lengths[windows[1]], kind="stable")]
         group = self.group[windows[1]]
         for g in np.unique(group).tolist():
             mine, tables = windows[:, group == g], self.tables[g]
@@ -276,11 +310,12 @@ def item_blocks(items: DataFrame, id_column: str, text_column: str, most_chars:
     for row in items.select(id_column, text_column).filter(f"`{text_column}` is not null").distinct().orderBy(text_column, id_column).toLocalIterator():
         text = normalized(row[1])
         if text:
-            if block and held + len(text) > most_chars:
+            size = max(len(text), 200)  # each item costs keys and a filter, however short
+            if block and held + size > most_chars:
                 yield block
                 block, held = [], 0
             block.append((row[0], text))
-            held += len(text)
+            held += size
     if block:
         yield block
 
@@ -292,8 +327,9 @@ def contaminated(documents: DataFrame, items: DataFrame, ratio: float = 0.1, rec
     the document. Items go to the tasks in blocks of at most `most_chars` characters, each in its own pass over the
     documents, so that what is sent is bounded however many items there are; items of very unlike lengths (under 40
     characters) get passes of their own. Exact copies are always found. Passages at the bound are found with at
-    least about the target recall in length classes whose tables reach it, and all of them in the others. Null and empty texts and items match nothing; repeated rows give repeated matches; an item text under
-    several ids is reported under each; an empty table on either side gives no rows; other columns are not read.
+    least about the target recall in length classes whose tables reach it, and all of them in the others. Null and
+    empty texts and items match nothing; repeated rows give repeated matches; an item text under several ids is
+    reported under each; an empty table on either side gives no rows; other columns are not read.
     """
     spark = documents.sparkSession
     texts = documents.selectExpr(f"cast(`{id_column}` as long) doc_id", f"`{text_column}` text").filter("text is not null")

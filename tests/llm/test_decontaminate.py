@@ -116,3 +116,32 @@ def test_one_unchanged_piece_is_enough():
         texts.append("before it " + "".join(changed) + " after it")
     found = [(t, i, e) for t, i, e in plan.find(texts) if t == i]
     assert len(found) >= 0.9 * len(items) and all(e == 9 for _, _, e in found)
+
+
+def test_edits_at_both_ends_and_long_items():
+    """Edits of the first and last characters, and items of thousands of characters beside short ones."""
+    rng = random.Random(7)
+    short, long = passages(rng, 20, 40), [p[:20_000] for p in passages(rng, 2, 4_000)]
+    items = [dc.normalized(t) for t in [*short, *long]]
+    plan = dc.Plan.of(list(enumerate(items)), 0.1, 0.98)
+    texts = []
+    for t in items:
+        k = max(1, len(t) // 40)
+        texts.append(dc.normalized(f"{passages(rng, 1, 30)[0]} {'#' * k}{t[k:-k]}{'%' * k} {passages(rng, 1, 30)[0]}"))
+    found = {(t, i): e for t, i, e in plan.find(texts)}
+    hits = [n for n in range(len(items)) if (n, n) in found]
+    assert len(hits) >= 0.9 * len(items) and {20, 21} <= set(hits)
+    assert all(found[n, n] == 2 * max(1, len(items[n]) // 40) for n in hits)
+    assert plan.grams.nbytes <= 600 * len(items)
+
+
+def test_the_gram_count_loses_nothing():
+    """Every window that holds a passage within the bound has the q-grams that it must have."""
+    rng = random.Random(8)
+    items = [dc.normalized(p) for n in (8, 20, 60) for p in passages(rng, 25, n)]
+    plan = dc.Plan.of(list(enumerate(items)), 0.1, 0.98)
+    texts = [dc.normalized(edited(t, len(t) // 10, rng)) for t in items]
+    codes = dc._codes("\uffff".join([*texts, ""]))
+    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    at = np.arange(len(items))
+    assert plan._may_hold(dc._filter_codes(codes), bounds, at, at, bounds[:-1]).all()

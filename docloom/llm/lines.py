@@ -25,7 +25,7 @@ WORD = r"[^ \t-\r]+"
 def _numbered_lines(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """doc, part, at, pos, words and the 128-bit id of every line with a word; `at` numbers those, `pos` all lines."""
     text = F.col(text_column)
-    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("id_a"), F.xxhash64(x, F.lit(1)).alias("id_b"), F.regexp_count(x, F.lit(WORD)).alias("words")))
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("id_a"), F.xxhash64(F.lit(1), x).alias("id_b"), F.regexp_count(x, F.lit(WORD)).alias("words")))
     return (
         df.filter(text.isNotNull())
         .select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("part"), F.posexplode(F.filter(lines, lambda x: x["words"] > 0)).alias("at", "line"))
@@ -124,7 +124,9 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     joined = left.join(cuts, (F.col("__part") == F.col("__cut_part")) & F.col("__doc").eqNullSafe(F.col("__cut_doc")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     split = F.split(F.col(text_column), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("removed", i)), "\n")
+    bounds = F.concat(F.array(F.lit(-1)), removed, F.array(F.size(split)))  # what stays lies between them
+    between = F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda i: F.slice(split, F.get(bounds, i - 1) + 2, F.get(bounds, i) - F.get(bounds, i - 1) - 1))
+    kept = F.array_join(F.flatten(between), "\n")
     text = F.when(F.col("removed").isNull(), F.col(text_column)).otherwise(kept)
     lines = F.when(F.col(text_column).isNull(), 0).otherwise(F.size(split))
     return joined.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in names], lines.cast("long").alias("lines"), removed.alias("removed"))

@@ -6,13 +6,13 @@ L2) separate the families pairwise, and inside each family every pair of languag
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 BINS = 4096
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def family_of(language: str) -> str:
@@ -50,7 +50,7 @@ _TABLE = _byte_table()
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """A row for each text: square roots of its counts of hashed byte pairs and triples, of length one."""
+    """A row for each text, in lower case: square roots of its counts of hashed byte pairs and triples, of length one."""
     joined = np.frombuffer(b"  ".join([b"", *texts, b""]), dtype=np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     at = np.repeat(np.arange(len(texts)), lengths + 2)[: len(joined) - 2]
@@ -164,7 +164,7 @@ def fit(documents: DataFrame, most_per_language: int = 600) -> LanguageModel | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1_000_000, 256):
-            x = features(batch.column("text").cast(pa.binary()).to_pylist())
+            x = features([t.lower().encode() for t in batch.column("text").to_pylist()])
             rows = [np.round(r * 65535).astype("<u2").tobytes() for r in x]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rows, pa.binary())], ["lang", "x"])
 
@@ -190,7 +190,7 @@ def identify(documents: DataFrame, model: LanguageModel | None, id_column: str =
             known = [i for i, t in enumerate(texts) if model is not None and t and _LETTER.search(t)]
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if known:
-                found, sure = model.predict(features([texts[i].encode() for i in known]))
+                found, sure = model.predict(features([texts[i].lower().encode() for i in known]))
                 for i, name in zip(known, found, strict=True):
                     names[i] = name
                 scores[known] = sure
@@ -201,10 +201,11 @@ def identify(documents: DataFrame, model: LanguageModel | None, id_column: str =
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(documents: DataFrame, model: LanguageModel | None, text_column: str = "text", min_score: float = 0.0) -> DataFrame:
+def keep_identified(documents: DataFrame, model: LanguageModel | None, text_column: str = "text", min_score: float = 0.5) -> DataFrame:
     """The documents whose language is known with at least `min_score`; all columns stay as they are.
 
-    Rejected are null texts, texts without a letter and those scored below the bound.
+    Rejected are null texts, texts without a letter and those scored below the bound: at 0.5 a pair of languages or
+    of families is left open, as in texts of a word or two.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +214,7 @@ def keep_identified(documents: DataFrame, model: LanguageModel | None, text_colu
             keep = np.zeros(len(texts), bool)
             known = [i for i, t in enumerate(texts) if model is not None and t and _LETTER.search(t)]
             if known:
-                keep[known] = model.predict(features([texts[i].encode() for i in known]))[1] >= min_score
+                keep[known] = model.predict(features([texts[i].lower().encode() for i in known]))[1] >= min_score
             yield batch.filter(pa.array(keep))
 
     return documents.mapInArrow(judge, documents.schema)

@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from docloom.llm import langid
 
 
@@ -32,10 +34,57 @@ def test_awkward_rows(spark, awkward, documents):
     got = {r.doc_id: r for r in langid.identify(awkward, model).collect()}
     assert [got[k].lang_pred for k in (2, 3, 4)] == ["und"] * 3 and got[2].score == 0.0
     assert got[8].lang_pred != "und" and not got[None].held_out
-    kept = langid.keep_identified(awkward, model)
+    kept = langid.keep_identified(awkward, model, min_score=0.0)
     assert kept.columns == awkward.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 5, 6, 8]
 
 
+def test_only_letters_make_a_language(spark, documents):
+    """Digits of any kind, number forms and signs aren't letters; letters of any script are."""
+    model = langid.fit(documents)
+    rows = [(1, "½ ² ①"), (2, "12 345 Ⅷ ٣"), (3, "…—!"), (4, "漢"), (5, "½a"), (6, "ª")]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[k].lang_pred == "und" for k in range(1, 7)] == [True, True, True, False, False, False]
+
+
+def test_capitals_with_accents_count_as_small_ones(spark, documents):
+    model = langid.fit(documents)
+    rows = [(1, "über die straße für études"), (2, "ÜBER DIE STRAßE FÜR ÉTUDES")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] == got[2]
+
+
+def test_rejected_are_the_doubtful_ones(spark):
+    """The stage's bound drops what identify scores below it, and nearly nothing of clean documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    scores = {r.doc_id: r.score for r in langid.identify(docs, model).collect()}
+    kept = {r.doc_id for r in langid.keep_identified(docs, model).collect()}
+    assert kept == {k for k, x in scores.items() if x >= 0.5} and len(kept) >= 0.99 * len(scores)
+    mixed = spark.createDataFrame([(1, "a"), (2, "the und les")], docs.select("doc_id", "text").schema)
+    strict = langid.keep_identified(mixed, model, min_score=0.999)
+    assert strict.count() == 0
+
+
+def test_pairwise_votes_against_plain_loops():
+    """One-versus-one by hand: most pairs won, then the margins; the score is the least logistic margin."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 12)).astype(np.float32)
+    labels = np.array(["a", "b", "c", "d"])[(x[:, :4] + 0.3 * rng.normal(size=(300, 4))).argmax(axis=1)]
+    model = langid.Pairwise.fit(x, labels)
+    best, sure = model.predict(x)
+    for row, k, s in zip(x, best, sure, strict=True):
+        votes, least = dict.fromkeys(range(4), 0.0), dict.fromkeys(range(4), 1.0)
+        for n, (i, j) in enumerate(model.pairs):
+            m = float(row @ model.weights[:, n] + model.biases[n])
+            won, lost = (i, j) if m >= 0 else (j, i)
+            votes[won] += 1 + 1e-3 * np.tanh(abs(m))
+            votes[lost] -= 1e-3 * np.tanh(abs(m))
+            p = 1 / (1 + np.exp(-3 * m))
+            least[i], least[j] = min(least[i], p), min(least[j], 1 - p)
+        assert votes[k] >= max(votes.values()) - 1e-6 and abs(least[k] - s) < 1e-4
+    assert (np.array(model.classes)[best] == labels).mean() > 0.85
+
+
 def test_nothing_to_learn_from(spark, documents):
     empty = documents.limit(0)
     assert langid.fit(empty) is None and langid.identify(empty, None).count() == 0

@@ -3,7 +3,7 @@
 URLs that a rule allows or blocks train an accepted and a rejected model. Both are variable-order Markov models:
 Witten-Bell smoothing blends each context with its shorter ones, and a context that a class never showed leaves
 the word to the shorter one. The verdict on other URLs is the difference of log-likelihoods per character against
-a threshold calibrated on the URLs that rules decided.
+a threshold. Of the URLs that rules decided one in HELD_OUT isn't counted by the models: these calibrate it.
 
 Everything is DataFrame functions; the counts are a table that grows with the corpus.
 """
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import Scratch, lower_ascii
 
 START, STOP = "\x02", "\x03"
+#: Of the strings that rules decided, those whose hash is 0 modulo this are kept for the calibration.
+HELD_OUT = 5
 
 
 @dataclass(frozen=True)
@@ -131,16 +133,19 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, order: int = 4,
     The verdict is the longest fitting rule's, else allow where the score (log2-likelihood difference per character
     of host + path and their end) is at least the calibrated threshold. Null URLs and URLs without `://` have an
     empty host and path and are scored as the empty string; repeated rows stay and get equal verdicts; with no
-    URL decided by a rule all scores are 0 and the rest are allowed; other columns are not read.
+    URL decided by a rule all scores are 0 and the rest are allowed; where the held-out URLs lack a class the
+    threshold is 0; other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     ruled = scratch.keep(with_rules(pages, rules, id_column, url_column).withColumn("string", F.concat("host", "path")), "ruled")
     strings = ruled.groupBy("string").agg(F.count_if(F.col("ruled") == "allow").alias("accepted"), F.count_if(F.col("ruled") == "block").alias("rejected"))
     strings = scratch.keep(strings, "strings")
-    table = scratch.keep(model_table(strings, scratch, order), "model")
+    held_out = F.pmod(F.xxhash64("string"), F.lit(HELD_OUT)) == 0
+    counted = {c: F.when(held_out, 0).otherwise(F.col(c)) for c in ("accepted", "rejected")}
+    table = scratch.keep(model_table(strings.withColumns(counted), scratch, order), "model")
     parts = _grams(strings, order).join(table, "gram")
     score = F.round(F.sum("llr") / F.count("*"), 9)
     scored = scratch.keep(parts.groupBy("string").agg(score.alias("score"), F.first("accepted").alias("accepted"), F.first("rejected").alias("rejected")), "scored")
-    bound = calibrated_threshold(scored)
+    bound = calibrated_threshold(scored.filter(held_out))
     method = F.when(F.col("score") >= bound, "allow").otherwise("block")
     return ruled.join(scored.select("string", "score"), "string", "left").select("page_id", "host", "path", F.when(F.col("rule").isNotNull(), F.col("rule")).alias("rule"), F.coalesce("ruled", method).alias("verdict"), "score")

@@ -19,8 +19,8 @@ def rule_of(host, path):
     return max(fits, key=lambda r: len(r.name), default=None)
 
 
-def brute(rows, order=4):
-    """page -> (host, path, rule, verdict) with models counted in dictionaries."""
+def brute(rows, held_out, order=4):
+    """page -> (host, path, rule, verdict) with models counted in dictionaries, but for the pages held out."""
     parsed = {k: parse(u) for k, u in rows}
     ruled = {k: rule_of(*hp) for k, hp in parsed.items()}
     grams = {True: Counter(), False: Counter()}
@@ -28,7 +28,7 @@ def brute(rows, order=4):
     for k, (h, p) in parsed.items():
         text = urls.START * order + h + p + urls.STOP
         letters |= set(text[order:])
-        if ruled[k]:
+        if ruled[k] and k not in held_out:
             for i in range(order, len(text)):
                 for n in range(order + 1):
                     grams[ruled[k].verdict == "allow"][text[i - n : i + 1]] += 1
@@ -60,7 +60,9 @@ def test_matches_brute_force(spark):
     rows += [(9001, None), (9002, "no scheme"), (9003, "HTTP://Ex.ORG"), (9004, "http://a.b?x=/en/"), (9005, "http://COM/en/x"), (9006, "http://xcom/en/"), (9007, "x://y://z/q#://")]
     del support
     got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    parsed, ruled, scores = brute(rows)
+    strings = spark.createDataFrame([(k, "".join(parse(u))) for k, u in rows], "page_id long, string string")
+    held_out = {r.page_id for r in strings.filter(f"pmod(xxhash64(string), {urls.HELD_OUT}) = 0").collect()}
+    parsed, ruled, scores = brute(rows, held_out)
     for k, _ in rows:
         assert (got[k].host, got[k].path) == parsed[k]
         assert got[k].rule == (ruled[k].name if ruled[k] else None)
@@ -69,6 +71,13 @@ def test_matches_brute_force(spark):
     assert {r.verdict for r in free} == {"allow", "block"}
     assert min(r.score for r in free if r.verdict == "allow") >= max(r.score for r in free if r.verdict == "block")
     assert all(got[k].verdict == r.verdict for k, r in ruled.items() if r)
+    steps = {True: [], False: []}
+    for k in held_out:
+        if ruled[k]:
+            steps[ruled[k].verdict == "allow"].append(got[k].score)
+    bound = max(r.score for r in free if r.verdict == "block")
+    errors = lambda b: sum(x < b for x in steps[True]) / len(steps[True]) + sum(x >= b for x in steps[False]) / len(steps[False])
+    assert errors(bound + 1e-9) <= min(errors(b) for b in [*steps[True], *steps[False]]) + 0.05
 
 
 def test_no_rule_and_empty(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,37 +23,82 @@ TITLE_ARTICLES = ("le", "la", "les", "l", "de", "des", "du", "d")
 CURRENCIES = ("€", "eur", "euros", "euro")
 
 
-def _folding() -> tuple[str, str, dict[str, str]]:
-    """Precomposed letters and their bases (one to one), and what becomes several characters, from Unicode's tables."""
-    single, several = {}, {}
-    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
+# Hangul syllables are numbered by their leading consonant, vowel and trailing consonant.
+_HANGUL, _LEADS, _VOWELS, _TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7
+_VOWEL_COUNT, _TAIL_COUNT = 21, 28
+
+
+@lru_cache(maxsize=1)
+def folding() -> tuple[str, str, dict[str, str]]:
+    """From Unicode's tables: characters that fold to one (the rest of them to nothing), what these become, and those that fold to several.
+
+    Compatibility forms and diacritics are undone, ligatures opened and letters made small, character by character.
+    Hangul syllables, which fold by a rule, aren't listed.
+    """
+    single, several, gone = {}, {}, []
+    for code in range(0x80, 0x30000):
+        if 0xD800 <= code < 0xE000 or _HANGUL <= code < _HANGUL + 19 * _VOWEL_COUNT * _TAIL_COUNT:
+            continue
         c = chr(code)
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if plain != c and c not in APOSTROPHES + QUOTES + DASHES + BULLETS:
+        plain = "".join(LIGATURES.get(x, x) for x in unicodedata.normalize("NFKD", c))
+        plain = "".join(x for x in plain if not unicodedata.combining(x)).lower().replace(SOFT_HYPHEN, "")
+        if not plain:
+            gone.append(c)
+        elif plain != c:
             (single if len(plain) == 1 else several)[c] = plain
-    return "".join(single), "".join(single.values()), several | LIGATURES
+    return "".join([*single, *gone]), "".join(single.values()), several
+
 
+def _in_class(characters: str) -> str:
+    """A regular expression's character class of code point ranges."""
+    codes, ranges = sorted(map(ord, characters)), []
+    for code in codes:
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{x:x}}}" if x == y else f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in ranges) + "]"
 
-_FROM, _TO, _SEVERAL = _folding()
+
+def _hangul(text: Column) -> Column:
+    """Hangul syllables as their two or three letters."""
+
+    def opened(c: Column) -> Column:
+        n = F.ascii(c) - _HANGUL
+        letter = lambda first, count, at: F.substring(F.lit("".join(chr(first + i) for i in range(count))), at + 1, F.lit(1))
+        lead = letter(_LEADS, 19, F.floor(n / (_VOWEL_COUNT * _TAIL_COUNT)).cast("int"))
+        vowel = letter(_VOWELS, _VOWEL_COUNT, (F.floor(n / _TAIL_COUNT) % _VOWEL_COUNT).cast("int"))
+        tail = n % _TAIL_COUNT
+        return F.concat(lead, vowel, F.when(tail > 0, letter(_TAILS, _TAIL_COUNT, tail)).otherwise(""))
+
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike("[\\x{ac00}-\\x{d7a3}]"), opened(c)).otherwise(c)), "")
 
 
 def fold(text: Column) -> Column:
-    """Compatibility forms and diacritics undone, lower case; soft hyphens dropped."""
-    out = F.translate(text, _FROM, _TO)
-    rare = "[" + "".join(_SEVERAL) + "]"
-    table = F.array(*[F.struct(F.lit(c).alias("from"), F.lit(plain).alias("to")) for c, plain in _SEVERAL.items()])
-    expanded = F.aggregate(table, out, lambda done, x: F.replace(done, x["from"], x["to"]))
-    out = F.when(out.rlike(rare), expanded).otherwise(out)
-    return F.lower(F.regexp_replace(out, "[̀-ͯ" + SOFT_HYPHEN + "]", ""))
+    """Compatibility forms and diacritics undone, lower case; combining marks and soft hyphens dropped.
+
+    ASCII texts only get lower case. Characters that become several are looked up one by one where a text has any.
+    """
+    known, plain, several = folding()
+    rare = _in_class("".join(several))
+    values = F.split(F.lit("\x00".join(several.values())), "\x00")
+    keys = F.lit("".join(several))
+    one = lambda c: F.when(c.rlike(rare), F.get(values, F.instr(keys, c) - 1)).otherwise(c)
+    out = F.when(text.rlike(rare), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+    out = F.when(text.rlike("[\\x{ac00}-\\x{d7a3}]"), _hangul(out)).otherwise(out)
+    return F.when(text.rlike("[^\\x00-\\x7f]"), F.lower(F.translate(out, known, plain))).otherwise(F.lower(text))
 
 
 def normalize(text: Column) -> Column:
     """One spelling for matching: folded letters, unified quotes and dashes, hyphenation undone, single spaces, trimmed."""
-    out = F.regexp_replace(fold(text), r"(?m)^[ \t]*[-–—][ \t]+", " ")
-    out = F.regexp_replace(out, f"«[{SPACE}]*", '"')
-    out = F.regexp_replace(out, f"[{SPACE}]*»", '"')
+    out = fold(text)
+    dashed = F.regexp_replace(out, r"(?md)^[ \t]*[-–—][ \t]+", " ")
+    out = F.when(text.rlike("[^\\x00-\\x7f]|-"), dashed).otherwise(out)
+    quoted = F.regexp_replace(F.regexp_replace(out, f"«[{SPACE}]*", '"'), f"[{SPACE}]*»", '"')
+    out = F.when(text.rlike("[«»]"), quoted).otherwise(out)
     out = F.translate(out, APOSTROPHES + QUOTES + DASHES, "'" * len(APOSTROPHES) + '"' * len(QUOTES) + "-" * len(DASHES))
-    out = F.regexp_replace(out, f"-[{SPACE}]*\\n[{SPACE}]*", "")
+    joined = F.regexp_replace(out, f"-[{SPACE}]*\\n[{SPACE}]*", "")
+    out = F.when(F.contains(text, F.lit("\n")), joined).otherwise(out)
     out = F.regexp_replace(out, f"[{SPACE}|{BULLETS}]+", " ")
     return F.trim(out)
 

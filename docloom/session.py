@@ -25,3 +25,9 @@ def build_session(app: str = "docloom", master: str | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied Parquet tables (a file or a folder)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """A table that fewer tasks would read than there are cores, dealt out for costly work on its rows; a large one as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame

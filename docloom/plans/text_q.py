@@ -152,12 +152,12 @@ def n16(spark, sf):
 _REPLY = "trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'))"
 
 
-@query(
-    "n17_classify_reply",
-    f"""SELECT conv_id, turn, CASE WHEN {_REPLY} IN {_in(UNSURE)} THEN 'unknown' WHEN {_REPLY} IN {_in(YES)} THEN 'affirmative'
-    WHEN {_REPLY} IN {_in(NO)} OR regexp_matches({_REPLY}, '^(non|no)(\\b|\\s*[,;:.!?])') OR {' OR '.join(f"regexp_matches({_REPLY}, '" + d.replace("'", "''") + "')" for d in DENIALS)} THEN 'negative' ELSE 'ambiguous' END AS meaning
-    FROM conversations WHERE role = 'user'""",
-)
+MEANING = f"""SELECT conv_id, turn, CASE WHEN {_REPLY} IN {_in(UNSURE)} THEN 'unknown' WHEN {_REPLY} IN {_in(YES)} THEN 'affirmative'
+WHEN {_REPLY} IN {_in(NO)} OR regexp_matches({_REPLY}, '^(non|no)(\\b|\\s*[,;:.!?])') OR {' OR '.join(f"regexp_matches({_REPLY}, '" + d.replace("'", "''") + "')" for d in DENIALS)} THEN 'negative' ELSE 'ambiguous' END AS meaning
+FROM conversations WHERE role = 'user'"""
+
+
+@query("n17_classify_reply", MEANING)
 def n17(spark, sf):
     meaning = tx.classify_reply(F.col("text"), YES, NO, UNSURE, DENIALS)
     return Tables(spark, sf).conversations.filter("role = 'user'").select("conv_id", "turn", meaning.alias("meaning"))

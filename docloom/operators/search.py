@@ -51,3 +51,26 @@ def best(scored: DataFrame, most: int) -> DataFrame:
     """The first `most` blocks of each question, best first; corpus and block end the order, so it is total."""
     order = Window.partitionBy("question").orderBy(F.desc("full"), F.desc("partial"), F.desc("precision"), F.desc("coverage"), "corpus", "block")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
+def holders(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, token: the words of a vocabulary (token) that contain a term (term), be it at their start, end or inside.
+
+    They meet on the term's first three characters (all of a shorter one), among the grams of the words; a vocabulary
+    grows far slower than its texts.
+    """
+    token = F.col("token")
+    sizes = F.array(*[F.lit(n) for n in (1, 2, 3)])
+    grams = F.flatten(F.transform(sizes, lambda n: F.when(F.length(token) >= n, F.transform(F.sequence(F.lit(1), F.length(token) - n + 1), lambda i: F.substring(token, i, n))).otherwise(F.array().cast("array<string>"))))
+    held = vocabulary.select("token").distinct().select("token", F.explode(F.array_distinct(grams)).alias("gram"))
+    asked = terms.select("term").filter("term <> ''").distinct().withColumn("gram", F.substring("term", 1, 3))
+    return held.join(asked, "gram").filter(F.contains("token", "term")).select("term", "token")
+
+
+def term_hits(held: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, key, head: the texts (key) that contain a term in one of their words, and whether in their head.
+
+    held: key, token, head (boolean). A text contains a term without spaces where one of its words does.
+    """
+    met = holders(held, terms)
+    return held.join(met, "token").groupBy("term", "key").agg(F.bool_or("head").alias("head"))

@@ -1,8 +1,8 @@
 """Ordered block trees: closure, paths, reading order, sections and their enumerations.
 
 Frames: nodes(node_id, parent_id, level, title, key), blocks(block_id, node_id, ord, kind, confirmed, ...). Children
-come at ord = CHILD + key among their parent's blocks. Depth is a fixed small bound, so closures are a few joins
-that double the distance covered, with nothing collected.
+come at ord = CHILD + key among their parent's blocks. Closures are joins that double the distance covered until
+nothing is added.
 """
 
 from __future__ import annotations
@@ -15,17 +15,28 @@ CHILD = 1_000_000_000_000
 HEADING = "heading"
 
 
-def closure(nodes: DataFrame, doublings: int = 3) -> DataFrame:
-    """ancestor, descendant, distance: every node with itself and all above it, up to 2 ** doublings - 1 levels."""
+def closure(nodes: DataFrame) -> DataFrame:
+    """ancestor, descendant, distance: every node with itself and all above it, however deep the tree is.
+
+    Each step doubles the distance covered, until it adds nothing; two counts are all that reaches the driver. Steps
+    are persisted, as each is read by all later ones. Where nodes form a cycle it ends with the step that meets itself.
+    """
     above = nodes.filter("parent_id is not null").select(F.col("parent_id").alias("ancestor"), F.col("node_id").alias("descendant"), F.lit(1).alias("distance"))
-    far, span = above, above
-    for _ in range(doublings - 1):
-        low, high = span.alias("low"), far.alias("high")
-        step = low.join(high, F.col("low.ancestor") == F.col("high.descendant")).select(F.col("high.ancestor").alias("ancestor"), F.col("low.descendant").alias("descendant"), (F.col("low.distance") + F.col("high.distance")).alias("distance"))
-        far = far.unionByName(step).distinct()
-        span = far
     own = nodes.select(F.col("node_id").alias("ancestor"), F.col("node_id").alias("descendant"), F.lit(0).alias("distance"))
-    return own.unionByName(far)
+    last, reached = above, above
+    while True:
+        # what is `far` above a node's ancestor at the largest distance so far is that much farther
+        far, low = reached.alias("far"), last.alias("low")
+        distance = (F.col("low.distance") + F.col("far.distance")).alias("distance")
+        step = low.join(far, F.col("low.ancestor") == F.col("far.descendant")).select(F.col("far.ancestor").alias("ancestor"), F.col("low.descendant").alias("descendant"), distance).persist()
+        found = step.agg(F.count("*").alias("n"), F.count_if(F.col("ancestor") == F.col("descendant")).alias("cycles"), F.max("distance").alias("most")).first()
+        if not found["n"]:
+            step.unpersist()
+            return own.unionByName(reached)
+        reached = reached.unionByName(step)
+        if found["cycles"]:
+            return own.unionByName(reached)
+        last = step.filter(F.col("distance") == found["most"])
 
 
 def paths(nodes: DataFrame, up: DataFrame) -> DataFrame:

@@ -2,32 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.operators import search
 from docloom.plans.base import LINES, Tables, lines, norm_sql, query, words_sql
 from docloom.plans.text_q import NEGATIONS, _in
+from docloom.session import spread
 
 N = norm_sql
 
 
-def quote_places(items, documents):
-    """item_id, doc_id, start: where each quote stands in a text, by an exact match in normalised form.
+def quote_places(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """item_id, doc_id, start, length, norm: where each quote stands in a text, by an exact match in normalised form.
 
-    Texts meet quotes on a word of the quote that few texts hold, so that the containment test runs on candidates.
+    Texts meet quotes on a word of the quote that few texts hold, so that the containment test runs on candidates;
+    only the texts of candidates are normalised again. The first and last word of a quote may be parts of longer
+    words in a text: quotes without a word between them meet on the words that contain their longest one. Quotes
+    without a word are found nowhere.
     """
     quotes = items.select("item_id", tx.normalize(F.col("text")).alias("quote"))
-    texts = documents.select("doc_id", tx.normalize(F.col("text")).alias("norm"))
-    held = texts.select("doc_id", F.explode(F.array_distinct(tx.words(F.col("norm")))).alias("token"))
-    # the first and last word of a quote may be parts of longer words in a text
-    inner = F.array_distinct(F.slice(tx.words(F.col("quote")), 2, F.greatest(F.size(tx.words(F.col("quote"))) - 2, F.lit(0))))
-    asked = quotes.select("item_id", F.explode(inner).alias("token"))
+    quotes = quotes.withColumn("w", tx.words(F.col("quote")))
+    held = spread(documents.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(tx.words(tx.normalize(F.col("text"))))).alias("token"))
+    asked = quotes.filter(F.size("w") > 2).select("item_id", F.explode(F.array_distinct(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))).alias("token"))
     frequency = held.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     rarest = asked.join(frequency, "token", "left").groupBy("item_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
-    candidates = held.join(rarest, "token").select("item_id", "doc_id")
-    met = candidates.join(quotes, "item_id").join(texts, "doc_id")
-    return met.select("item_id", "doc_id", F.expr("locate(quote, norm)").alias("start"), F.length("quote").alias("length")).filter("start > 0")
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    short = quotes.filter(F.size("w").between(1, 2)).select("item_id", longest.alias("term"))
+    parts = short.join(search.holders(held, short), "term").select("item_id", "token")
+    candidates = held.join(rarest.unionByName(parts), "token").select("doc_id", "item_id").distinct().join(quotes.drop("w"), "item_id")
+    by_text = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "quote")).alias("asked"))
+    met = documents.select("doc_id", "text").join(by_text, "doc_id").select("doc_id", tx.normalize(F.col("text")).alias("norm"), "asked")
+    met = met.select("doc_id", "norm", F.explode("asked").alias("q")).select("doc_id", "norm", "q.item_id", "q.quote")
+    return met.select("item_id", "doc_id", F.expr("locate(quote, norm)").alias("start"), F.length("quote").alias("length"), "norm").filter("start > 0")
 
 
 @query(
@@ -49,7 +57,7 @@ def v1(spark, sf):
 def v2(spark, sf):
     """A proven quote's span, widened to whole words."""
     t = Tables(spark, sf)
-    places = quote_places(t.benchmark, t.documents).join(t.documents.select("doc_id", tx.normalize(F.col("text")).alias("norm")), "doc_id")
+    places = quote_places(t.benchmark, t.documents)
     before = F.length(F.regexp_extract(F.substring(F.col("norm"), F.lit(1), F.col("start") - 1), "[a-z0-9]*$", 0))
     behind = F.length(F.regexp_extract(F.expr("substring(norm, start + length)"), "^[a-z0-9]*", 0))
     return places.select("item_id", "doc_id", (F.col("start") - before).alias("first"), (F.col("start") + F.col("length") - 1 + behind).alias("last"))
@@ -76,7 +84,7 @@ def v6(spark, sf):
     return runs.groupBy("conv_id", "run").agg(F.count("*").alias("segments"), F.sha2(text.cast("binary"), 256).alias("digest"))
 
 
-_LINE_WORDS = f"k AS (SELECT doc_id, seq, unnest(generate_series(1, len(w))) AS pos, unnest(w) AS token FROM (SELECT doc_id, seq, {words_sql(N('line'))} AS w FROM lines WHERE seq <= 3)), m AS (SELECT doc_id, token, max(CASE WHEN token IN {_in(NEGATIONS)} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, seq ORDER BY pos ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS neg FROM k)"
+_LINE_WORDS = f"k AS (SELECT doc_id, seq, unnest(generate_series(1, len(w))) AS pos, unnest(w) AS token FROM (SELECT doc_id, seq, {words_sql(N('line'))} AS w FROM lines)), m AS (SELECT doc_id, token, max(CASE WHEN token IN {_in(NEGATIONS)} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, seq ORDER BY pos ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS neg FROM k)"
 
 
 @query("v8_v9_affirmed_words", f"WITH {LINES}, {_LINE_WORDS} SELECT doc_id, CAST(count(*) FILTER (NOT denied) AS BIGINT) AS affirmed, CAST(count(*) FILTER (denied) AS BIGINT) AS denied FROM (SELECT doc_id, token, bool_and(neg = 1) AS denied FROM m WHERE length(token) > 4 GROUP BY doc_id, token) GROUP BY doc_id")
@@ -85,7 +93,7 @@ def v8(spark, sf):
     words = tx.words(tx.normalize(F.col("line")))
     # a lambda's variable holds the words once; a column would be computed again for every word
     zipped = F.flatten(F.transform(F.array(words), lambda w: F.zip_with(w, tx.negation_marks(w, NEGATIONS, 6), lambda a, b: F.struct(a.alias("token"), b.alias("neg")))))
-    each = lines(Tables(spark, sf)).filter("seq <= 3").select("doc_id", F.explode(zipped).alias("z")).select("doc_id", "z.token", "z.neg").filter(F.length("token") > 4)
+    each = lines(Tables(spark, sf)).select("doc_id", F.explode(zipped).alias("z")).select("doc_id", "z.token", "z.neg").filter(F.length("token") > 4)
     per_word = each.groupBy("doc_id", "token").agg(F.bool_and("neg").alias("denied"))
     return per_word.groupBy("doc_id").agg(F.count_if(~F.col("denied")).alias("affirmed"), F.count_if("denied").alias("denied"))
 
@@ -130,18 +138,42 @@ def v17(spark, sf):
     return rows.groupBy("claim").agg(F.min(origin).alias("origin")).filter("origin is not null")
 
 
+_UNITS = r"(?<=[.!?…])\s+(?=[A-ZÀ-Þ])"
+
+
 @query(
     "r24_covering_passage",
-    f"""WITH c AS (SELECT doc_id, regexp_replace(trim(text), '([.!?…])\\s+([A-ZÀ-Þ])', '\\1' || chr(1) || '\\2', 'g') AS c FROM documents WHERE doc_id % 5 = 0),
-    u AS (SELECT doc_id, CAST(unnest(generate_series(1, len(p))) AS INT) AS i, unnest(p) AS s FROM (SELECT doc_id, string_split(c, chr(1))[1:12] AS p FROM c)),
-    w AS (SELECT a.doc_id, a.i AS lo, b.i AS hi, string_agg(x.s, ' ' ORDER BY x.i) AS span FROM u a JOIN u b ON b.doc_id = a.doc_id AND b.i >= a.i JOIN u x ON x.doc_id = a.doc_id AND x.i BETWEEN a.i AND b.i GROUP BY a.doc_id, a.i, b.i)
-    SELECT doc_id, arg_min(lo, length(span) * 1000 + lo) AS lo, min(length(span)) AS length FROM w WHERE contains({N('span')}, 'er') AND contains({N('span')}, 'en') AND contains({N('span')}, 'st') GROUP BY doc_id""",
+    f"""WITH {LINES}, phrase AS (SELECT doc_id, list_distinct(list_filter({words_sql(N('line'))}, lambda x: length(x) > 3)) AS w FROM lines WHERE seq = 1),
+    cut AS (SELECT doc_id, seq, string_split(regexp_replace(trim(line), '([.!?…])\\s+([A-ZÀ-Þ])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM lines WHERE seq > 1),
+    u AS (SELECT doc_id, seq, CAST(unnest(generate_series(1, len(p))) AS INT) AS i, unnest(p) AS s FROM cut),
+    uw AS (SELECT doc_id, seq, i, s, {words_sql(N('s'))} AS w FROM u),
+    found AS (SELECT x.doc_id, x.seq, list_filter(any_value(f.w), lambda w: list_contains(flatten(list(x.w)), w)) AS found, len(any_value(f.w)) AS n FROM uw x JOIN phrase f ON f.doc_id = x.doc_id GROUP BY x.doc_id, x.seq),
+    wanted AS (SELECT * FROM found WHERE len(found) > 0 AND len(found) * 4 >= n),
+    spans AS (SELECT a.doc_id, a.seq, a.i AS lo, b.i AS hi, list(x.s ORDER BY x.i) AS s, flatten(list(x.w)) AS w FROM wanted k JOIN uw a ON a.doc_id = k.doc_id AND a.seq = k.seq JOIN uw b ON b.doc_id = a.doc_id AND b.seq = a.seq AND b.i >= a.i JOIN uw x ON x.doc_id = a.doc_id AND x.seq = a.seq AND x.i BETWEEN a.i AND b.i GROUP BY a.doc_id, a.seq, a.i, b.i),
+    whole AS (SELECT s.doc_id, s.seq, lo, hi, length(array_to_string(s.s, ' ')) AS length, len(found) AS found FROM spans s JOIN wanted k ON k.doc_id = s.doc_id AND k.seq = s.seq WHERE list_has_all(s.w, found)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY length, lo) AS place FROM whole)
+    SELECT doc_id, seq, CAST(found AS INT) AS found, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, CAST(length AS INT) AS length FROM r WHERE place = 1""",
 )
 def r24(spark, sf):
-    """The shortest run of sentences (of the first twelve) that holds all wanted fragments, the first on ties."""
-    docs = Tables(spark, sf).documents.filter("doc_id % 5 = 0")
-    units = F.slice(F.split(F.trim("text"), r"(?<=[.!?…])\s+(?=[A-ZÀ-Þ])"), 1, 12)
-    runs = docs.select("doc_id", units.alias("u")).select("doc_id", "u", F.posexplode("u").alias("lo", "head")).select("doc_id", "u", "lo", F.explode(F.sequence(F.lit(1), F.size("u") - F.col("lo"))).alias("n"))
-    spans = runs.select("doc_id", (F.col("lo") + 1).alias("lo"), F.array_join(F.slice("u", F.col("lo") + 1, F.col("n")), " ").alias("span")).withColumn("norm", tx.normalize(F.col("span")))
-    whole = spans.filter(F.contains("norm", F.lit("er")) & F.contains("norm", F.lit("en")) & F.contains("norm", F.lit("st")))
-    return whole.groupBy("doc_id").agg(F.min_by("lo", F.struct(F.length("span"), "lo")).alias("lo"), F.min(F.length("span")).cast("long").alias("length"))
+    """For each line the shortest run of its sentences that holds all words of the text's first line found in it, the first on ties.
+
+    Nothing where under a quarter of those words (of four letters or more) are found. From each sentence on, the run
+    ends where the last of the words has come up: no pairs of sentences are formed.
+    """
+    t = Tables(spark, sf)
+    words = lambda x: tx.words(tx.normalize(x))
+    phrase = lines(t).filter("seq = 1").select("doc_id", F.array_distinct(F.filter(words(F.col("line")), lambda x: F.length(x) > 3)).alias("phrase"))
+    cut = lines(t).filter("seq > 1").select("doc_id", "seq", F.split(F.trim("line"), _UNITS).alias("u"))
+    cut = cut.select("doc_id", "seq", F.posexplode("u").alias("i", "s")).select("doc_id", "seq", "i", "s", words(F.col("s")).alias("w"))
+    cut = cut.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.struct("i", "s", "w"))).alias("u"))
+    met = cut.join(phrase, "doc_id").withColumn("found", F.array_intersect("phrase", F.flatten(F.transform("u", lambda x: x["w"]))))
+    met = met.filter((F.size("found") > 0) & (F.size("found") * 4 >= F.size("phrase")))
+    places = F.transform("found", lambda w: F.transform(F.filter("u", lambda x: F.array_contains(x["w"], w)), lambda x: x["i"]))
+    met = met.withColumn("places", places)
+    never = F.lit(2**31 - 1)
+    last = lambda lo: F.aggregate("places", lo, lambda at, p: F.greatest(at, F.coalesce(F.array_min(F.filter(p, lambda x: x >= lo)), never)))
+    runs = F.filter(F.transform("u", lambda x: F.struct(x["i"].alias("lo"), last(x["i"]).alias("hi"))), lambda x: x["hi"] < never)
+    length = lambda x: F.length(F.array_join(F.transform(F.slice("u", x["lo"] + 1, x["hi"] - x["lo"] + 1), lambda y: y["s"]), " "))
+    best = F.array_min(F.transform(runs, lambda x: F.struct(length(x).alias("length"), x["lo"].alias("lo"), x["hi"].alias("hi"))))
+    out = met.select("doc_id", "seq", F.size("found").alias("found"), best.alias("b"))
+    return out.select("doc_id", "seq", "found", (F.col("b.lo") + 1).alias("lo"), (F.col("b.hi") + 1).alias("hi"), "b.length")

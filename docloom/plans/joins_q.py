@@ -10,13 +10,13 @@ from docloom.plans.base import Tables, query
 
 @query(
     "j1_unique_resolution",
-    """WITH cand AS (SELECT p_name, min(p_partkey) AS target, count(*) AS n FROM part GROUP BY p_name) SELECT l.l_orderkey, l.l_linenumber, CASE WHEN c.n = 1 THEN c.target END AS target FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 20 = 0) l LEFT JOIN part p ON p.p_partkey = l.l_partkey LEFT JOIN cand c ON c.p_name = p.p_name""",
+    """WITH cand AS (SELECT p_name, min(p_partkey) AS target, count(*) AS n FROM part GROUP BY p_name) SELECT l.l_orderkey, l.l_linenumber, CASE WHEN c.n = 1 THEN c.target END AS target FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) l LEFT JOIN part p ON p.p_partkey = l.l_partkey LEFT JOIN cand c ON c.p_name = p.p_name""",
 )
 def j1(spark, sf):
     """A label resolves to a target only where exactly one candidate bears it."""
     t = Tables(spark, sf)
     candidates = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("target"), F.count("*").alias("n"))
-    rows = t.lineitem.filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     named = rows.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey", "left").join(candidates, "p_name", "left")
     return named.select("l_orderkey", "l_linenumber", F.when(F.col("n") == 1, F.col("target")).alias("target"))
 
@@ -63,23 +63,27 @@ def j6(spark, sf):
     return per.select("facet", (F.col("shown") & F.col("found")).alias("covered"))
 
 
-@query("j7_contradictions", "WITH c AS (SELECT DISTINCT l_orderkey AS claim, l_partkey AS block FROM lineitem WHERE l_orderkey % 10 = 0), x AS (SELECT p_partkey AS block, (p_partkey * 7) % (SELECT count(*) FROM part) AS against FROM part WHERE p_partkey % 4 = 0) SELECT DISTINCT a.claim FROM c a JOIN x ON x.block = a.block JOIN c b ON b.block = x.against AND b.claim <> a.claim")
+@query("j7_contradictions", "WITH c AS (SELECT DISTINCT l_orderkey AS claim, l_partkey AS block FROM lineitem), x AS (SELECT p_partkey AS block, p_partkey + 1 AS against FROM part WHERE p_size > 40 AND p_partkey % 4 = 0), claims AS (SELECT block, min(claim) AS low, max(claim) AS high FROM c GROUP BY block) SELECT DISTINCT claim FROM c JOIN x ON x.block = c.block JOIN claims o ON o.block = x.against WHERE o.low <> c.claim OR o.high <> c.claim")
 def j7(spark, sf):
-    """Claims that cite a block which contradicts a block of another shown claim."""
+    """Claims that cite a block which contradicts a block of another shown claim (large parts contradict the next one).
+
+    Whether another claim cites the other block shows in the least and greatest claim that do: no pairs of claims.
+    """
     t = Tables(spark, sf)
-    cited = t.lineitem.filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("claim"), F.col("l_partkey").alias("block")).distinct()
-    against = t.part.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("block"), ((F.col("p_partkey") * 7) % F.lit(t.part.count())).alias("against"))
-    other = cited.select(F.col("claim").alias("other"), F.col("block").alias("against"))
-    return cited.join(against, "block").join(other, "against").filter("other <> claim").select("claim").distinct()
+    cited = t.lineitem.select(F.col("l_orderkey").alias("claim"), F.col("l_partkey").alias("block")).distinct()
+    against = t.part.filter("p_size > 40 and p_partkey % 4 = 0").select(F.col("p_partkey").alias("block"), (F.col("p_partkey") + 1).alias("against"))
+    others = cited.groupBy(F.col("block").alias("against")).agg(F.min("claim").alias("low"), F.max("claim").alias("high"))
+    return cited.join(against, "block").join(others, "against").filter("low <> claim or high <> claim").select("claim").distinct()
 
 
-@query("j8_wildcard_targets", "WITH targets AS (SELECT DISTINCT p_brand AS brand, CASE WHEN p_size % 2 = 0 THEN p_type END AS type FROM part WHERE p_partkey < 60) SELECT p_partkey, CAST(count(*) AS BIGINT) AS targets FROM part JOIN targets ON brand = p_brand AND (type IS NULL OR type = p_type) GROUP BY p_partkey")
+@query("j8_wildcard_targets", "WITH targets AS (SELECT DISTINCT p_brand AS brand, CASE WHEN p_size % 2 = 0 THEN p_type END AS type FROM part) SELECT p_partkey, CAST(count(*) AS BIGINT) AS targets FROM part JOIN targets ON brand = p_brand AND (type IS NULL OR type = p_type) GROUP BY p_partkey")
 def j8(spark, sf):
-    """Targets by group and title, where a missing title fits any."""
+    """Targets by group and title, where a missing title fits any: an equality join for either kind."""
     part = Tables(spark, sf).part
-    targets = part.filter("p_partkey < 60").select(F.col("p_brand").alias("brand"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("type")).distinct()
-    fits = (F.col("brand") == F.col("p_brand")) & (F.col("type").isNull() | (F.col("type") == F.col("p_type")))
-    return part.join(targets, fits).groupBy("p_partkey").agg(F.count("*").alias("targets"))
+    targets = part.select(F.col("p_brand").alias("brand"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("type")).distinct()
+    titled = part.join(targets, (F.col("brand") == F.col("p_brand")) & (F.col("type") == F.col("p_type")))
+    any_title = part.join(targets.filter("type is null"), F.col("brand") == F.col("p_brand"))
+    return titled.select("p_partkey").unionByName(any_title.select("p_partkey")).groupBy("p_partkey").agg(F.count("*").alias("targets"))
 
 
 # Fixed values of the casting: upper bound (None: open), rate and deduction of each bracket; values between 120000 and 120100 lie in a gap.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.operators import search
 from docloom.plans.base import LINES, TOKENS, Tables, lines, norm_sql, query, tokens, words_sql
+from docloom.session import spread
 
 N = norm_sql
 
@@ -66,13 +67,13 @@ def r3(spark, sf):
     return keyed.groupBy("question", "form_set").agg(F.min("group").alias("group"))
 
 
-@query("r7_score_clause", f"WITH {INDEX}, {FORMS} SELECT question, corpus, block, round(CAST(count(*) AS DOUBLE) / any_value(question_size), 9) AS coverage FROM idx i JOIN qw q ON q.token = i.token WHERE corpus = 'src3' GROUP BY question, corpus, block")
+@query("r7_score_clause", f"WITH {INDEX}, {FORMS} SELECT question, corpus, block, round(CAST(count(*) AS DOUBLE) / any_value(question_size), 9) AS coverage FROM idx i JOIN qw q ON q.token = i.token GROUP BY question, corpus, block HAVING count(*) * 2 >= any_value(question_size)")
 def r7(spark, sf):
-    """Designated clauses (a source's lines) scored by question coverage alone."""
+    """Clauses scored by question coverage alone; designated are those with half of a question's words."""
     t = Tables(spark, sf)
     _, words = asked(t)
-    found = index(t).filter("corpus = 'src3'").join(words, "token").groupBy("question", "corpus", "block").agg((F.count("*") / F.first("question_size")).alias("coverage"))
-    return found.withColumn("coverage", F.round("coverage", 9))
+    found = index(t).join(words, "token").groupBy("question", "corpus", "block").agg((F.count("*") / F.first("question_size")).alias("coverage"))
+    return found.filter("coverage >= 0.5").withColumn("coverage", F.round("coverage", 9))
 
 
 @query("r8_block_share", f"WITH {INDEX}, n AS (SELECT source AS corpus, count(*) AS n FROM lines GROUP BY source) SELECT d.corpus, token, round(CAST(df AS DOUBLE) / n, 9) AS share FROM df d JOIN n ON n.corpus = d.corpus WHERE df >= 5")
@@ -135,69 +136,78 @@ _STOPS = ("the", "and", "of", "to", "in", "a", "de", "la", "le", "der", "die", "
 _STOPS_SQL = "(" + ", ".join(f"'{x}'" for x in _STOPS) + ")"
 
 
-@query("r17_positive_score", f"WITH {INDEX}, {FORMS} SELECT question, block FROM idx i JOIN qw q ON q.token = i.token WHERE corpus = 'src4' AND i.token NOT IN {_STOPS_SQL} GROUP BY question, block HAVING count(*) >= 3")
+@query("r17_positive_score", f"WITH {INDEX}, {FORMS} SELECT question, block FROM idx i JOIN qw q ON q.token = i.token WHERE i.token NOT IN {_STOPS_SQL} GROUP BY question, block HAVING count(*) >= 3")
 def r17(spark, sf):
     """Question and clause pairs that share at least three words outside the stop list."""
     t = Tables(spark, sf)
     _, words = asked(t)
-    shared = index(t).filter(F.col("corpus") == "src4").filter(~F.col("token").isin(*_STOPS)).join(words, "token")
+    shared = index(t).filter(~F.col("token").isin(*_STOPS)).join(words, "token")
     return shared.groupBy("question", "block").agg(F.count("*").alias("n")).filter("n >= 3").select("question", "block")
 
 
-_TERMS = f"terms AS (SELECT DISTINCT item_id, unnest(list_filter({words_sql(N('text'))}, lambda x: length(x) > 5)) AS term FROM benchmark WHERE item_id % 4 = 0)"
-_PARTS = "cards AS (SELECT p_partkey, p_name AS title, lower(p_type || ' ' || p_brand) AS body FROM part)"
-_ASK = "asks AS (SELECT DISTINCT o_orderkey % 40 AS ask, unnest(['small', 'red', lower(p_type), split_part(p_name, ' ', 2)]) AS term FROM orders JOIN part ON p_partkey = o_orderkey % 40)"
+# Cards are documents: the first line is the title, the items' longer words are what is asked for.
+_TERMS = f"""terms AS (SELECT DISTINCT item_id AS ask, unnest(list_filter({words_sql(N('text'))}, lambda x: length(x) > 5)) AS term FROM benchmark), sizes AS (SELECT ask, count(*) AS terms FROM terms GROUP BY ask)"""
+_HITS = f"""{LINES}, {TOKENS}, {_TERMS}, held AS (SELECT doc_id AS key, token, bool_or(seq = 1) AS head FROM tokens GROUP BY doc_id, token),
+  met AS (SELECT t.term, v.token FROM (SELECT DISTINCT term FROM terms) t JOIN (SELECT DISTINCT token FROM held) v ON contains(v.token, t.term)),
+  hits AS (SELECT term, key, bool_or(head) AS head FROM held JOIN met ON met.token = held.token GROUP BY term, key)"""
+
+
+def terms_of(t: Tables) -> DataFrame:
+    """ask, term: the distinct words of six letters or more of every item."""
+    words = F.array_distinct(F.filter(tx.words(tx.normalize(F.col("text"))), lambda x: F.length(x) > 5))
+    return t.benchmark.select(F.col("item_id").alias("ask"), F.explode(words).alias("term"))
+
+
+def card_hits(t: Tables) -> DataFrame:
+    """ask, term, key (document), head (whether in its first line) for every term that a document contains."""
+    terms = terms_of(t)
+    held = tokens(t).groupBy(F.col("doc_id").alias("key"), "token").agg(F.bool_or(F.col("seq") == 1).alias("head"))
+    return terms.join(search.term_hits(held, terms), "term")
+
+
+def _first(scored: DataFrame, score: str, most: int = 1) -> DataFrame:
+    """The best of each ask by score, the first key of equals."""
+    place = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc(score), "key"))
+    return scored.withColumn("place", place).filter(F.col("place") <= most)
 
 
 @query(
     "r18_card_search",
-    f"""WITH {_PARTS}, {_ASK}, s AS (SELECT ask, p_partkey, CAST(sum(CASE WHEN contains(title, term) THEN 5 WHEN contains(body, term) THEN 2 ELSE 0 END) AS BIGINT) AS score FROM asks, cards GROUP BY ask, p_partkey),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY ask ORDER BY score DESC, p_partkey) AS INT) AS place FROM s WHERE score > 0) SELECT * FROM r WHERE place <= 3""",
+    f"""WITH {_HITS}, s AS (SELECT ask, key AS doc_id, CAST(sum(CASE WHEN head THEN 5 ELSE 2 END) AS BIGINT) AS score FROM terms JOIN hits ON hits.term = terms.term GROUP BY ask, key),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY ask ORDER BY score DESC, doc_id) AS INT) AS place FROM s) SELECT * FROM r WHERE place <= 3""",
 )
 def r18(spark, sf):
-    """Cards scored 5 for a term in the title, else 2 for one in the body; three best, the first of equals.
-
-    The terms are a small set of at most 160 rows, which every card is held against.
-    """
-    t = Tables(spark, sf)
-    cards = t.part.select("p_partkey", F.col("p_name").alias("title"), F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("body"))
-    asks = t.part.filter("p_partkey < 40").select(F.col("p_partkey").alias("ask"), F.explode(F.array(F.lit("small"), F.lit("red"), F.lower("p_type"), F.split_part("p_name", F.lit(" "), F.lit(2)))).alias("term")).distinct()
-    score = F.sum(F.when(F.contains("title", "term"), 5).when(F.contains("body", "term"), 2).otherwise(0))
-    hit = F.contains("title", "term") | F.contains("body", "term")
-    scored = cards.join(F.broadcast(asks), hit).groupBy("ask", "p_partkey").agg(score.alias("score"))
-    place = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "p_partkey"))
-    return scored.withColumn("place", place).filter("place <= 3")
+    """Cards scored 5 for a term in the title, else 2 for one in the body; three best, the first of equals."""
+    scored = card_hits(Tables(spark, sf)).groupBy("ask", "key").agg(F.sum(F.when(F.col("head"), 5).otherwise(2)).alias("score"))
+    return _first(scored, "score", 3).withColumnRenamed("key", "doc_id")
 
 
 @query(
     "r19_best_answer",
-    f"""WITH {_PARTS}, {_ASK}, s AS (SELECT ask, p_partkey, CAST(sum(CASE WHEN contains(title || ' ' || body, term) THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS share FROM asks, cards GROUP BY ask, p_partkey)
-    SELECT ask, arg_max(p_partkey, share * 1000000000 - p_partkey) AS best, round(max(share), 9) AS share FROM s GROUP BY ask HAVING max(share) >= 0.5""",
+    f"""WITH {_HITS}, s AS (SELECT ask, key, round(CAST(count(*) AS DOUBLE) / any_value(sizes.terms), 9) AS share FROM terms JOIN hits ON hits.term = terms.term JOIN sizes USING (ask) GROUP BY ask, key),
+    r AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY share DESC, key) AS place FROM s WHERE share >= 0.5) SELECT ask, key AS best, share FROM r WHERE place = 1""",
 )
 def r19(spark, sf):
     """The card that holds the largest part of the terms, the first of equals, if it holds at least half."""
     t = Tables(spark, sf)
-    cards = t.part.select("p_partkey", F.concat_ws(" ", "p_name", F.lower(F.concat_ws(" ", "p_type", "p_brand"))).alias("hay"))
-    asks = t.part.filter("p_partkey < 40").select(F.col("p_partkey").alias("ask"), F.explode(F.array(F.lit("small"), F.lit("red"), F.lower("p_type"), F.split_part("p_name", F.lit(" "), F.lit(2)))).alias("term")).distinct()
-    sizes = asks.groupBy("ask").agg(F.count("*").alias("terms"))
-    met = cards.join(F.broadcast(asks), F.contains("hay", "term")).groupBy("ask", "p_partkey").agg(F.count("*").alias("met")).join(F.broadcast(sizes), "ask")
-    found = met.withColumn("share", F.col("met") / F.col("terms")).groupBy("ask").agg(F.min_by("p_partkey", F.struct(-F.col("share"), "p_partkey")).alias("best"), F.round(F.max("share"), 9).alias("share"))
-    return found.filter("share >= 0.5")
+    sizes = terms_of(t).groupBy("ask").agg(F.count("*").alias("terms"))
+    met = card_hits(t).groupBy("ask", "key").agg(F.count("*").alias("met")).join(sizes, "ask")
+    shares = met.select("ask", "key", F.round(F.col("met") / F.col("terms"), 9).alias("share")).filter("share >= 0.5")
+    return _first(shares, "share").select("ask", F.col("key").alias("best"), "share")
 
 
 @query(
     "r21_weighted_criterion",
-    f"""WITH {_PARTS}, {_ASK}, s AS (SELECT ask, p_partkey, sum(CASE WHEN contains(title || ' ' || body, term) THEN CASE WHEN length(term) > 5 THEN 1.4 ELSE 1.0 END ELSE 0 END) * CASE WHEN any_value(p_partkey) % 2 = 0 THEN 1.15 ELSE 1 END AS score FROM asks, cards GROUP BY ask, p_partkey),
-    r AS (SELECT ask, p_partkey, round(CAST(score AS DOUBLE), 9) AS score, row_number() OVER (PARTITION BY ask ORDER BY round(CAST(score AS DOUBLE), 9) DESC, p_partkey) AS place FROM s WHERE score >= 1.15) SELECT ask, p_partkey, score FROM r WHERE place = 1""",
+    f"""WITH {_HITS}, s AS (SELECT ask, key, round((count(*) + 0.4 * count(*) FILTER (length(terms.term) > 8)) * CASE WHEN any_value(lang) = 'en' THEN 1.15 ELSE 1 END, 9) AS score FROM terms JOIN hits ON hits.term = terms.term JOIN documents ON doc_id = key GROUP BY ask, key),
+    r AS (SELECT ask, key AS doc_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY ask ORDER BY score DESC, key) AS place FROM s WHERE score >= 1.15) SELECT ask, doc_id, score FROM r WHERE place = 1""",
 )
 def r21(spark, sf):
-    """Hits weighted by the term's length, guarantees (even keys) favoured; the first maximum from 1.15 on."""
+    """Hits weighted by the term's length (1.4 from nine letters on), one kind of card (English) favoured; the first maximum from 1.15 on."""
     t = Tables(spark, sf)
-    cards = t.part.select("p_partkey", F.concat_ws(" ", "p_name", F.lower(F.concat_ws(" ", "p_type", "p_brand"))).alias("hay"))
-    asks = t.part.filter("p_partkey < 40").select(F.col("p_partkey").alias("ask"), F.explode(F.array(F.lit("small"), F.lit("red"), F.lower("p_type"), F.split_part("p_name", F.lit(" "), F.lit(2)))).alias("term")).distinct()
-    met = cards.join(F.broadcast(asks), F.contains("hay", "term")).groupBy("ask", "p_partkey").agg(F.sum(F.when(F.length("term") > 5, 1.4).otherwise(1.0)).alias("s"))
-    scored = met.withColumn("score", F.round(F.col("s") * F.when(F.col("p_partkey") % 2 == 0, 1.15).otherwise(1.0), 9)).filter("score >= 1.15")
-    return scored.groupBy("ask").agg(F.min_by(F.struct("p_partkey", "score"), F.struct(-F.col("score"), "p_partkey")).alias("x")).select("ask", "x.p_partkey", "x.score")
+    met = card_hits(t).groupBy("ask", "key").agg(F.count("*").alias("n"), F.count_if(F.length("term") > 8).alias("long"))
+    kinds = t.documents.select(F.col("doc_id").alias("key"), F.when(F.col("lang") == "en", 1.15).otherwise(1.0).alias("factor"))
+    scored = met.join(kinds, "key").withColumn("score", F.round((F.col("n") + 0.4 * F.col("long")) * F.col("factor"), 9)).filter("score >= 1.15")
+    return _first(scored, "score").select("ask", F.col("key").alias("doc_id"), "score")
 
 
 @query("r23_exact_question", f"WITH k AS (SELECT doc_id, {N('text')} AS form FROM documents) SELECT form_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT min(doc_id) OVER (PARTITION BY form) AS form_id FROM k) GROUP BY form_id HAVING count(*) > 1")
@@ -232,12 +242,12 @@ def q1(spark, sf):
     return owned_forms(claims(Tables(spark, sf)))
 
 
-@query("q2_expand", f"WITH {_THESAURUS} SELECT p_partkey, o.owner, c.form AS variant FROM part p JOIN owned o ON o.form = p.p_name JOIN claims c ON c.grp = o.owner WHERE p_partkey % 10 = 0 AND c.form <> p.p_name")
+@query("q2_expand", f"WITH {_THESAURUS} SELECT p_partkey, o.owner, c.form AS variant FROM part p JOIN owned o ON o.form = p.p_name JOIN claims c ON c.grp = o.owner WHERE c.form <> p.p_name")
 def q2(spark, sf):
-    """Every tenth part's name asks; the other forms of the group that owns it are added."""
+    """Every part's name asks; the other forms of the group that owns it are added."""
     t = Tables(spark, sf)
     claimed = claims(t)
-    asked_names = t.part.filter("p_partkey % 10 = 0").select("p_partkey", F.col("p_name").alias("form"))
+    asked_names = t.part.select("p_partkey", F.col("p_name").alias("form"))
     hits = asked_names.join(owned_forms(claimed).filter("owner is not null").select("form", "owner"), "form")
     variants = claimed.select(F.col("grp").alias("owner"), F.col("form").alias("variant"))
     return hits.join(variants, "owner").filter("variant <> form").select("p_partkey", "owner", "variant")
@@ -273,14 +283,13 @@ def q5(spark, sf):
     return t.part.join(lookup, F.col("p_name") == F.col("form"), "left").select("p_partkey", F.coalesce("head", "p_name").alias("canonical"))
 
 
-@query("q6_confirmed_intent", f"WITH {_TERMS}, d AS (SELECT doc_id, ' ' || array_to_string({words_sql(N('text'))}, ' ') || ' ' AS padded FROM documents), w AS (SELECT doc_id, unnest(list_distinct({words_sql(N('text'))})) AS token FROM documents), k AS (SELECT item_id, count(*) AS known FROM terms GROUP BY item_id) SELECT w.doc_id, t.item_id, CAST(count(*) AS BIGINT) AS met, CAST(any_value(known) AS BIGINT) AS known FROM terms t JOIN w ON w.token = t.term JOIN k ON k.item_id = t.item_id GROUP BY w.doc_id, t.item_id HAVING count(*) * 2 >= any_value(known)")
+@query("q6_confirmed_intent", f"WITH {_TERMS}, w AS (SELECT doc_id, unnest(list_distinct({words_sql(N('text'))})) AS token FROM documents) SELECT w.doc_id, t.ask AS item_id, CAST(count(*) AS BIGINT) AS met, CAST(any_value(terms) AS BIGINT) AS known FROM terms t JOIN w ON w.token = t.term JOIN sizes k ON k.ask = t.ask GROUP BY w.doc_id, t.ask HAVING count(*) * 2 >= any_value(terms)")
 def q6(spark, sf):
     """Triggers (an item's longer words) that a text holds as whole words, against those known; from half on."""
     t = Tables(spark, sf)
-    words = lambda d: tx.words(tx.normalize(F.col("text")))
-    terms = t.benchmark.filter("item_id % 4 = 0").select("item_id", F.explode(F.array_distinct(F.filter(words(t), lambda x: F.length(x) > 5))).alias("token"))
+    terms = terms_of(t).select(F.col("ask").alias("item_id"), F.col("term").alias("token"))
     known = terms.groupBy("item_id").agg(F.count("*").alias("known"))
-    held = t.documents.select("doc_id", F.explode(F.array_distinct(words(t))).alias("token"))
+    held = spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(tx.words(tx.normalize(F.col("text"))))).alias("token"))
     return held.join(terms, "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("met")).join(known, "item_id").filter("met * 2 >= known").select("doc_id", "item_id", "met", "known")
 
 
@@ -295,56 +304,78 @@ def q8(spark, sf):
 
 @query(
     "q9_term_admission",
-    f"""WITH {LINES}, k AS (SELECT doc_id, {N('line')} AS t FROM lines WHERE seq <= 2),
+    f"""WITH {LINES}, k AS (SELECT doc_id, {N('line')} AS t FROM lines),
     m AS (SELECT CASE WHEN t = '' THEN 'blank' WHEN length(t) > 400 THEN 'too long' WHEN len({words_sql('t')}) > 40 THEN 'too many words' WHEN len({words_sql('t')}) = 0 THEN 'no word' ELSE 'admitted' END AS motive FROM k) SELECT motive, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY motive""",
 )
 def q9(spark, sf):
-    terms = lines(Tables(spark, sf)).filter("seq <= 2").select(tx.normalize(F.col("line")).alias("t"))
+    terms = lines(Tables(spark, sf)).select(tx.normalize(F.col("line")).alias("t"))
     n = F.size(tx.words(F.col("t")))
     motive = F.when(F.col("t") == "", "blank").when(F.length("t") > 400, "too long").when(n > 40, "too many words").when(n == 0, "no word").otherwise("admitted")
     return terms.groupBy(motive.alias("motive")).agg(F.count("*").alias("n"))
 
 
-@query("r16_target_definitions", f"WITH {_THESAURUS} SELECT c.grp, c.form FROM claims c JOIN owned o ON o.form = c.form AND o.owner = c.grp WHERE contains(' ' || c.form || ' ', ' ring ') OR contains(' ' || c.form || ' ', ' bolt ')")
+@query("r16_target_definitions", f"WITH {_THESAURUS}, target AS (SELECT grp, list_last(string_split(form, ' ')) AS word FROM claims WHERE canonical) SELECT c.grp, c.form FROM claims c JOIN owned o ON o.form = c.form AND o.owner = c.grp JOIN target t ON t.grp = c.grp WHERE contains(' ' || c.form || ' ', ' ' || t.word || ' ')")
 def r16(spark, sf):
-    """Of the forms that a group owns, those that define one of the wanted targets as a whole word."""
+    """Of the forms that a group owns, those that define its target, the last word of its canonical form, as a whole word."""
     claimed = claims(Tables(spark, sf))
     own = owned_forms(claimed).filter("owner is not null").select("form", F.col("owner").alias("grp"))
-    padded = F.concat(F.lit(" "), "form", F.lit(" "))
-    return claimed.join(own, ["grp", "form"]).filter(padded.contains(" ring ") | padded.contains(" bolt ")).select("grp", "form")
+    target = claimed.filter("canonical").select("grp", F.concat(F.lit(" "), F.element_at(F.split("form", " "), -1), F.lit(" ")).alias("word"))
+    return claimed.join(own, ["grp", "form"]).join(target, "grp").filter(F.contains(F.concat(F.lit(" "), "form", F.lit(" ")), "word")).select("grp", "form")
 
 
 @query(
     "r20_answer_list",
-    """WITH s AS (SELECT conv_id, turn, CAST((CASE WHEN contains(lower(text), 'th') THEN 3 WHEN contains(role, 's') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(text), 'que') THEN 3 WHEN contains(role, 'us') THEN 1 ELSE 0 END) AS BIGINT) AS score FROM conversations),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS INT) AS pos FROM s WHERE score >= 3) SELECT conv_id, turn, score, pos FROM r WHERE pos <= 2""",
+    f"""WITH {_TERMS}, faq AS (SELECT q.conv_id || ':' || q.turn AS key, {words_sql(N('q.text'))} AS question, {words_sql(N("coalesce(a.text, '')"))} AS answer FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'),
+    held AS (SELECT key, token, bool_or(head) AS head FROM (SELECT key, unnest(question) AS token, true AS head FROM faq UNION ALL SELECT key, unnest(answer), false FROM faq) GROUP BY key, token),
+    met AS (SELECT t.term, v.token FROM (SELECT DISTINCT term FROM terms) t JOIN (SELECT DISTINCT token FROM held) v ON contains(v.token, t.term)),
+    hits AS (SELECT term, key, bool_or(head) AS head FROM held JOIN met ON met.token = held.token GROUP BY term, key),
+    s AS (SELECT ask, key, CAST(sum(CASE WHEN head THEN 3 ELSE 1 END) AS BIGINT) AS score FROM terms JOIN hits ON hits.term = terms.term GROUP BY ask, key HAVING sum(CASE WHEN head THEN 3 ELSE 1 END) >= 3),
+    r AS (SELECT ask, key, score, CAST(row_number() OVER (PARTITION BY ask ORDER BY score DESC, key) AS INT) AS place FROM s) SELECT * FROM r WHERE place <= 5""",
 )
 def r20(spark, sf):
-    """3 for a term in the question, else 1 for one in the answer; from 3 points on, two best."""
-    points = lambda term, mark: F.when(F.lower("text").contains(term), 3).when(F.col("role").contains(mark), 1).otherwise(0)
-    s = Tables(spark, sf).conversations.select("conv_id", "turn", (points("th", "s") + points("que", "us")).cast("long").alias("score")).filter("score >= 3")
-    return s.withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn"))).filter("pos <= 2")
+    """Questions (user turns) and their answers: 3 for a term in the question, else 1 for one in the answer; from 3 points on, five best."""
+    t = Tables(spark, sf)
+    words = lambda c: F.array_distinct(tx.words(tx.normalize(F.col(c))))
+    turns = t.conversations.select("conv_id", "turn", "role", "text")
+    questions = turns.filter("role = 'user'")
+    answers = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key")
+    part = lambda rows, column, head: rows.select(key, F.explode(words(column)).alias("token"), F.lit(head).alias("head"))
+    held = part(questions, "text", True).unionByName(part(questions.join(answers, ["conv_id", "turn"]), "answer", False))
+    terms = terms_of(t)
+    hits = terms.join(search.term_hits(held, terms), "term")
+    scored = hits.groupBy("ask", "key").agg(F.sum(F.when(F.col("head"), 3).otherwise(1)).alias("score")).filter("score >= 3")
+    return _first(scored, "score", 5)
 
 
 @query(
     "r22_best_scenario",
-    "WITH s AS (SELECT p_brand, p_partkey, CAST(contains(p_name, 'ring') AS INT) + CAST(p_type = 'PROMO' AS INT) + CAST(p_size > 25 AS INT) AS hits FROM part) SELECT p_brand, arg_max(p_partkey, hits * 100000000 - p_partkey) AS best, max(hits) AS hits FROM s GROUP BY p_brand HAVING max(hits) >= 2",
+    f"""WITH {_HITS}, s AS (SELECT ask, key, count(*) AS hits, any_value(sizes.terms) AS terms FROM terms JOIN hits ON hits.term = terms.term JOIN sizes USING (ask) WHERE head GROUP BY ask, key),
+    r AS (SELECT ask, key, CAST(hits AS BIGINT) AS hits, row_number() OVER (PARTITION BY ask ORDER BY hits DESC, key) AS place FROM s WHERE hits >= 2 OR terms = 1) SELECT ask, key AS best, hits FROM r WHERE place = 1""",
 )
 def r22(spark, sf):
-    """The scenario with most hits, the first of equals, if it has at least two."""
-    hits = F.contains("p_name", F.lit("ring")).cast("int") + (F.col("p_type") == "PROMO").cast("int") + (F.col("p_size") > 25).cast("int")
-    s = Tables(spark, sf).part.select("p_brand", "p_partkey", hits.alias("hits"))
-    return s.groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(-F.col("hits"), "p_partkey")).alias("best"), F.max("hits").alias("hits")).filter("hits >= 2")
+    """The title with most of the terms, the first of equals, if it has at least two, or one where one is asked for."""
+    t = Tables(spark, sf)
+    sizes = terms_of(t).groupBy("ask").agg(F.count("*").alias("terms"))
+    counted = card_hits(t).filter("head").groupBy("ask", "key").agg(F.count("*").alias("hits")).join(sizes, "ask")
+    return _first(counted.filter("hits >= 2 or terms = 1"), "hits").select("ask", F.col("key").alias("best"), "hits")
 
 
 @query(
     "n29_nearest_themes",
-    f"""WITH {LINES}, h AS (SELECT source, doc_id, {N('line')} AS head FROM lines WHERE seq = 1), s AS (SELECT source, doc_id, CAST(contains(head, 'that') AS INT) + CAST(contains(head, 'tion') AS INT) + CAST(contains(head, 'ment') AS INT) AS score FROM h),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS INT) AS pos FROM s) SELECT source, doc_id, score, pos FROM r WHERE pos <= 5""",
+    f"""WITH {_HITS}, heads AS (SELECT DISTINCT source, doc_id FROM lines WHERE seq = 1), n AS (SELECT ask, key, count(*) AS score FROM terms JOIN hits ON hits.term = terms.term WHERE head GROUP BY ask, key),
+    r AS (SELECT sizes.ask, source, doc_id, CAST(coalesce(score, 0) AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY sizes.ask, source ORDER BY coalesce(score, 0) DESC, doc_id) AS INT) AS pos FROM sizes CROSS JOIN heads LEFT JOIN n ON n.ask = sizes.ask AND n.key = doc_id) SELECT * FROM r WHERE pos <= 3""",
 )
 def n29(spark, sf):
-    """Headings by how many terms they contain; five a source, filled up from the first ones where fewer have any."""
-    head = tx.normalize(F.col("line"))
-    score = sum((F.contains(F.col("head"), F.lit(x)).cast("int") for x in ("tion", "ment")), F.contains(F.col("head"), F.lit("that")).cast("int"))
-    s = lines(Tables(spark, sf)).filter("seq = 1").select("source", "doc_id", head.alias("head")).select("source", "doc_id", score.alias("score"))
-    return s.withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))).filter("pos <= 5")
+    """Headings by how many of an item's terms they contain; three a source, filled up from its first ones.
+
+    Only the first three headings of a source can fill up, so that many are added to an ask's hits, and no more.
+    """
+    t = Tables(spark, sf)
+    heads = lines(t).filter("seq = 1").select("source", F.col("doc_id").alias("key")).distinct()
+    found = card_hits(t).filter("head").groupBy("ask", "key").agg(F.count("*").alias("score")).join(heads, "key")
+    first = heads.withColumn("at", F.row_number().over(Window.partitionBy("source").orderBy("key"))).filter("at <= 3").drop("at")
+    filling = terms_of(t).select("ask").distinct().join(F.broadcast(first), F.lit(True)).withColumn("score", F.lit(0).cast("long"))  # three rows a source
+    every = found.select("ask", "source", "key", "score").unionByName(filling.select("ask", "source", "key", "score")).groupBy("ask", "source", "key").agg(F.max("score").alias("score"))
+    pos = F.row_number().over(Window.partitionBy("ask", "source").orderBy(F.desc("score"), "key"))
+    return every.withColumn("pos", pos).filter("pos <= 3").withColumnRenamed("key", "doc_id")

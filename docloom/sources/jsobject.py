@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r'\s+|//[^\n]*|/\*.*?\*/|(?P<string>"(?:[^"\\\n]|\\.)*")|(?P<number>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<word>[A-Za-z_$][\w$]*)|(?P<sign>[{}\[\],:])', re.DOTALL)
@@ -46,15 +47,24 @@ def to_json(text: str) -> str:
         raise fault(head.end(), e.msg) from None
 
 
-def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """path, json, error of every file under path; a faulty file has an error and no json."""
+def parsed_object(text: Column) -> Column:
+    """json, error: the assigned literal of a text as JSON, else what is wrong with it and where; nulls for null."""
+
+    @F.pandas_udf("json string, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            try:
+                rows.append((None if t is None else to_json(t), None))
+            except ValueError as e:
+                rows.append((None, str(e)))
+        return pd.DataFrame(rows, columns=["json", "error"])
 
-    @F.udf("struct<json: string, error: string>")
-    def parsed(content: bytes):
-        try:
-            return to_json(content.decode("utf-8")), None
-        except ValueError as e:
-            return None, str(e)
+    return run(text)
 
+
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    """path, json, error of every file under path; a faulty file has an error and no json."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", parsed("content").alias("p")).select("path", "p.json", "p.error")
+    parsed = files.select("path", parsed_object(F.col("content").cast("string")).alias("p"))
+    return parsed.select("path", "p.json", "p.error")

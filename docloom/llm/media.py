@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,37 @@ SAMPLE_RATES = {"1": (44100, 48000, 32000), "2": (22050, 24000, 16000), "2.5": (
 VERSIONS = {3: "1", 2: "2", 0: "2.5"}
 
 
+# Fixed values of Layer II: the subbands' allocation widths, as (bits, how many subbands).
+WIDTHS = {"high": ((4, 11), (3, 12), (2, 7)), "middle": ((4, 11), (3, 12), (2, 4)), "low": ((4, 2), (3, 6)), "low32": ((4, 2), (3, 10)), "half": ((4, 4), (3, 7), (2, 19))}
+
+
+def _widths(head: dict) -> list[int]:
+    """The allocation widths of a Layer II frame's subbands, by its version, rate and bitrate a channel."""
+    each = head["kbps"] // head["channels"]
+    if head["version"] != "1":
+        name = "half"
+    elif each <= 48:
+        name = "low32" if head["hertz"] == 32000 else "low"
+    else:
+        name = "middle" if head["hertz"] == 48000 or each <= 80 else "high"
+    return [bits for bits, n in WIDTHS[name] for _ in range(n)]
+
+
+def protected_bits(head: dict, body: bytes) -> int:
+    """How many bits behind the checksum it covers: side information, bit allocation, and in Layer II the scale factor selection too."""
+    if head["layer"] == 3:
+        return 8 * head["side"]
+    widths = [4] * 32 if head["layer"] == 1 else _widths(head)
+    bound = min(len(widths), head["bound"])
+    bits, at, used = int.from_bytes(body, "big"), 0, 0
+    for band, width in enumerate(widths):
+        for _ in range(head["channels"] if band < bound else 1):
+            at += width
+            if bits >> max(0, 8 * len(body) - at) & (1 << width) - 1:
+                used += head["channels"] if band >= bound else 1
+    return at + (2 * used if head["layer"] == 2 else 0)
+
+
 @lru_cache(maxsize=4096)
 def frame_header(four: bytes) -> dict | None:
     """The fields of a frame header, or None where the four bytes aren't one (free-format streams count as none)."""
@@ -44,17 +76,22 @@ def frame_header(four: bytes) -> dict | None:
     length = (12 * kbps * 1000 // hertz + padding) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hertz + padding
     mono = mode == 3
     side = 0 if layer != 3 else (17 if mono else 32) if version == "1" else (9 if mono else 17)
-    return {"version": version, "layer": layer, "kbps": kbps, "hertz": hertz, "samples": samples, "length": length, "channels": 1 if mono else 2, "protected": not word >> 16 & 1, "side": side}
+    bound = 4 * ((word >> 4 & 3) + 1) if mode == 1 else 32  # from here on joint stereo shares what it reads
+    return {"version": version, "layer": layer, "kbps": kbps, "hertz": hertz, "samples": samples, "length": length, "channels": 1 if mono else 2, "protected": not word >> 16 & 1, "side": side, "bound": bound}
 
 
 @lru_cache(maxsize=8192)
-def frame_crc(data: bytes) -> int:
-    """CRC-16 (polynomial 0x8005, start 0xFFFF) of a header's last two bytes and the side information."""
+def frame_crc(data: bytes, bits: int | None = None) -> int:
+    """CRC-16 (polynomial 0x8005, start 0xFFFF) of the first `bits` bits (else all): a header's last two bytes and what else is covered."""
+    bits = 8 * len(data) if bits is None else bits
     crc = 0xFFFF
-    for byte in data:
+    for byte in data[: bits // 8]:
         crc ^= byte << 8
         for _ in range(8):
             crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    for k in range(bits % 8):
+        crc ^= (data[bits // 8] >> (7 - k) & 1) << 15
+        crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
     return crc
 
 
@@ -90,7 +127,9 @@ def parse_audio(data: bytes) -> dict:
     """Frames, tags, the variable-bitrate table, checksums, duration, seek offsets and the main data of a stream.
 
     A frame counts where its header is valid and the next frame, an ID3v1 tag or the end follows it; elsewhere the
-    parser moves to the next sync word, and the bytes passed over are counted.
+    parser moves to the next sync word, and the bytes passed over are counted. The duration leaves out what an
+    encoder says it has put before and behind the sound; samples count all frames. A VBRI table is given as the byte
+    offsets of its entries from the first frame on, an Xing table as it is.
     """
     tags, at = parse_id3v2(data)
     stop = len(data)
@@ -111,7 +150,8 @@ def parse_audio(data: bytes) -> dict:
         body = at + 4 + 2 * head["protected"]
         if head["protected"]:
             checked += 1
-            good += frame_crc(data[at + 2 : at + 4] + data[body : body + head["side"]]) == int.from_bytes(data[at + 4 : at + 6], "big")
+            covered = data[body : body + (head["side"] or min(after - body, 64))]
+            good += frame_crc(data[at + 2 : at + 4] + covered, 16 + protected_bits(head, covered)) == int.from_bytes(data[at + 4 : at + 6], "big")
         inside = body + head["side"]
         if first is None and vbr is None and data[inside : inside + 4] in (b"Xing", b"Info"):
             flags, p = int.from_bytes(data[inside + 4 : inside + 8], "big"), inside + 8
@@ -120,9 +160,15 @@ def parse_audio(data: bytes) -> dict:
                 if flags & bit:
                     vbr[key], p = int.from_bytes(data[p : p + 4], "big"), p + 4
             if flags & 4:
-                vbr["toc"] = list(data[p : p + 100])
+                vbr["toc"], p = list(data[p : p + 100]), p + 100
+            p += 4 * (flags >> 3 & 1)
+            if data[p : p + 4] in (b"LAME", b"Lavc", b"Lavf"):  # an encoder's extension says what it has put around the sound
+                both = int.from_bytes(data[p + 21 : p + 24], "big")
+                vbr["delay"], vbr["padding"] = both >> 12, both & 0xFFF
         elif first is None and vbr is None and data[at + 36 : at + 40] == b"VBRI":
-            vbr = {"kind": "VBRI", "bytes": int.from_bytes(data[at + 46 : at + 50], "big"), "frames": int.from_bytes(data[at + 50 : at + 54], "big"), "toc": None}
+            entries, scale, width = (int.from_bytes(data[at + p : at + p + 2], "big") for p in (54, 56, 58))
+            steps = [scale * int.from_bytes(data[at + 62 + width * k : at + 62 + width * (k + 1)], "big") for k in range(entries)]
+            vbr = {"kind": "VBRI", "bytes": int.from_bytes(data[at + 46 : at + 50], "big"), "frames": int.from_bytes(data[at + 50 : at + 54], "big"), "toc": list(accumulate(steps)), "delay": int.from_bytes(data[at + 42 : at + 44], "big")}
         else:
             first = first or head
             offsets.append(at)
@@ -137,9 +183,10 @@ def parse_audio(data: bytes) -> dict:
         at = after
     skipped += max(0, stop - at)
     hertz = first["hertz"] if first else 0
+    heard = max(0, samples - sum((vbr or {}).get(k, 0) for k in ("delay", "padding") if (vbr or {}).get("kind") != "VBRI"))
     return {
         "version": first["version"] if first else None, "layer": first["layer"] if first else None, "hertz": hertz, "channels": first["channels"] if first else 0,
-        "frames": len(offsets), "samples": samples, "duration_us": samples * 1_000_000 // hertz if hertz else 0, "offsets": offsets,
+        "frames": len(offsets), "samples": samples, "duration_us": heard * 1_000_000 // hertz if hertz else 0, "offsets": offsets,
         "kbps_low": min(rates, default=0), "kbps_high": max(rates, default=0), "vbr": vbr, "tags": tags, "crc_checked": checked, "crc_good": good, "skipped": skipped, "payload": b"".join(main),
     }
 

@@ -5,7 +5,9 @@ quantile boundaries of many small ranges, each record goes to its range, and ran
 subdivided from a fresh sample of their own keys. Exact byte and row totals of the ranges, which are a bounded
 number of rows, then place every record on one line of bytes that is cut into equal shards.
 
-The sample only deals the work out: shards follow from exact offsets in key order, so they don't depend on it.
+The sample only deals the work out: shards follow from exact offsets in key order, so they don't depend on it. With
+the splitters themselves as bounds, shards of a run with another sample would differ, and sizes be near equal only
+up to the sample's error.
 """
 
 from __future__ import annotations
@@ -89,7 +91,8 @@ def shard_by_bytes(df: DataFrame, id_column: str = "doc_id", text_column: str =
     slot numbers a shard's records from 0 in key order. The sample that reaches the driver has about
     24 * 8 * 64 keys whatever the input; so has the table of range totals one row a range.
 
-    Null texts count as empty (8 bytes), null ids come first among equal texts, rows that agree in text and id
+    Null texts count as empty (8 bytes), null ids come first among equal texts, spread over the lowest longs so that
+    many of them are several keys, rows that agree in text and id
     share out their slots in any order, an empty table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
@@ -98,7 +101,7 @@ def shard_by_bytes(df: DataFrame, id_column: str = "doc_id", text_column: str =
     keys = scratch.keep(
         df.select(
             F.col(id_column).cast("long").alias("doc_id"),
-            F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("doc"),
+            F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2**62))).alias("doc"),
             key_digest(text).alias("digest"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_BYTES).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import defaultdict
 
@@ -47,3 +48,28 @@ def test_awkward_rows(spark, awkward):
     rows = sharding.shard_by_bytes(awkward, shards=3).collect()
     assert len(rows) == awkward.count() and {r.size for r in rows if r.doc_id in (2, 3)} == {8}
     assert sharding.shard_by_bytes(awkward.limit(0)).count() == 0
+
+
+def placed_plainly(docs, shards):
+    """doc -> (shard, slot) by sorting all keys on one line of bytes."""
+    keys = sorted((int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16), i, len((t or "").encode()) + 8) for i, t in docs)
+    total, before, slots, out = sum(k[2] for k in keys), 0, [0] * shards, {}
+    for _, i, size in keys:
+        shard = min(shards - 1, (2 * before + size) * shards // (2 * total))
+        out[i] = (shard, slots[shard])
+        slots[shard] += 1
+        before += size
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 5, 24])
+def test_against_a_plain_placement(spark, shards):
+    docs = [(i, None if i % 50 == 7 else "hot " * 50 if i % 3 == 0 else f"text {i % 700} " * (1 + i % 40)) for i in range(2000)]
+    rows = sharding.shard_by_bytes(spark.createDataFrame(docs, "doc_id long, text string"), shards=shards).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in rows} == placed_plainly(docs, shards)
+
+
+def test_many_rows_without_an_id(spark):
+    docs = [(None, "same text")] * 1500 + [(i, f"t{i}") for i in range(500)]
+    rows = sharding.shard_by_bytes(spark.createDataFrame(docs, "doc_id long, text string"), shards=6).collect()
+    laws(rows, docs, 6)

@@ -149,8 +149,9 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     split = F.split(F.col(text_column), "\n", -1)
     bounds = F.concat(F.array(F.lit(-1)), removed, F.array(F.size(split)))  # what stays lies between them
-    between = F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda i: F.slice(split, F.get(bounds, i - 1) + 2, F.get(bounds, i) - F.get(bounds, i - 1) - 1))
-    kept = F.array_join(F.flatten(between), "\n")
+    between = lambda x: F.transform(F.sequence(F.lit(1), F.size(x["bounds"]) - 1), lambda i: F.slice(x["lines"], F.get(x["bounds"], i - 1) + 2, F.get(x["bounds"], i) - F.get(x["bounds"], i - 1) - 1))
+    # a lambda's variable holds the lines once; a column would be split again for every piece
+    kept = F.transform(F.array(F.struct(split.alias("lines"), bounds.alias("bounds"))), lambda x: F.array_join(F.flatten(between(x)), "\n"))[0]
     text = F.when(F.col("removed").isNull(), F.col(text_column)).otherwise(kept)
     lines = F.when(F.col(text_column).isNull(), 0).otherwise(F.size(split))
     return joined.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in names], lines.cast("long").alias("lines"), removed.alias("removed"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -26,6 +27,9 @@ CURRENCIES = ("€", "eur", "euros", "euro")
 # Hangul syllables are numbered by their leading consonant, vowel and trailing consonant.
 _HANGUL, _LEADS, _VOWELS, _TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7
 _VOWEL_COUNT, _TAIL_COUNT = 21, 28
+#: The first character behind Latin letters of the common languages.
+_LATIN = 0x180
+_NOT_ASCII = "[^\\x00-\\x7f]"
 
 
 @lru_cache(maxsize=1)
@@ -74,33 +78,49 @@ def _hangul(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike("[\\x{ac00}-\\x{d7a3}]"), opened(c)).otherwise(c)), "")
 
 
-def fold(text: Column) -> Column:
-    """Compatibility forms and diacritics undone, lower case; combining marks and soft hyphens dropped.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it; a column would be copied into each place."""
+    return F.transform(F.array(value), body)[0]
 
-    ASCII texts only get lower case. Characters that become several are looked up one by one where a text has any.
-    """
+
+def _folded(text: Column) -> Column:
+    """A text with other characters than ASCII, folded. Characters that become several are looked up one by one."""
     known, plain, several = folding()
     rare = _in_class("".join(several))
-    values = F.split(F.lit("\x00".join(several.values())), "\x00")
-    keys = F.lit("".join(several))
+    values, keys = F.split(F.lit("\x00".join(several.values())), "\x00"), F.lit("".join(several))
     one = lambda c: F.when(c.rlike(rare), F.get(values, F.instr(keys, c) - 1)).otherwise(c)
-    out = F.when(text.rlike(rare), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+    expanded = F.array_join(F.transform(F.split(text, ""), one), "")
+    # most texts have Latin letters only, of which few become several
+    latin = "".join(c for c in several if ord(c) < _LATIN)
+    out = F.when(text.rlike(f"[{latin}]|[^\\x00-\\x{{{_LATIN - 1:x}}}]"), expanded).otherwise(text)
     out = F.when(text.rlike("[\\x{ac00}-\\x{d7a3}]"), _hangul(out)).otherwise(out)
-    return F.when(text.rlike("[^\\x00-\\x7f]"), F.lower(F.translate(out, known, plain))).otherwise(F.lower(text))
+    return F.lower(F.translate(out, known, plain))
+
+
+def fold(text: Column) -> Column:
+    """Compatibility forms and diacritics undone, lower case; combining marks and soft hyphens dropped."""
+    return let(text, lambda t: F.when(t.rlike(_NOT_ASCII), _folded(t)).otherwise(F.lower(t)))
 
 
 def normalize(text: Column) -> Column:
-    """One spelling for matching: folded letters, unified quotes and dashes, hyphenation undone, single spaces, trimmed."""
-    out = fold(text)
-    dashed = F.regexp_replace(out, r"(?md)^[ \t]*[-–—][ \t]+", " ")
-    out = F.when(text.rlike("[^\\x00-\\x7f]|-"), dashed).otherwise(out)
-    quoted = F.regexp_replace(F.regexp_replace(out, f"«[{SPACE}]*", '"'), f"[{SPACE}]*»", '"')
-    out = F.when(text.rlike("[«»]"), quoted).otherwise(out)
-    out = F.translate(out, APOSTROPHES + QUOTES + DASHES, "'" * len(APOSTROPHES) + '"' * len(QUOTES) + "-" * len(DASHES))
-    joined = F.regexp_replace(out, f"-[{SPACE}]*\\n[{SPACE}]*", "")
-    out = F.when(F.contains(text, F.lit("\n")), joined).otherwise(out)
-    out = F.regexp_replace(out, f"[{SPACE}|{BULLETS}]+", " ")
-    return F.trim(out)
+    """One spelling for matching: folded letters, unified quotes and dashes, hyphenation undone, single spaces, trimmed.
+
+    ASCII texts take a shorter way to the same result.
+    """
+
+    def plain(t: Column) -> Column:
+        out = F.lower(F.translate(t, "`", "'"))
+        joined = F.regexp_replace(F.regexp_replace(out, r"(?md)^[ \t]*-[ \t]+", " "), r"-[\s\x1c-\x1f]*\n[\s\x1c-\x1f]*", "")
+        return F.regexp_replace(F.when(F.contains(t, F.lit("-")), joined).otherwise(out), r"[\s\x1c-\x1f|]+", " ")
+
+    def full(t: Column) -> Column:
+        out = F.regexp_replace(_folded(t), r"(?md)^[ \t]*[-–—][ \t]+", " ")
+        out = F.regexp_replace(F.regexp_replace(out, f"«[{SPACE}]*", '"'), f"[{SPACE}]*+»", '"')
+        out = F.translate(out, APOSTROPHES + QUOTES + DASHES, "'" * len(APOSTROPHES) + '"' * len(QUOTES) + "-" * len(DASHES))
+        out = F.regexp_replace(out, f"-[{SPACE}]*\\n[{SPACE}]*", "")
+        return F.regexp_replace(out, f"[{SPACE}|{BULLETS}]+", " ")
+
+    return let(text, lambda t: F.trim(F.when(t.rlike(_NOT_ASCII), full(t)).otherwise(plain(t))))
 
 
 def words(normalized: Column) -> Column:

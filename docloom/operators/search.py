@@ -20,30 +20,42 @@ def form_weights(forms: DataFrame, frequency: DataFrame) -> DataFrame:
     return forms.join(frequency, "token").groupBy("question", "group", "form", "corpus").agg(F.sum(1.0 / F.col("df")).alias("weight"))
 
 
-def scores(tokens: DataFrame, forms: DataFrame, question_words: DataFrame) -> DataFrame:
+def scores(tokens: DataFrame, forms: DataFrame, question_words: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
     """question, corpus, block and the score's parts for every block that shares a word with a form.
 
     full: groups with a wholly covered form; precision: the densest covered form of several words; partial: where
     nothing is full, the mean over groups of the rarest shared word's part of its form's weight; coverage: the part
     of the question's words in the block. Ratios are rounded to 9 places, so that sums of reciprocals tie alike in
     any order.
+
+    What is asked becomes one table of words with all that a score needs of them; up to `most_broadcast` rows of it
+    go to every task, beyond that it is joined by shuffles. Blocks are dealt out once, and a block's hits are summed
+    where it lies: only the best blocks of a question move on.
     """
-    frequency = document_frequency(tokens)
-    weights = form_weights(forms, frequency)
+    wanted = forms.select("token").union(question_words.select("token")).distinct()
+    frequency = document_frequency(tokens.join(wanted, "token", "left_semi"))
     groups = forms.groupBy("question").agg(F.countDistinct("group").alias("groups"))
-    hits = tokens.join(forms, "token").join(frequency, ["corpus", "token"])
-    by_form = hits.groupBy("question", "group", "form", "form_size", "corpus", "block", "n_tokens").agg(F.count("*").alias("met"), F.min("df").alias("rarest"))
-    by_form = by_form.join(weights, ["question", "group", "form", "corpus"])
-    whole = F.col("met") == F.col("form_size")
-    by_group = by_form.groupBy("question", "group", "corpus", "block").agg(
+    of_forms = forms.join(frequency, "token").join(form_weights(forms, frequency), ["question", "group", "form", "corpus"]).join(groups, "question")
+    # the whole question is a form without a group
+    of_questions = question_words.join(frequency, "token").withColumnRenamed("question_size", "form_size")
+    terms = of_forms.unionByName(of_questions, allowMissingColumns=True).persist()
+    few = terms.count() <= most_broadcast
+    hits = tokens.repartition("corpus", "block").join(F.broadcast(terms) if few else terms, ["corpus", "token"])
+    by_form = hits.groupBy("corpus", "block", "question", "group", "form", "form_size", "n_tokens", "weight", "groups").agg(F.count("*").alias("met"), F.min("df").alias("rarest"))
+    grouped = F.col("group").isNotNull()
+    whole = grouped & (F.col("met") == F.col("form_size"))
+    by_group = by_form.groupBy("corpus", "block", "question", "group").agg(
         F.max(F.when(whole, 1).otherwise(0)).alias("whole"),
         F.max(F.when(whole & (F.col("form_size") > 1), F.col("form_size") / F.col("n_tokens")).otherwise(0.0)).alias("density"),
         F.max(1.0 / F.col("rarest") / F.col("weight")).alias("hit"),
+        F.max("groups").alias("groups"),
+        F.max(F.when(~grouped, F.col("met") / F.col("form_size"))).alias("coverage"),
+    )
+    by_block = by_group.groupBy("corpus", "block", "question").agg(
+        F.sum("whole").alias("full"), F.max("density").alias("precision"), F.sum("hit").alias("hits"), F.max("groups").alias("groups"), F.max("coverage").alias("coverage")
     )
-    by_block = by_group.groupBy("question", "corpus", "block").agg(F.sum("whole").alias("full"), F.max("density").alias("precision"), F.sum("hit").alias("hits")).join(groups, "question")
-    covered = tokens.join(question_words, "token").groupBy("question", "corpus", "block").agg((F.count("*") / F.first("question_size")).alias("coverage"))
     partial = F.when(F.col("full") == 0, F.col("hits") / F.col("groups")).otherwise(0.0)
-    out = by_block.join(covered, ["question", "corpus", "block"], "left")
+    out = by_block.filter("groups is not null")
     return out.select("question", "corpus", "block", "full", F.round(partial, 9).alias("partial"), F.round("precision", 9).alias("precision"), F.round(F.coalesce("coverage", F.lit(0.0)), 9).alias("coverage"))
 
 

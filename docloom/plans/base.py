@@ -115,7 +115,9 @@ CLOSURE = """closure AS (
 def tokens(t: Tables) -> DataFrame:
     """doc_id, source, seq, token, n_tokens: the distinct words of each line."""
     found = F.array_distinct(tx.words(tx.normalize(F.col("line"))))
-    return lines(t).select("doc_id", "source", "seq", found.alias("found")).select("doc_id", "source", "seq", F.size("found").alias("n_tokens"), F.explode("found").alias("token"))
+    # a lambda's variable holds the words once; as two columns they would be found twice
+    sized = tx.let(found, lambda w: F.transform(w, lambda x: F.struct(F.size(w).alias("n_tokens"), x.alias("token"))))
+    return lines(t).select("doc_id", "source", "seq", F.inline(sized))
 
 
 TOKENS = f"tokens AS (SELECT doc_id, source, seq, len(found) AS n_tokens, unnest(found) AS token FROM (SELECT doc_id, source, seq, list_distinct({words_sql(norm_sql('line'))}) AS found FROM lines))"

@@ -354,10 +354,10 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     scratch.drop(sets, placed, rest, groups)
 
     ids = nodes.select("node", F.col("rep.doc_id").alias("rep_id"))
-    least = ids.join(labels, "node").groupBy("label").agg(F.min("rep_id").alias("least"))
+    least = scratch.keep(ids.join(labels, "node").groupBy("label").agg(F.min("rep_id").alias("least")), "least")  # as a table, so that a large group's rows can be split in the join
     of_node = ids.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("least", "rep_id").alias("component_id"))
     of_node = scratch.keep(of_node, "components")
-    scratch.drop(nodes, labels)
+    scratch.drop(nodes, labels, least)
     out = signed.select("doc_id", "n", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -105,10 +106,38 @@ class Found:
     inflated: int
 
 
-def read_records(file: io.BufferedIOBase, tests: list[tuple], payloads: bool) -> Iterator[Found]:
-    """The records of one archive, gzip or plain, whose headers pass."""
-    at = 0
-    while True:
+def _begins_record(file: io.BufferedIOBase, at: int) -> bool:
+    """Whether a record, compressed or plain, begins at a place."""
+    file.seek(at)
+    head = file.read(2048)
+    if head[:2] == b"\x1f\x8b":
+        try:
+            head = zlib.decompressobj(31).decompress(head)
+        except zlib.error:
+            return False
+    return head.startswith(b"WARC/") and b"WARC-Type:" in head
+
+
+def first_record(file: io.BufferedIOBase, start: int, end: int) -> int:
+    """The first place from `start` on, before `end`, where a record begins; `end` where there is none."""
+    at, held = start, b""
+    while start and at < end:
+        file.seek(at)
+        held = file.read(min(1 << 20, end - at + 4))
+        places = sorted(m.start() for m in re.finditer(rb"\x1f\x8b\x08|WARC/", held))
+        for k in places:
+            if at + k < end and _begins_record(file, at + k):
+                return at + k
+        if len(held) < 1 << 20:
+            return end
+        at += len(held) - 4
+    return start if not start else end
+
+
+def read_records(file: io.BufferedIOBase, tests: list[tuple], payloads: bool, start_at: int = 0, end_at: int | None = None) -> Iterator[Found]:
+    """The records of one archive, gzip or plain, whose headers pass; of a part of it those that begin there."""
+    at = first_record(file, start_at, end_at) if end_at is not None else start_at
+    while end_at is None or at < end_at:
         file.seek(at)
         start = file.read(2)
         if not start:
@@ -174,7 +203,9 @@ def row_of(found: Found, payloads: bool) -> dict:
 
 @dataclass
 class Files(InputPartition):
-    names: tuple[str, ...]
+    """Files, or parts of them: name, where the part begins, and where it ends (None: the whole file)."""
+
+    parts: tuple[tuple[str, int, int | None], ...]
 
 
 class WarcReader(DataSourceReader):
@@ -201,7 +232,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        """Files in groups of about `partitionbytes`; those of finished writes where a writer's list is there."""
+        """Files in groups of about `partitionbytes`, larger ones in parts of that size; those of finished writes where a writer's list is there."""
         store, path = open_store(self.path)
         infos = [x for x in store.get_file_info(pa.fs.FileSelector(path)) if x.is_file] if store.get_file_info(path).type == pa.fs.FileType.Directory else [store.get_file_info(path)]
         lists = [x for x in infos if x.base_name.startswith("_written-")]
@@ -214,19 +245,22 @@ class WarcReader(DataSourceReader):
         infos = sorted((x for x in infos if x.base_name.endswith((".warc", ".warc.gz"))), key=lambda x: -x.size)
         groups: list[list] = []
         for x in infos:
-            if groups and groups[-1][0] + x.size <= self.target:
+            if x.size > 2 * self.target:
+                bounds = [*range(0, x.size, self.target), x.size]
+                groups += [[self.target, (x.path, a, b)] for a, b in zip(bounds, bounds[1:], strict=False)]
+            elif groups and groups[-1][0] + x.size <= self.target:
                 groups[-1][0] += x.size
-                groups[-1].append(x.path)
+                groups[-1].append((x.path, 0, None))
             else:
-                groups.append([x.size, x.path])
+                groups.append([x.size, (x.path, 0, None)])
         return [Files(tuple(g[1:])) for g in groups] or [Files(())]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = open_store(self.path)
         rows, held = [], 0
-        for name in partition.names:
+        for name, start, end in partition.parts:
             with store.open_input_file(name) as raw:
-                for found in read_records(io.BufferedReader(raw, 1 << 18), self.tests, self.payloads):
+                for found in read_records(io.BufferedReader(raw, 1 << 18), self.tests, self.payloads, start, end):
                     rows.append(row_of(found, self.payloads))
                     held += len(rows[-1]["payload"] or b"") + 200
                     if held > 4_000_000:
@@ -297,6 +331,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to a session and turn on its pushing of filters into Python sources, which is off by default."""
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 

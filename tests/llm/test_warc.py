@@ -54,3 +54,25 @@ def test_plain_records():
 
 def test_empty_table(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
+
+
+def records(n, compressed):
+    rows = [{"record_id": f"urn:page:{i}", "record_type": "response", "target_uri": None, "page_id": i, "refers_to": None, "payload_digest": "X", "payload_bytes": 40 * i, "payload": bytes((i * k) % 251 for k in range(40 * i))} for i in range(n)]
+    rows[3]["payload"] = b"\x1f\x8b\x08 WARC/1.1\r\n" * 9  # looks like beginnings of records
+    return b"".join(warc.member(warc.record_bytes(r)) if compressed else warc.record_bytes(r) for r in rows)
+
+
+def test_parts_of_a_large_archive_have_each_record_once():
+    for compressed in (True, False):
+        data = records(60, compressed)
+        for size in (997, 5_000, len(data)):
+            bounds = [*range(0, len(data), size), len(data)]
+            got = [warc.row_of(f, True)["page_id"] for a, b in zip(bounds, bounds[1:], strict=False) for f in warc.read_records(io.BytesIO(data), [], True, a, b)]
+            assert got == list(range(60))
+
+
+def test_large_archive_is_several_tasks(spark, tmp_path):
+    (tmp_path / "big.warc.gz").write_bytes(records(80, True))
+    warc.register(spark)
+    frame = spark.read.format("warc").options(path=str(tmp_path), partitionbytes="4000").load()
+    assert frame.rdd.getNumPartitions() > 3 and sorted(r.page_id for r in frame.select("page_id").collect()) == list(range(80))

@@ -121,7 +121,7 @@ def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Ord
     """Fit on a bounded sample: at most about `most_rows` labelled documents.
 
     The sample's ids and labels go to the tasks that read the documents, its words are counted there, and the
-    telling words' counts in its texts reach the driver. Learned from are documents whose crc32(doc_id as text)
+    telling words' counts in its texts reach the driver, of rows with one id those of one row. Learned from are documents whose crc32(doc_id as text)
     mod 4 is not 2, so that the rest can tell the accuracy; of several labels of a document the worst counts, null
     labels and ids don't.
     """
@@ -137,9 +137,11 @@ def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Ord
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             counts = [{w: n for w, n in word_counts(t).items() if w in telling.value} for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([list(c.keys()) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["toxic", "words", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(c.keys()) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "words", "times"])
 
-    got = labelled.select("toxic", "text").mapInArrow(run, "toxic boolean, words array<string>, times array<int>").toArrow()
+    counted = labelled.selectExpr("cast(doc_id as long) doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic boolean, words array<string>, times array<int>")
+    # an id counts once, however many rows have it, so that the sample keeps its bound
+    got = counted.groupBy("doc_id").agg(F.max(F.struct("toxic", "words", "times")).alias("x")).select("x.*").toArrow()
     rows = [(dict(zip(w, n, strict=True)), t) for t, w, n in zip(got["toxic"].to_pylist(), got["words"].to_pylist(), got["times"].to_pylist(), strict=True)]
     rows.sort(key=lambda r: (r[1], sorted(r[0].items())))
     return OrdinalModel.fit(rows, words)

@@ -2,8 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from docloom.operators import search, tree
 from docloom.plans.evidence_q import quote_places
+from docloom.plans.shapes_q import union_area
+from docloom.plans.verify_q import found_across_breaks, joined_leads, resolved_definitions
 
 
 def test_closure_of_a_deep_tree(spark):
@@ -44,3 +48,33 @@ def test_quotes_of_few_words(spark):
     got = {(r.item_id, r.doc_id): r.start for r in found.collect()}
     want = {(i, d): t.lower().find(q.lower()) + 1 for i, q in quotes.items() if q and q != "!!" for d, t in texts.items() if t and q.lower() in t.lower()}
     assert got == want
+
+
+def test_quotes_across_line_breaks(spark):
+    """Only spaces born of a line break may be missing; the span is the normalised text's."""
+    rows = [("food in the freezer and/\nor the fridge", "and/or the fridge"), ("food in the freezer and/ or the fridge", "and/or the fridge"), ("a\n b\tc", "ab c"), ("a\n b\tc", "abc"), ("- one\n- two three", "onetwo three"), ("x |\n y z", "xy z"), ("soft-\nened here", "softened here")]
+    frame = spark.createDataFrame(rows, "text string, quote string")
+    got = [r.x for r in frame.select(found_across_breaks(F.col("text"), F.col("quote")).alias("x")).collect()]
+    assert [(x.first, x.last) if x else None for x in got] == [(21, 38), None, (1, 5), None, (1, 13), (1, 5), (1, 13)]
+
+
+def test_definitions_by_the_deepest_scope(spark):
+    up = tree.closure(spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("c", "r")], "node_id string, parent_id string"))
+    definitions = spark.createDataFrame([(1, "t", "r", None, 1), (2, "t", "a", None, 2), (3, "t", None, None, 3), (4, "t", "b", 2, 4), (5, "u", None, None, 5), (6, "u", None, 5, 6), (7, "v", "a", None, 7)], "block_id long, term string, scope string, overrides long, rank long")
+    contexts = spark.createDataFrame([("t", "b"), ("t", "a"), ("t", "c"), ("u", "c"), ("v", "c"), ("v", "b"), ("t", None), ("v", None), ("w", None)], "term string, node_id string")
+    got = {(r.term, r.node_id): r.block_id for r in resolved_definitions(definitions, contexts, up).collect()}
+    assert got == {("t", "b"): 4, ("t", "a"): 2, ("t", "c"): 1, ("u", "c"): 6, ("v", "b"): 7, ("t", None): 3, ("v", None): 7}
+
+
+def test_lead_ins_join_once_and_add_no_second_kind(spark):
+    cited = spark.createDataFrame([("k", 1, "guarantee", 1), ("k", 2, "paragraph", 2), ("m", 3, "paragraph", 1), ("m", 4, "paragraph", 2), ("n", 5, "guarantee", 1), ("n", 6, "exclusion", 2), ("o", 7, "paragraph", 1), ("o", 10, "guarantee", 2)], "claim string, block_id long, kind string, ord long")
+    leads = spark.createDataFrame([(1, 10), (2, 11), (3, 11), (4, 10), (5, 10), (7, 10), (6, 12)], "block_id long, lead_id long")
+    kinds = spark.createDataFrame([(10, "guarantee"), (11, "condition"), (12, "paragraph")], "lead_id long, lead_kind string")
+    got = {tuple(r) for r in joined_leads(cited, leads, kinds.select("lead_id"), kinds).collect()}
+    assert got == {("k", 1, 10), ("m", 3, 11), ("n", 6, 12)}
+
+
+def test_area_of_a_union(spark):
+    rows = [(1, 0, 0, 4, 4), (1, 2, 2, 6, 6), (1, 2, 2, 3, 3), (1, 9, 9, 9, 12), (2, 0, 0, 1, 1), (2, 5, 5, 7, 6), (3, 0, 0, 10, 1), (3, 0, 0, 1, 10), (3, 4, 0, 5, 9)]
+    got = {r.page: r.area for r in union_area(spark.createDataFrame(rows, "page long, x0 long, y0 long, x1 long, y1 long")).collect()}
+    assert got == {1: 28, 2: 3, 3: 27}

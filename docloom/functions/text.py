@@ -88,11 +88,13 @@ def _folded(text: Column) -> Column:
     known, plain, several = folding()
     rare = _in_class("".join(several))
     values, keys = F.split(F.lit("\x00".join(several.values())), "\x00"), F.lit("".join(several))
-    one = lambda c: F.when(c.rlike(rare), F.get(values, F.instr(keys, c) - 1)).otherwise(c)
+    latin = [c for c in several if ord(c) < _LATIN]  # few, as most texts have Latin letters only
+    common = lambda c: (c < chr(_LATIN)) & ~c.isin(*latin)
+    found = lambda c, at: F.when(at > 0, F.get(values, at - 1)).otherwise(c)
+    one = lambda c: F.when(common(c), c).otherwise(let(F.instr(keys, c), lambda at: found(c, at)))
     expanded = F.array_join(F.transform(F.split(text, ""), one), "")
-    # most texts have Latin letters only, of which few become several
-    latin = "".join(c for c in several if ord(c) < _LATIN)
-    out = F.when(text.rlike(f"[{latin}]|[^\\x00-\\x{{{_LATIN - 1:x}}}]"), expanded).otherwise(text)
+    others = F.regexp_replace(text, f"[\\x00-\\x{{{_LATIN - 1:x}}}]+", "")
+    out = F.when(text.rlike(f"[{''.join(latin)}]") | others.rlike(rare), expanded).otherwise(text)
     out = F.when(text.rlike("[\\x{ac00}-\\x{d7a3}]"), _hangul(out)).otherwise(out)
     return F.lower(F.translate(out, known, plain))
 

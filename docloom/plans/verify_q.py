@@ -46,8 +46,11 @@ def found_across_breaks(text: Column, quote: Column) -> Column:
     marked = F.trim(F.regexp_replace(tx.normalize(gaps), f"[ {_BREAK}]*{_BREAK}[ {_BREAK}]*", _BREAK), F.lit(_BREAK))
     letter = lambda c: F.when(c == " ", F.lit(f"[ {_BREAK}]")).otherwise(F.concat(F.lit("\\Q"), c, F.lit("\\E")))
     pattern = F.array_join(F.transform(F.split(quote, ""), letter), f"{_BREAK}?")
-    at = F.regexp_instr(marked, pattern)
-    return F.when(at > 0, F.struct(at.alias("first"), (at - 1 + F.length(F.regexp_substr(marked, pattern))).alias("last")))
+    def place(x: Column) -> Column:
+        found = F.regexp_substr(x["text"], x["pattern"])
+        return tx.let(found, lambda f: F.when(f.isNotNull(), tx.let(F.instr(x["text"], f), lambda at: F.struct(at.alias("first"), (at - 1 + F.length(f)).alias("last")))))
+
+    return tx.let(F.struct(marked.alias("text"), pattern.alias("pattern")), place)
 
 
 @query(
@@ -64,7 +67,9 @@ def v3(spark, sf):
     following = F.lead("line").over(Window.partitionBy("doc_id").orderBy("seq"))
     pairs = lines(Tables(spark, sf)).select("doc_id", "seq", "line", following.alias("next")).filter("next is not null")
     whole = F.concat(F.col("line"), F.lit("\n"), F.col("next"))
-    pairs = pairs.select("doc_id", "seq", whole.alias("text"), tx.normalize(F.col("line")).alias("a"), tx.normalize(F.col("next")).alias("b"), tx.normalize(whole).alias("norm"))
+    # exploded from an array of one, so that the filters below don't normalise once more each
+    made = F.struct(whole.alias("text"), tx.normalize(F.col("line")).alias("a"), tx.normalize(F.col("next")).alias("b"), tx.normalize(whole).alias("norm"))
+    pairs = pairs.select("doc_id", "seq", F.inline(F.array(made)))
     pairs = pairs.filter("a <> '' and b <> '' and norm = concat(a, ' ', b)").withColumn("quote", F.expr("concat(right(a, 12), left(b, 12))")).filter(~F.contains("norm", "quote"))
     met = pairs.select("doc_id", "seq", found_across_breaks(F.col("text"), F.col("quote")).alias("x"))
     return met.filter("x is not null").select("doc_id", "seq", "x.first", "x.last")

@@ -14,6 +14,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -171,6 +172,12 @@ class WordBpe:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def _loaded(definition: str) -> WordBpe:
+    """One encoder for all tasks of a Python worker, with what it has already merged."""
+    return WordBpe(definition)
+
+
 def encode_table(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True) -> DataFrame:
     """Token ids and the decoded text of every whole text: id, ids (array, where asked for), n_tokens, ids_sha256, decoded_sha256.
 
@@ -183,9 +190,8 @@ def encode_table(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
         for batch in pieces(batches, "text"):
-            bpe = bpe or WordBpe(definition.value)
+            bpe = _loaded(definition.value)
             columns: list[list] = [[] for _ in fields]
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = bpe.encode(text or "")

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
@@ -102,6 +102,25 @@ def groups_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def gapless(scratch: Scratch, df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """df with `pos`, each row's place from 0 in its group by `order` (nulls first), and `n`, the rows of its group.
+
+    Rows are sorted by range partitions, so a group may be of any size: places are counted in each partition, and the
+    partitions of a group are added up. Rows that agree in everything are spread by a tie of their own and placed in
+    any order. `group` holds columns without nulls; the names pos, n, _tie, _at and _part must be free.
+    """
+    keys = [*group, *order, "_tie"]
+    tied = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    kept = scratch.keep(tied.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_at", F.monotonically_increasing_id()), name)
+    kept = scratch.renamed(kept, kept.withColumn("_part", F.shiftright("_at", 33)))
+    runs = kept.groupBy(*group, "_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*group, "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("n"))
+    placed = kept.join(runs, [*group, "_part"]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before"))
+    return placed.drop("_at", "_part", "_first", "_before")
+
+
 def lower_ascii(column: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

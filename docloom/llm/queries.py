@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, langid, lines, media, neardup, sharding, toxicity, urls, warc
+from docloom.llm import bpe, decontaminate, langid, lines, media, merkle, neardup, sharding, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, langid.fit(documents))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_language_id": op10_language_id,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _LINES = """
@@ -121,5 +126,48 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, sh
 """
 
+#: The unsigned CRC-32 of a text in ASCII, byte by byte: each byte is one step of eight shifts by the reversed polynomial.
+_CRC = """list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, strlen({x}) + 1), lambda i: ascii(substr({x}, i, 1))::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1))))"""
+
+
+def crc32_sql(x: str) -> str:
+    return f"xor({_CRC.format(x=x)}, 4294967295)"
+
+
+def merkle_sql(levels: int = 6) -> str:
+    """The manifest by `levels` levels of runs for groups and for subroots: enough for 16 ** levels nodes."""
+    leaf = "sha256(concat(" + ", ".join(f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', {c}), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + "))"
+    steps = []
+    for tree, first, group in (("a", "leaves", "grp"), ("b", "tops", "one")):
+        last = first
+        for k in range(levels):
+            steps.append(f"{tree}{k} AS (SELECT {group}, p // 16 AS p, any_value(n) > 1 AS more, (any_value(n) + 15) // 16 AS n, list(h ORDER BY p) AS run, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE any_value(h) END AS h FROM {last} GROUP BY {group}, p // 16)")
+            last = f"{tree}{k}"
+        if tree == "a":
+            steps.append(f"tops AS (SELECT 1 AS one, grp, h, row_number() OVER (ORDER BY grp) - 1 AS p, count(*) OVER () AS n FROM {last})")
+    joins, proof, fold = [], [], "l.changed"
+    for tree, at in (("a", "l.p"), ("b", "t.p")):
+        if tree == "b":
+            joins.append("JOIN tops t ON t.grp = l.grp")
+        for k in range(levels):
+            t, i = f"{tree}{k}", f"({at} // {16 ** k}) % 16"
+            joins.append(f"JOIN {t} ON {t}.{'grp = l.grp' if tree == 'a' else 'one = 1'} AND {t}.p = {at} // {16 ** (k + 1)}")
+            left, right = f"array_to_string({t}.run[1:CAST({i} AS INT)], '')", f"array_to_string({t}.run[CAST({i} AS INT) + 2:], '')"
+            proof.append(f"CASE WHEN {t}.more THEN {left} || {right} ELSE '' END")
+            joins.append(f"CROSS JOIN LATERAL (SELECT CASE WHEN {t}.more THEN sha256({left} || {fold} || {right}) ELSE {fold} END AS h) f{t}")
+            fold = f"f{t}.h"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS grp, {leaf.format(text='text')} AS h, {leaf.format(text=lowered)} AS low, CAST(doc_id AS VARCHAR) AS x FROM documents),
+leaves AS (SELECT doc_id, grp, h, CASE WHEN {crc32_sql('x')} % 5 = 0 THEN low ELSE h END AS changed,
+  row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS p, count(*) OVER (PARTITION BY grp) AS n FROM d),
+{", ".join(steps)},
+r AS MATERIALIZED (SELECT l.doc_id, l.h AS leaf, t.h AS subroot, b{levels - 1}.h AS root, sha256({' || '.join(proof)}) AS proof_sha256, {fold} AS folded_root
+  FROM leaves l {" ".join(joins)})
+SELECT *, folded_root = root AS verified FROM r
+"""
+
+
 #: The other queries rest on learned models, checksums or edit distances that SQL doesn't have.
-ORACLES: dict[str, str] = {"op1_line_dedup": _LINES, "op2_warc": _WARC, "op5_superminhash": _NEAR}
+ORACLES: dict[str, str] = {"op1_line_dedup": _LINES, "op2_warc": _WARC, "op5_superminhash": _NEAR, "op12_merkle_manifest": merkle_sql()}

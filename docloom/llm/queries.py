@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, langid, lines, media, merkle, neardup, sharding, toxicity, urls, warc
+from docloom.llm import bpe, decontaminate, langid, lines, media, merkle, neardup, sharding, toxicity, tries, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, langid.fit(documents))
 
 
+def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.rebuilt_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(_read(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_language_id": op10_language_id,
+    "op11_burst_trie": op11_burst_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
@@ -169,5 +174,26 @@ SELECT *, folded_root = root AS verified FROM r
 """
 
 
+_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id AS c, CAST(conv_id AS VARCHAR) AS s FROM (SELECT DISTINCT conv_id FROM t)),
+c AS (SELECT c, c - c % 20 AS b, {crc32_sql('s')} % 4 AS h FROM i),
+q AS (SELECT c, 0 AS part, pos, r, x FROM c JOIN t ON t.conv_id = b AND pos < h UNION ALL SELECT c, 1, pos, r, x FROM c JOIN t ON t.conv_id = c AND pos >= h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, sha256(concat(strlen(r), ':', r, x)) AS k, len(regexp_extract_all(x, '[^ \\t-\\r]+')) AS words FROM q),
+p AS (SELECT c, d, string_agg(k, '') OVER (PARTITION BY c ORDER BY d) AS k, words FROM s UNION ALL SELECT c, 0, '', 0 FROM c),
+n AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY d, k),
+m AS (SELECT p.c, p.d, n.conv_id, n.n_convs, n.words FROM p JOIN n ON n.d = p.d AND n.k = p.k),
+k AS (SELECT n.conv_id, n.d, n.n_convs, n.words, a.conv_id AS parent_conv_id FROM n LEFT JOIN m a ON a.c = n.conv_id AND a.d = n.d - 1),
+f AS (SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n_children FROM k WHERE d > 0 GROUP BY ALL),
+g AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN f ON f.conv_id = k.conv_id AND f.d = k.d),
+u AS (SELECT a.conv_id, a.d, count(*) FILTER (g.n_children = 0) AS n_leaves, sum((g.n_convs - 1) * g.words) AS saved_tokens FROM g JOIN m a ON a.c = g.conv_id AND a.d <= g.d GROUP BY a.conv_id, a.d),
+e AS (SELECT conv_id, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT *, max(d) OVER (PARTITION BY c) AS most FROM m) WHERE d = most GROUP BY conv_id, d)
+SELECT g.conv_id, g.d AS depth, g.parent_conv_id, g.n_convs, CAST(g.n_children AS BIGINT) AS n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM g JOIN u ON u.conv_id = g.conv_id AND u.d = g.d LEFT JOIN e ON e.conv_id = g.conv_id AND e.d = g.d
+"""
+
 #: The other queries rest on learned models, checksums or edit distances that SQL doesn't have.
-ORACLES: dict[str, str] = {"op1_line_dedup": _LINES, "op2_warc": _WARC, "op5_superminhash": _NEAR, "op12_merkle_manifest": merkle_sql()}
+ORACLES: dict[str, str] = {"op1_line_dedup": _LINES, "op2_warc": _WARC, "op5_superminhash": _NEAR, "op11_burst_trie": _TRIE, "op12_merkle_manifest": merkle_sql()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, langid, lines, media, merkle, neardup, sharding, toxicity, tries, urls, warc
+from docloom.llm import bpe, convnet, decontaminate, langid, lines, media, merkle, neardup, sharding, toxicity, tries, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(_read(spark, sf_dir, "documents"))
 
 
+def op13_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return convnet.quality(documents, convnet.fit(documents, _read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_burst_trie": op11_burst_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_byte_convnet": op13_byte_convnet,
 }
 
 _LINES = """

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import layout
+from docloom.operators import layout, pagetext
 from docloom.plans.base import Tables, query
 
 
@@ -142,3 +142,92 @@ def g11(spark, sf):
     from_top = F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0", "box"))
     rows = b.filter("is_line").withColumn("box", from_top).withColumn("x1", F.col("x1") - 79)
     return layout.merged_numbers(rows, layout.boundaries(b))
+
+
+def page_lines(t: Tables) -> DataFrame:
+    """book, page, line, y0, y1, height, text, size, turned: documents as pages of their source, with a chapter and small capitals at
+    the top, a number at the foot and a turned title at the side."""
+    d = t.documents.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "lang", "text")
+    body = d.select("book", "page", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("y0", 30 + 12 * F.col("line")).withColumn("size", F.lit(11)).withColumn("turned", F.length("text") % 9 == 0)
+
+    def extra(line: int, y0: int, text: Column, size: int, turned: bool) -> DataFrame:
+        return d.select("book", "page", F.lit(line).alias("line"), text.alias("text"), F.lit(y0).alias("y0"), F.lit(size).alias("size"), F.lit(turned).alias("turned"))
+
+    rows = body.unionByName(extra(-1, 12, F.concat(F.lit("chapter "), (F.col("page") % 3).cast("string")), 12, False))
+    rows = rows.unionByName(extra(-2, 20, F.upper("lang"), 8, False)).unionByName(extra(-3, 780, (F.col("page") % 1500).cast("string"), 11, False))
+    rows = rows.unionByName(extra(-4, 400, F.concat("lang", F.lit(" terms "), F.col("page").cast("string"), F.lit(" | 48")), 11, True))
+    return rows.withColumn("y1", F.col("y0") + 10).withColumn("height", F.lit(800))
+
+
+PAGE_LINES = """page_lines AS (
+  SELECT book, page, CAST(line AS INT) AS line, text, y0, y0 + 10 AS y1, 800 AS height, size, turned FROM (
+    SELECT source AS book, doc_id AS page, line, text, 30 + 12 * line AS y0, 11 AS size, length(text) % 9 = 0 AS turned FROM (SELECT source, doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS text FROM documents)
+    UNION ALL SELECT source, doc_id, -1, 'chapter ' || doc_id % 3, 12, 12, false FROM documents UNION ALL SELECT source, doc_id, -2, upper(lang), 20, 8, false FROM documents
+    UNION ALL SELECT source, doc_id, -3, CAST(doc_id % 1500 AS VARCHAR), 780, 11, false FROM documents UNION ALL SELECT source, doc_id, -4, lang || ' terms ' || doc_id || ' | 48', 400, 11, true FROM documents))"""
+
+
+@query(
+    "g9_running_lines",
+    f"""WITH {PAGE_LINES},
+    n AS (SELECT book, greatest(2, CAST(ceil(count(DISTINCT page) * 0.3) AS BIGINT)) AS least FROM page_lines GROUP BY book),
+    b AS (SELECT *, y0 < 40 OR y1 > height - 40 AS in_band, regexp_replace(text, '[0-9]+', '#', 'g') AS template FROM page_lines),
+    s AS (SELECT book, text, count(*) AS seen FROM b WHERE in_band GROUP BY book, text),
+    t AS (SELECT book, template, count(DISTINCT page) AS pages FROM b WHERE turned GROUP BY book, template),
+    m AS (SELECT b.*, s.seen, t.pages, CASE WHEN in_band AND (s.seen >= least OR regexp_matches(b.text, '^[0-9]{{1,3}}$') OR (size <= 10 AND b.text = upper(b.text))) THEN 'running_band' WHEN turned AND t.pages >= least THEN 'turned_title' END AS motive, least
+      FROM b JOIN n ON n.book = b.book LEFT JOIN s ON s.book = b.book AND s.text = b.text LEFT JOIN t ON t.book = b.book AND t.template = b.template)
+    SELECT book, page, line, motive, CAST(CASE WHEN motive = 'turned_title' THEN pages WHEN seen >= least THEN seen ELSE 1 END AS BIGINT) AS seen FROM m WHERE motive IS NOT NULL""",
+)
+def g9(spark, sf):
+    """What a source's pages repeat in their bands, page numbers, small capitals and turned titles, each with its motive."""
+    return pagetext.running_lines(page_lines(Tables(spark, sf)))
+
+
+@query(
+    "g8_conserved_lines",
+    f"""WITH {PAGE_LINES}, s AS (SELECT page || ':' || line AS uid, page, line, length(text) AS n FROM page_lines),
+    c AS (SELECT uid, page || '/' || line // 4 AS block FROM s WHERE n % 13 <> 0 UNION ALL SELECT uid, page || '/x' FROM s WHERE n % 17 = 0 UNION ALL SELECT page || ':' || (line + 100000), page || '/y' FROM s WHERE n % 29 = 0),
+    r AS (SELECT uid, CASE WHEN n % 19 = 0 THEN 'turned' ELSE 'band' END AS motive FROM s WHERE n % 26 = 0 OR n % 19 = 0),
+    a AS (SELECT uid, count(*) AS n FROM c GROUP BY uid), m AS (SELECT s.uid AS known, coalesce(s.uid, a.uid) AS uid, coalesce(a.n, 0) AS n, r.motive FROM s FULL JOIN a ON a.uid = s.uid LEFT JOIN r ON r.uid = s.uid)
+    SELECT * FROM (SELECT uid, CASE WHEN known IS NULL THEN 'unknown' WHEN n > 1 THEN 'several' WHEN n = 1 AND motive IS NOT NULL THEN 'both' WHEN n = 0 AND motive IS NULL THEN 'lost' END AS problem, CAST(n AS BIGINT) AS n_blocks, motive FROM m) WHERE problem IS NOT NULL""",
+)
+def g8(spark, sf):
+    """Every line of a page in one block or one removal: what is lost, carried twice, carried and removed, or unknown."""
+    s = page_lines(Tables(spark, sf)).select("page", "line", F.concat("page", F.lit(":"), "line").alias("uid"), F.length("text").alias("n"))
+    in_fours = s.filter("n % 13 <> 0").select("uid", F.concat("page", F.lit("/"), F.expr("line div 4")).alias("block"))
+    twice = s.filter("n % 17 = 0").select("uid", F.concat("page", F.lit("/x")).alias("block"))
+    unknown = s.filter("n % 29 = 0").select(F.concat("page", F.lit(":"), F.col("line") + 100_000).alias("uid"), F.concat("page", F.lit("/y")).alias("block"))
+    removed = s.filter("n % 26 = 0 or n % 19 = 0").select("uid", F.when(F.col("n") % 19 == 0, "turned").otherwise("band").alias("motive"))
+    return pagetext.conservation(s, in_fours.unionByName(twice).unionByName(unknown), removed)[0]
+
+
+@query(
+    "g10_contents_pages",
+    """WITH RECURSIVE p AS (SELECT source AS book, doc_id AS page, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, length(text) % 3 > 0 AND doc_id > 60 AS entries, length(text) % 5 = 0 AS other, length(text) % 11 = 0 AS article FROM documents WHERE text IS NOT NULL),
+    w(book, i, state, page, is_contents) AS (
+      SELECT DISTINCT book, CAST(0 AS BIGINT), 0, CAST(NULL AS BIGINT), false FROM p
+      UNION ALL SELECT p.book, p.i, CASE WHEN state = 2 THEN 2 WHEN state = 0 AND NOT entries THEN 0 WHEN state = 1 AND (NOT entries OR other) THEN 2 WHEN article THEN 2 ELSE 1 END, p.page, CASE WHEN state = 0 THEN entries WHEN state = 1 THEN entries AND NOT other ELSE false END
+      FROM w JOIN p ON p.book = w.book AND p.i = w.i + 1)
+    SELECT book, page, is_contents, state = 2 AND NOT is_contents AS after FROM w WHERE i > 0""",
+)
+def g10(spark, sf):
+    """A source's documents as pages: where contents begin, go on and end, never to begin again."""
+    n = F.length("text")
+    pages = Tables(spark, sf).documents.filter("text is not null").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), ((n % 3 > 0) & (F.col("doc_id") > 60)).alias("entries"), (n % 5 == 0).alias("other"), (n % 11 == 0).alias("article"))
+    return pagetext.contents_pages(pages)
+
+
+@query(
+    "s11_numbered_outline",
+    """WITH h AS (SELECT l_suppkey AS book, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS ord, 1 + l_partkey % 5 AS level FROM lineitem),
+    p AS (SELECT a.book, a.ord, a.level, max(b.ord) AS parent FROM h a LEFT JOIN h b ON b.book = a.book AND b.ord < a.ord AND b.level < a.level GROUP BY ALL),
+    d AS (WITH RECURSIVE u(book, ord, top, depth) AS (SELECT book, ord, parent, 0 FROM p UNION ALL SELECT u.book, u.ord, p.parent, depth + 1 FROM u JOIN p ON p.book = u.book AND p.ord = u.top) SELECT book, ord, max(depth) AS depth FROM u GROUP BY ALL)
+    SELECT p.book, p.ord, CAST(level AS INT) AS level, parent, CAST(depth AS INT) AS depth FROM p JOIN d ON d.book = p.book AND d.ord = p.ord""",
+)
+def s11(spark, sf):
+    """A supplier is a book, its items numbered headings (`3.1.4 A`): each under the nearest earlier one with a shorter number."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    parts = F.slice(F.array(F.col("l_linenumber").cast("long"), "l_partkey", "l_suppkey", "l_orderkey", F.col("l_quantity").cast("long")), F.lit(1), (1 + F.col("l_partkey") % 5).cast("int"))
+    text = F.concat(F.array_join(parts.cast("array<string>"), "."), F.lit(" "), "l_returnflag")
+    lines = Tables(spark, sf).lineitem.select(F.col("l_suppkey").alias("book"), (F.row_number().over(order) - 1).cast("long").alias("ord"), text.alias("text"))
+    number = F.regexp_extract("text", r"^(\d+(?:\.\d+)*)\.?\s+(.*)$", 1)
+    return pagetext.outline(lines.select("book", "ord", F.size(F.split(number, r"\.")).alias("level")), chunk=250)

@@ -9,8 +9,10 @@ CGK's random walk reads a string with random pauses that depend on the character
 are few edits apart fall into step again after each edit, so their walks differ in few places: edit distance
 becomes Hamming distance. Tables of sampled places of a few walks put windows and items into buckets. Walks drift
 apart with length, so each class of lengths is measured: where the tables bring at least the target recall of its
-items with k random edits, windows that meet are verified; in any other class all windows that pieces name are. What
-is verified is the exact edit distance between the item and the best substring around the window.
+items with k random edits, windows that meet are verified first, and most passages are settled by them. Edits may be
+such that no table meets (one in each piece, all of a kind), so the windows left that no match lies beside are
+verified too, as all are in other classes: no passage within k edits is lost. What is verified is the exact edit
+distance between the item and the best substring around the window.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm.common import pieces
+from docloom.llm.common import Scratch, pieces
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -279,18 +282,30 @@ class Plan:
         group = self.group[windows[1]]
         for g in np.unique(group).tolist():
             mine, tables = windows[:, group == g], self.tables[g]
-            for a in range(0, mine.shape[1], 4096):
-                text, item, start = mine[:, a : a + 4096]
-                if tables:
-                    meets = (self._sampled(classes, start, item, tables) == self.keys[item, :tables]).any(axis=1)
-                    text, item, start = text[meets], item[meets], start[meets]
-                rows = int(np.clip(4_000_000 // (2 * self.lengths[item].max(initial=1)), 1, 256))
-                for b in range(0, len(text), rows):
-                    self._verify(codes, bounds, *(x[b : b + rows] for x in (text, item, start)), best)
+            left = mine
+            if tables:
+                meets = np.concatenate([(self._sampled(classes, start, item, tables) == self.keys[item, :tables]).any(axis=1) for _, item, start in (mine[:, a : a + 4096] for a in range(0, mine.shape[1], 4096))])
+                settled: dict[tuple[int, int], list[int]] = {}
+                for t, i, start in self._verify_all(codes, bounds, mine[:, meets], best):
+                    settled.setdefault((t, i), []).append(start)
+                left = mine[:, ~meets]
+                beside = [any(abs(start - s) <= self.edits[i] for s in settled.get((t, i), ())) for t, i, start in left.T.tolist()]
+                left = left[:, ~np.array(beside, bool)]
+            self._verify_all(codes, bounds, left, best)
         return [(t, i, e) for (t, i), e in sorted(best.items())]
 
-    def _verify(self, codes: np.ndarray, bounds: np.ndarray, text: np.ndarray, item: np.ndarray, start: np.ndarray, best: dict[tuple[int, int], int]) -> None:
-        """Note the least edits of the windows' items in the text around them, where they are few enough."""
+    def _verify_all(self, codes: np.ndarray, bounds: np.ndarray, windows: np.ndarray, best: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
+        """Verify windows in parts of bounded size; those that match."""
+        found, a = [], 0
+        while a < windows.shape[1]:
+            most = 2 * int(self.lengths[windows[1, a : a + 256]].max())
+            rows = int(np.clip(4_000_000 // most, 1, 256))
+            found += self._verify(codes, bounds, *windows[:, a : a + rows], best)
+            a += rows
+        return found
+
+    def _verify(self, codes: np.ndarray, bounds: np.ndarray, text: np.ndarray, item: np.ndarray, start: np.ndarray, best: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
+        """Note the least edits of the windows' items in the text around them, where they are few enough; the windows that match."""
         reach, longest = max(1, int(self.edits[item].max())), int(self.lengths[item].max())
         at = start[:, None] - reach + np.arange(longest + 2 * reach)
         inside = (at >= bounds[text][:, None]) & (at < bounds[text + 1][:, None] - 1)
@@ -298,10 +313,13 @@ class Plan:
         at = np.arange(longest)
         used = at < self.lengths[item][:, None]
         patterns = np.where(used, self.codes[np.where(used, self.begins[item][:, None] + at, 0)].astype(np.int32), np.int32(-2))
-        found = edits_near(patterns, self.lengths[item], around, reach, self.edits[item])
-        for t, i, e in zip(text.tolist(), item.tolist(), found.tolist(), strict=True):
+        edits = edits_near(patterns, self.lengths[item], around, reach, self.edits[item])
+        found = []
+        for t, i, s, e in zip(text.tolist(), item.tolist(), start.tolist(), edits.tolist(), strict=True):
             if e <= self.edits[i]:
                 best[t, i] = min(e, best.get((t, i), e))
+                found.append((t, i, s))
+        return found
 
 
 def item_blocks(items: DataFrame, id_column: str, text_column: str, most_chars: int) -> Iterator[list[tuple[int | None, str]]]:
@@ -320,40 +338,65 @@ def item_blocks(items: DataFrame, id_column: str, text_column: str, most_chars:
         yield block
 
 
+def _plans(spark: SparkSession, items: DataFrame, id_column: str, text_column: str, ratio: float, recall: float, most_chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """A broadcast plan for each block of items, and whether it is the last; a plan that isn't is gone when the next is made."""
+    waiting = None
+    for block in item_blocks(items, id_column, text_column, most_chars):
+        groups: dict[int, list] = {}
+        for key, text in block:
+            groups.setdefault(0 if len(text) >= 40 else len(text), []).append((key, text))
+        for group in groups.values():
+            if waiting is not None:
+                plan = spark.sparkContext.broadcast(Plan.of(waiting, ratio, recall))
+                yield plan, False
+                plan.destroy()
+            waiting = group
+    if waiting is not None:
+        yield spark.sparkContext.broadcast(Plan.of(waiting, ratio, recall)), True
+
+
 def contaminated(documents: DataFrame, items: DataFrame, ratio: float = 0.1, recall: float = 0.98, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", most_chars: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, edits: documents that hold a benchmark item within ratio * length edits.
 
     Edits are counted in characters after lower-casing and joining white space, against the item's best substring of
     the document. Items go to the tasks in blocks of at most `most_chars` characters, each in its own pass over the
-    documents, so that what is sent is bounded however many items there are; items of very unlike lengths (under 40
-    characters) get passes of their own. Exact copies are always found. Passages at the bound are found with at
-    least about the target recall in length classes whose tables reach it, and all of them in the others. Null and
-    empty texts and items match nothing; repeated rows give repeated matches; an item text under several ids is
-    reported under each; an empty table on either side gives no rows; other columns are not read.
+    documents, and only one block is held by the driver at a time, so that what is sent is bounded however many items
+    there are; items of very unlike lengths (under 40 characters) get passes of their own. All passages within the
+    bound are found; `recall` is what tables must bring to be looked at first. Null and empty texts and items match
+    nothing; repeated rows give repeated matches; an item text under several ids is reported under each; an empty
+    table on either side gives no rows; other columns are not read.
     """
-    spark = documents.sparkSession
+    spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "leaks")
     texts = documents.selectExpr(f"cast(`{id_column}` as long) doc_id", f"`{text_column}` text").filter("text is not null")
     schema = "doc_id long, item_id long, edits long"
     out = spark.createDataFrame([], schema)
-    for block in item_blocks(items, item_id_column, item_text_column, most_chars):
-        groups: dict[int, list] = {}
-        for key, text in block:
-            groups.setdefault(0 if len(text) >= 40 else len(text), []).append((key, text))
-        for group in groups.values():
-            plan = spark.sparkContext.broadcast(Plan.of(group, ratio, recall))
+    for plan, last in _plans(spark, items, item_id_column, item_text_column, ratio, recall, most_chars):
 
-            def run(batches: Iterator[pa.RecordBatch], plan=plan) -> Iterator[pa.RecordBatch]:
-                for batch in pieces(batches, "text", 1_000_000, 1_000):
-                    ids = batch.column("doc_id").to_pylist()
-                    found = plan.value.find(batch.column("text").to_pylist())
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t, _, _ in found], pa.int64()), pa.array([plan.value.ids[i] for _, i, _ in found], pa.int64()), pa.array([e for _, _, e in found], pa.int64())], ["doc_id", "item_id", "edits"])
+        def run(batches: Iterator[pa.RecordBatch], plan=plan) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, "text", 1_000_000, 1_000):
+                ids = batch.column("doc_id").to_pylist()
+                found = plan.value.find(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t, _, _ in found], pa.int64()), pa.array([plan.value.ids[i] for _, i, _ in found], pa.int64()), pa.array([e for _, _, e in found], pa.int64())], ["doc_id", "item_id", "edits"])
 
-            out = out.unionByName(texts.mapInArrow(run, schema))
+        matches = texts.mapInArrow(run, schema)
+        out = out.unionByName(matches if last else scratch.keep(matches, "matches"))
     return out
 
 
-def drop_contaminated(documents: DataFrame, items: DataFrame, ratio: float = 0.1, recall: float = 0.98, id_column: str = "doc_id") -> DataFrame:
-    """The documents that hold no benchmark item; columns stay as they are. Rows with a null id stay."""
-    found = contaminated(documents, items, ratio, recall, id_column)
-    leaks = found.select("doc_id").distinct().withColumnRenamed("doc_id", "__leak")
-    return documents.join(leaks, documents[id_column] == leaks["__leak"], "left_anti")
+def drop_contaminated(documents: DataFrame, items: DataFrame, ratio: float = 0.1, recall: float = 0.98, text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", most_chars: int = 2_000_000) -> DataFrame:
+    """The documents that hold no benchmark item; columns stay as they are.
+
+    Rows are judged one by one by their own text, so that ids don't matter: a leak without an id goes, and a clean
+    document that shares its id with a leak stays. Null texts stay.
+    """
+    spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "clean")
+    for plan, last in _plans(spark, items, item_id_column, item_text_column, ratio, recall, most_chars):
+
+        def clean(batches: Iterator[pa.RecordBatch], plan=plan) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, text_column, 1_000_000, 1_000):
+                held = {t for t, _, _ in plan.value.find([t or "" for t in batch.column(text_column).to_pylist()])}
+                yield batch.filter(pa.array([t not in held for t in range(batch.num_rows)]))
+
+        kept = documents.mapInArrow(clean, documents.schema)
+        documents = kept if last else scratch.keep(kept, "kept")
+    return documents

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from docloom.llm import decontaminate as dc
 
@@ -145,3 +146,49 @@ def test_the_gram_count_loses_nothing():
     bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     at = np.arange(len(items))
     assert plan._may_hold(dc._filter_codes(codes), bounds, at, at, bounds[:-1]).all()
+
+
+def table_distance(item, text):
+    """Least edits of item to a substring of text, by the plain table, a row at a time."""
+    row = np.zeros(len(text) + 1, int)
+    letters, steps = np.array(list(text)), np.arange(len(text) + 1)
+    for n, c in enumerate(item, 1):
+        new = np.concatenate([[n], np.minimum(row[1:] + 1, row[:-1] + (letters != c))])
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
+
+
+@pytest.mark.parametrize("kind", ["insert", "delete", "replace"])
+def test_an_edit_of_one_kind_in_every_piece_but_one(kind):
+    """All items of the supplied benchmark with exactly the allowed edits, spread so that walks drift apart: none is lost."""
+    import duckdb
+    import support
+
+    rng = random.Random(len(kind))
+    items = [dc.normalized(t) for (t,) in duckdb.sql(f"SELECT text FROM '{support.DATA}/sf0.1/benchmark.parquet' WHERE text IS NOT NULL ORDER BY item_id").fetchall()]
+    plan, texts = dc.Plan.of(list(enumerate(items)), 0.1, 0.98), []
+    for t in items:
+        k = len(t) // 10
+        size, spared, changed = len(t) // (k + 1), rng.randrange(k + 1), list(t)
+        for p in reversed([p for p in range(k + 1) if p != spared]):
+            at = p * size + rng.randrange(1, size - 1) if size > 2 else p * size
+            changed[at : at + (kind != "insert")] = [] if kind == "delete" else ["#"]
+        texts.append(f"{passages(rng, 1, 30)[0]} {''.join(changed)} {passages(rng, 1, 30)[0]}")
+    found = {(t, i): e for t, i, e in plan.find(texts)}
+    assert any(plan.tables.values())
+    lost = [i for i in range(len(items)) if (i, i) not in found]
+    assert all(table_distance(items[i], dc.normalized(texts[i])) > len(items[i]) // 10 for i in lost), lost
+    assert len(lost) <= (20 if kind == "delete" else 0)
+    some = rng.sample([i for i in range(len(items)) if (i, i) in found], 10)
+    assert all(found[i, i] == table_distance(items[i], dc.normalized(texts[i])) for i in some)
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    """A leak without an id goes; a clean document with a leak's id stays."""
+    rng = random.Random(9)
+    leak, clean = passages(rng, 2, 40)
+    docs = spark.createDataFrame([(None, f"x {leak} y"), (1, leak), (1, clean), (None, clean), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, leak), (2, passages(rng, 1, 40)[0])], "item_id long, text string")
+    for most in (2_000_000, 300):  # one block, or a block for each item
+        assert sorted(str(tuple(r)) for r in dc.drop_contaminated(docs, items, most_chars=most).collect()) == sorted(str(x) for x in [(1, clean), (None, clean), (2, None)])
+        assert sorted((r.doc_id or 0, r.item_id) for r in dc.contaminated(docs, items, most_chars=most).collect()) == [(0, 1), (1, 1)]

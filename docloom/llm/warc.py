@@ -107,15 +107,29 @@ class Found:
 
 
 def _begins_record(file: io.BufferedIOBase, at: int) -> bool:
-    """Whether a record, compressed or plain, begins at a place."""
+    """Whether a record, compressed or plain, begins at a place.
+
+    A compressed one must be whole and be followed by another member or the end of the archive, so that an archive in
+    a payload isn't taken for the archive's own records.
+    """
     file.seek(at)
     head = file.read(2048)
-    if head[:2] == b"\x1f\x8b":
-        try:
-            head = zlib.decompressobj(31).decompress(head)
-        except zlib.error:
-            return False
-    return head.startswith(b"WARC/") and b"WARC-Type:" in head
+    if head[:2] != b"\x1f\x8b":
+        return head.startswith(b"WARC/") and b"WARC-Type:" in head
+    inflate, chunk, text = zlib.decompressobj(31), head, b""
+    try:
+        while chunk and not inflate.eof:
+            part = inflate.decompress(chunk)
+            text += part[: 2048 - len(text)]
+            if not text.startswith(b"WARC/"[: len(text)]):
+                return False
+            chunk = b"" if inflate.eof else file.read(1 << 16)
+    except zlib.error:
+        return False
+    if not inflate.eof or b"WARC-Type:" not in text:
+        return False
+    after = (inflate.unused_data + file.read(3))[:3]
+    return not after or after == b"\x1f\x8b\x08"
 
 
 def first_record(file: io.BufferedIOBase, start: int, end: int) -> int:
@@ -232,7 +246,10 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        """Files in groups of about `partitionbytes`, larger ones in parts of that size; those of finished writes where a writer's list is there."""
+        """Files in groups of about `partitionbytes`, larger compressed ones in parts of that size; those of finished writes where a writer's list is there.
+
+        A plain archive is one stream of one task: nothing in its bytes tells a record from a payload that holds one.
+        """
         store, path = open_store(self.path)
         infos = [x for x in store.get_file_info(pa.fs.FileSelector(path)) if x.is_file] if store.get_file_info(path).type == pa.fs.FileType.Directory else [store.get_file_info(path)]
         lists = [x for x in infos if x.base_name.startswith("_written-")]
@@ -245,7 +262,7 @@ class WarcReader(DataSourceReader):
         infos = sorted((x for x in infos if x.base_name.endswith((".warc", ".warc.gz"))), key=lambda x: -x.size)
         groups: list[list] = []
         for x in infos:
-            if x.size > 2 * self.target:
+            if x.size > 2 * self.target and x.base_name.endswith(".gz"):
                 bounds = [*range(0, x.size, self.target), x.size]
                 groups += [[self.target, (x.path, a, b)] for a, b in zip(bounds, bounds[1:], strict=False)]
             elif groups and groups[-1][0] + x.size <= self.target:

@@ -76,3 +76,16 @@ def test_large_archive_is_several_tasks(spark, tmp_path):
     warc.register(spark)
     frame = spark.read.format("warc").options(path=str(tmp_path), partitionbytes="4000").load()
     assert frame.rdd.getNumPartitions() > 3 and sorted(r.page_id for r in frame.select("page_id").collect()) == list(range(80))
+
+
+def test_records_inside_payloads_are_no_records(spark, tmp_path):
+    """Archives whose payloads hold WARC records, plain or compressed, read in parts of a few thousand bytes."""
+    inner = [records(12, False), records(12, True)]
+    rows = [{"record_id": f"urn:page:{i}", "record_type": "response", "target_uri": None, "page_id": i, "refers_to": None, "payload_digest": "X", "payload_bytes": len(inner[i % 2]), "payload": inner[i % 2]} for i in range(40)]
+    for compressed in (False, True):
+        folder = tmp_path / str(compressed)
+        folder.mkdir()
+        (folder / ("a.warc.gz" if compressed else "a.warc")).write_bytes(b"".join(warc.member(warc.record_bytes(r)) if compressed else warc.record_bytes(r) for r in rows))
+        warc.register(spark)
+        frame = spark.read.format("warc").options(path=str(folder), partitionbytes="3000").load()
+        assert sorted((r.page_id, bytes(r.payload)) for r in frame.select("page_id", "payload").collect()) == [(r["page_id"], r["payload"]) for r in rows]

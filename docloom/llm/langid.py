@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import pieces
@@ -147,19 +147,25 @@ class LanguageModel:
 def training_rows(documents: DataFrame, most_per_language: int = 600) -> DataFrame:
     """The rows to learn from: text and non-null lang where crc32(doc_id as text) mod 4 is not 2.
 
-    At most about `most_per_language` of a language, picked by a hash of the id. A null doc_id is never learned from.
+    At most `most_per_language` rows of a language, those with the least hash of id and text. Rows that agree in both
+    share a hash and are taken one by one, so that the bound holds however often an id or a row is repeated. A null
+    doc_id is never learned from.
     """
     labelled = documents.select("doc_id", "text", "lang").filter("text is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 != 2")
     counts = labelled.groupBy("lang").count().collect()  # one row a language
-    share = {r["lang"]: min(1.0, most_per_language / r["count"]) for r in counts}
+    share = {r["lang"]: min(1.0, 2 * most_per_language / r["count"] + 1e-5) for r in counts}
     if not share:
         return labelled.limit(0)
     rate = F.create_map(*[x for lang, s in sorted(share.items()) for x in (F.lit(lang), F.lit(s))])
-    return labelled.filter(F.abs(F.xxhash64("doc_id") % 1_000_003) < F.element_at(rate, F.col("lang")) * 1_000_003)
+    drawn = labelled.withColumn("draw", F.xxhash64("doc_id", "text"))
+    # twice as many as wanted by the hash alone, so that few texts are sorted; then exactly as many
+    likely = F.pmod("draw", F.lit(1_000_003)) < F.element_at(rate, F.col("lang")) * 1_000_003
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1_000_003)), "draw"))
+    return drawn.filter(likely).withColumn("place", place).filter(F.col("place") <= most_per_language).select("doc_id", "text", "lang")
 
 
 def fit(documents: DataFrame, most_per_language: int = 600) -> LanguageModel | None:
-    """Fit on a bounded sample: feature counts of at most about 600 documents a language reach the driver."""
+    """Fit on a bounded sample: feature counts of at most `most_per_language` rows a language reach the driver."""
     schema = "lang string, x binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,11 +30,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def telling_words(labelled: DataFrame, evidence: float = 20.0, most_words: int = 50_000) -> list[str]:
+def telling_words(labelled: DataFrame, evidence: float = 20.0) -> list[str]:
     """Words that raise the share of toxic texts among labelled ones (toxic, text).
 
     A word's presence and the label are dependent with a likelihood ratio statistic (G) of at least `evidence`;
-    chance words of a large vocabulary stay below it. At most `most_words` with the highest G reach the driver.
+    chance words of a large vocabulary stay below it. All of them reach the driver: each stands in several toxic texts
+    of the bounded sample, so they are far fewer than its words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +53,7 @@ def telling_words(labelled: DataFrame, evidence: float = 20.0, most_words: int =
     cells = [(a, n * share), (n - a, n * (1 - share)), (b, m * share), (m - b, m * (1 - share))]
     g = 2 * sum((F.when(x > 0, x * F.log(x / e)).otherwise(0.0) for x, e in cells), F.lit(0.0))
     found = counted.withColumn("g", g).filter((F.col("g") >= evidence) & (a * m > b * n))
-    return sorted(r["word"] for r in found.orderBy(F.desc("g"), "word").limit(most_words).select("word").collect())
+    return sorted(r["word"] for r in found.select("word").collect())
 
 
 @dataclass
@@ -61,13 +62,14 @@ class OrdinalModel:
     cuts: np.ndarray
 
     @classmethod
-    def fit(cls, rows: list[tuple[dict[str, int], bool]], words: Iterable[str], levels: int = 3, penalty: float = 3e-6, rounds: int = 800) -> OrdinalModel:
-        """Penalised maximum likelihood on (word counts, toxic) by Adam.
+    def fit(cls, rows: list[tuple[dict[str, int], int]], words: Iterable[str], levels: int = 3, penalty: float = 3e-6, rounds: int = 800) -> OrdinalModel:
+        """Penalised maximum likelihood on (word counts, grade) by Adam.
 
         A word's value is 1 + log of its count, its weight at least 0: nothing in a text makes up for a slur.
 
-        The labels are yes or no. A toxic text's grade is its place among the toxic ones by the uses of such words:
-        1 in the lowest of `levels` equal parts (or without any), `levels` in the highest; other texts have grade 0.
+        Grades beyond 1 are learnt as they are, in their order. Where labels are yes or no, a toxic text's grade is
+        its place among the toxic ones by the uses of such words: 1 in the lowest of `levels` equal parts (or without
+        any), `levels` in the highest; other texts have grade 0.
         """
         toxic = np.array([bool(t) for _, t in rows])
         n_toxic = int(toxic.sum())
@@ -79,6 +81,10 @@ class OrdinalModel:
         bounds = sorted({int(some[len(some) * k // levels]) for k in range(1, levels)} - {int(some[0])}) if len(some) else []
         grades = np.where(toxic, 1 + np.searchsorted(bounds, uses, "right"), 0)
         top = 1 + len(bounds)
+        given = np.array([int(t) for _, t in rows])
+        if given.max() > 1:
+            kinds = np.unique(np.append(given, 0))
+            grades, top = np.searchsorted(kinds, given), len(kinds) - 1
         entries = [(r, vocabulary[w], 1 + np.log(n)) for r, (counts, _) in enumerate(rows) for w, n in counts.items() if w in vocabulary]
         row, column, value = (np.array(x) for x in zip(*entries, strict=True)) if entries else (np.array([], int), np.array([], int), np.array([]))
         n, d = len(rows), len(vocabulary)
@@ -123,26 +129,26 @@ def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Ord
     The sample's ids and labels go to the tasks that read the documents, its words are counted there, and the
     telling words' counts in its texts reach the driver, of rows with one id those of one row. Learned from are documents whose crc32(doc_id as text)
     mod 4 is not 2, so that the rest can tell the accuracy; of several labels of a document the worst counts, null
-    labels and ids don't.
+    labels and ids don't. Labels are grades: 0 or 1, or further ones of growing severity.
     """
-    known = labels.filter("doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 != 2").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    known = labels.filter("doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 != 2").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("grade"))
     share = most_rows / max(1, known.count())
     sample = known.filter(F.abs(F.xxhash64("doc_id") % 1_000_003) < share * 1_000_003) if share < 1 else known
     scratch = Scratch(documents.sparkSession, "toxicity")
     sample = F.broadcast(scratch.keep(sample, "sample"))  # most_rows rows of an id and a flag
     labelled = documents.select("doc_id", "text").filter("text is not null").join(sample, "doc_id")
-    words = telling_words(labelled.select("toxic", "text"))
+    words = telling_words(labelled.select((F.col("grade") > 0).alias("toxic"), "text"))
     telling = labelled.sparkSession.sparkContext.broadcast(frozenset(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             counts = [{w: n for w, n in word_counts(t).items() if w in telling.value} for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(c.keys()) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "words", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([list(c.keys()) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "grade", "words", "times"])
 
-    counted = labelled.selectExpr("cast(doc_id as long) doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic boolean, words array<string>, times array<int>")
+    counted = labelled.selectExpr("cast(doc_id as long) doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, words array<string>, times array<int>")
     # an id counts once, however many rows have it, so that the sample keeps its bound
-    got = counted.groupBy("doc_id").agg(F.max(F.struct("toxic", "words", "times")).alias("x")).select("x.*").toArrow()
-    rows = [(dict(zip(w, n, strict=True)), t) for t, w, n in zip(got["toxic"].to_pylist(), got["words"].to_pylist(), got["times"].to_pylist(), strict=True)]
+    got = counted.groupBy("doc_id").agg(F.max(F.struct("grade", "words", "times")).alias("x")).select("x.*").toArrow()
+    rows = [(dict(zip(w, n, strict=True)), t) for t, w, n in zip(got["grade"].to_pylist(), got["words"].to_pylist(), got["times"].to_pylist(), strict=True)]
     rows.sort(key=lambda r: (r[1], sorted(r[0].items())))
     return OrdinalModel.fit(rows, words)
 

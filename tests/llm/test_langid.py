@@ -91,3 +91,13 @@ def test_nothing_to_learn_from(spark, documents):
     assert {r.lang_pred for r in langid.identify(documents.limit(3), None).collect()} == {"und"}
     one = documents.filter("lang = 'en'")
     assert {r.lang_pred for r in langid.identify(documents.filter("text is not null").limit(5), langid.fit(one)).collect()} == {"en"}
+
+
+def test_sample_keeps_its_bound(spark):
+    """An id or a row that is repeated many times is neither in nor out with all its rows."""
+    rows = [(7, f"one id {i % 40}", "en") for i in range(4_000)] + [(i, f"other {i}", "en") for i in range(100, 200)] + [(i, f"des {i}", "fr") for i in range(300, 340)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_rows(docs, 60).collect()
+    assert sum(r.lang == "en" for r in got) == 60
+    assert sum(r.lang == "fr" for r in got) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(300, 340))
+    assert langid.training_rows(docs.filter("doc_id = 7 and text = 'one id 1'"), 60).count() == (60 if zlib.crc32(b"7") % 4 != 2 else 0)

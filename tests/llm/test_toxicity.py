@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import numpy as np
 
@@ -124,3 +125,23 @@ def test_documents_that_repeat_a_labelled_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 1, 1), (5, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.severity(docs, toxicity.fit(docs, labels)).count() == len(rows)
+
+
+def test_grades_are_learnt_as_they_are(spark):
+    """Labels of four grades: a mild word makes grade 1, a harsh one grade 2, both together grade 5; expected grades follow."""
+    rnd, docs, labels = random.Random(4), [], []
+    for i in range(1_200):
+        grade = rnd.choice([0, 0, 1, 2, 5])
+        words = rnd.choices(["plain", "text", "of", "many", "words"], k=20) + {0: [], 1: ["mild"], 2: ["harsh"], 5: ["mild", "harsh", "harsh", "harsh"]}[grade]
+        rnd.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, grade))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert len(model.cuts) == 3 and (model.cuts[1:] > model.cuts[:-1]).all() and model.weights["harsh"] > model.weights["mild"] > 0
+    found = {r.doc_id: r for r in toxicity.severity(frame, model).collect()}
+    rank = {0: 0, 1: 1, 2: 2, 5: 3}
+    held = [(i, g) for i, g in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(found[i].grade == rank[g] for i, g in held) >= 0.95 * len(held)
+    mean = {g: sum(found[i].severity for i, x in held if x == g) / sum(x == g for _, x in held) for g in rank}
+    assert mean[0] < 0.3 < mean[1] < mean[2] < mean[5]

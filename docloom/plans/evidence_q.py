@@ -12,6 +12,39 @@ from docloom.plans.text_q import NEGATIONS, _in
 from docloom.session import spread
 
 N = norm_sql
+#: What a word goes on with: letters and numbers of any script.
+_WORD_SIGNS = r"[\p{L}\p{N}]*"
+
+
+def _grams(text, begins: str):
+    """The distinct runs of one, two and three characters of a text that begin with a character of a class."""
+    at = F.sequence(F.lit(1), F.length(text))
+    some = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.filter(at, lambda i: (i + n - 1 <= F.length(text)) & F.substring(text, i, F.lit(1)).rlike(begins)), lambda i: F.substring(text, i, n)))
+    return F.array_distinct(F.flatten(some))
+
+
+def _wordless(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, item_id: texts (doc_id, norm) that hold the rarest run of three characters of a quote without a Latin word (of a shorter quote, all of it).
+
+    Runs begin with a character beyond ASCII, so that texts without one are passed over; quotes of ASCII signs alone
+    have runs of their own, for which all texts are read if there is such a quote.
+    """
+    out = None
+    for kind, begins in ((F.col("quote").rlike(r"[^\x00-\x7F]"), r"[^\x00-\x7F]"), (~F.col("quote").rlike(r"[^\x00-\x7F]"), r"[\x00-\x7F]")):
+        mine = quotes.filter((F.col("quote") != "") & kind)
+        if not mine.take(1):
+            continue
+        size = F.least(F.lit(3), F.length("quote"))
+        runs = mine.select("item_id", size.alias("size"), F.explode(_grams(F.col("quote"), begins)).alias("gram"))
+        # a quote that has such a character only at its end has no run of three that begins with one
+        longest = Window.partitionBy("item_id")
+        runs = runs.withColumn("most", F.max(F.length("gram")).over(longest)).filter(F.length("gram") == F.col("most")).select("item_id", "gram")
+        held = spread(texts).filter(F.col("norm").rlike(begins)).select("doc_id", F.explode(_grams(F.col("norm"), begins)).alias("gram")).join(runs.select("gram").distinct(), "gram", "left_semi")
+        df = held.groupBy("gram").agg(F.count("*").alias("df"))
+        rarest = runs.join(df, "gram", "left").groupBy("item_id").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+        found = held.join(rarest, "gram").select("doc_id", "item_id")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def quote_places(items: DataFrame, documents: DataFrame) -> DataFrame:
@@ -31,7 +64,11 @@ def quote_places(items: DataFrame, documents: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     short = quotes.filter(F.size("w").between(1, 2)).select("item_id", longest.alias("term"))
     parts = short.join(search.holders(held, short), "term").select("item_id", "token")
-    candidates = held.join(rarest.unionByName(parts), "token").select("doc_id", "item_id").distinct().join(quotes.drop("w"), "item_id")
+    candidates = held.join(rarest.unionByName(parts), "token").select("doc_id", "item_id")
+    other = _wordless(quotes.filter(F.size("w") == 0), documents.select("doc_id", tx.normalize(F.col("text")).alias("norm")))
+    if other is not None:
+        candidates = candidates.unionByName(other)
+    candidates = candidates.distinct().join(quotes.drop("w"), "item_id")
     by_text = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "quote")).alias("asked"))
     met = documents.select("doc_id", "text").join(by_text, "doc_id").select("doc_id", tx.normalize(F.col("text")).alias("norm"), "asked")
     met = met.select("doc_id", "norm", F.explode("asked").alias("q")).select("doc_id", "norm", "q.item_id", "q.quote")
@@ -53,14 +90,20 @@ def v1(spark, sf):
     return quotes.select("item_id", verdict.alias("verdict"), F.coalesce("n", F.lit(0)).alias("n"), "doc_id")
 
 
-@query("v2_word_edges", f"WITH q AS (SELECT item_id, {N('text')} AS quote FROM benchmark), d AS (SELECT doc_id, {N('text')} AS norm FROM documents), m AS (SELECT item_id, doc_id, instr(norm, quote) AS s, length(quote) AS n, norm FROM q JOIN d ON contains(norm, quote)) SELECT item_id, doc_id, CAST(s - length(regexp_extract(left(norm, s - 1), '[a-z0-9]*$')) AS INT) AS first, CAST(s + n - 1 + length(regexp_extract(substr(norm, s + n), '^[a-z0-9]*')) AS INT) AS last FROM m")
+@query("v2_word_edges", f"WITH q AS (SELECT item_id, {N('text')} AS quote FROM benchmark), d AS (SELECT doc_id, {N('text')} AS norm FROM documents), m AS (SELECT item_id, doc_id, instr(norm, quote) AS s, length(quote) AS n, norm FROM q JOIN d ON contains(norm, quote)) SELECT item_id, doc_id, CAST(s - CASE WHEN regexp_matches(substr(norm, s, 1), '[a-z0-9]') THEN length(regexp_extract(left(norm, s - 1), '[a-z0-9]*$')) ELSE 0 END AS INT) AS first, CAST(s + n - 1 + CASE WHEN regexp_matches(substr(norm, s + n - 1, 1), '[a-z0-9]') THEN length(regexp_extract(substr(norm, s + n), '^[a-z0-9]*')) ELSE 0 END AS INT) AS last FROM m")
 def v2(spark, sf):
-    """A proven quote's span, widened to whole words."""
+    """A proven quote's span, widened to whole words of any script."""
     t = Tables(spark, sf)
-    places = quote_places(t.benchmark, t.documents)
-    before = F.length(F.regexp_extract(F.substring(F.col("norm"), F.lit(1), F.col("start") - 1), "[a-z0-9]*$", 0))
-    behind = F.length(F.regexp_extract(F.expr("substring(norm, start + length)"), "^[a-z0-9]*", 0))
-    return places.select("item_id", "doc_id", (F.col("start") - before).alias("first"), (F.col("start") + F.col("length") - 1 + behind).alias("last"))
+    return word_edges(quote_places(t.benchmark, t.documents))
+
+
+def word_edges(places: DataFrame) -> DataFrame:
+    """item_id, doc_id, first, last: the span of a quote (item_id, doc_id, start, length, norm), widened to whole words; an edge that isn't in a word stays."""
+    edge = lambda at: F.substring(F.col("norm"), at, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+    before = F.length(F.regexp_extract(F.substring(F.col("norm"), F.lit(1), F.col("start") - 1), _WORD_SIGNS + "$", 0))
+    behind = F.length(F.regexp_extract(F.expr("substring(norm, start + length)"), "^" + _WORD_SIGNS, 0))
+    first, last = F.col("start"), F.col("start") + F.col("length") - 1
+    return places.select("item_id", "doc_id", (first - F.when(edge(first), before).otherwise(0)).alias("first"), (last + F.when(edge(last), behind).otherwise(0)).alias("last"))
 
 
 @query("v4_merged_quotes", "SELECT l_orderkey, l_suppkey, CASE WHEN bool_and(l_returnflag <> 'N') THEN CAST(min(l_quantity) AS BIGINT) END AS first, CASE WHEN bool_and(l_returnflag <> 'N') THEN CAST(max(l_quantity) AS BIGINT) END AS last FROM lineitem GROUP BY l_orderkey, l_suppkey")

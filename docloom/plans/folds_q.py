@@ -142,13 +142,13 @@ def c3(spark, sf):
     return a.groupBy("user_id", "event_type", "day").agg(state.alias("state"))
 
 
-@query("c6_promoted_questions", "WITH q AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events WHERE event_type = 'view'), act AS (SELECT user_id, least(count(*) FILTER (value > 95), 3) AS active FROM events GROUP BY user_id) SELECT q.user_id, event_id FROM q JOIN act a ON a.user_id = q.user_id WHERE pos <= 3 - active")
+@query("c6_promoted_questions", "WITH e AS (SELECT *, CAST(extract('day' FROM ts) AS INT) AS day FROM events), q AS (SELECT user_id, day, event_id, row_number() OVER (PARTITION BY user_id, day ORDER BY event_id) AS pos FROM e WHERE event_type = 'view'), act AS (SELECT user_id, day, least(count(*) FILTER (value > 95), 3) AS active FROM e GROUP BY user_id, day) SELECT q.user_id, q.day, event_id FROM q JOIN act a ON a.user_id = q.user_id AND a.day = q.day WHERE pos <= 3 - active")
 def c6(spark, sf):
-    """Pending questions are promoted in order until three are active."""
-    events = Tables(spark, sf).events
-    active = events.groupBy("user_id").agg(F.least(F.count_if(F.col("value") > 95), F.lit(3)).alias("active"))
-    pending = events.filter("event_type = 'view'").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
-    return pending.join(active, "user_id").filter("pos <= 3 - active").select("user_id", "event_id")
+    """Pending questions of a user's day are promoted in order until three are active."""
+    events = Tables(spark, sf).events.withColumn("day", F.dayofmonth("ts"))
+    active = events.groupBy("user_id", "day").agg(F.least(F.count_if(F.col("value") > 95), F.lit(3)).alias("active"))
+    pending = events.filter("event_type = 'view'").withColumn("pos", F.row_number().over(Window.partitionBy("user_id", "day").orderBy("event_id")))
+    return pending.join(active, ["user_id", "day"]).filter("pos <= 3 - active").select("user_id", "day", "event_id")
 
 
 @query("c8_initial_conflicts", "SELECT user_id, event_type, CAST(count(DISTINCT CAST(value AS INT)) AS BIGINT) AS versions FROM events GROUP BY user_id, event_type HAVING count(DISTINCT CAST(value AS INT)) > 1".replace("CAST(value AS INT)", "CAST(floor(value / 20) AS INT)"))

@@ -105,11 +105,15 @@ def d9(spark, sf):
     return missing.join(known, ["case_id", "priority"], "left_anti").withColumn("pos", place).filter("pos <= 2").select("case_id", "priority")
 
 
-@query("d11_open_conditions", f"WITH {_CLAIMS}, y AS (SELECT DISTINCT l_partkey FROM lineitem JOIN judged ON claim = l_orderkey WHERE applies = 'yes') SELECT DISTINCT l_partkey AS condition FROM lineitem JOIN judged ON claim = l_orderkey WHERE l_returnflag = 'N' AND applies = 'human' AND l_partkey NOT IN (SELECT l_partkey FROM y)")
+_CITATIONS = "cites AS (SELECT l_orderkey AS claim, l_partkey || '/' || l_linenumber AS cond, l_returnflag FROM lineitem)"
+
+
+@query("d11_open_conditions", f"WITH {_CLAIMS}, {_CITATIONS}, y AS (SELECT DISTINCT cond FROM cites JOIN judged USING (claim) WHERE applies = 'yes') SELECT DISTINCT cond AS condition FROM cites JOIN judged USING (claim) WHERE l_returnflag = 'N' AND applies = 'human' AND cond NOT IN (SELECT cond FROM y)")
 def d11(spark, sf):
-    """Conditions of open claims that no applying claim cites."""
+    """Conditions (a line of a part's text) of open claims that no applying claim cites."""
     t = Tables(spark, sf)
-    cited = t.lineitem.select(F.col("l_orderkey").alias("claim"), F.col("l_partkey").alias("condition"), "l_returnflag").join(judged(t).select("claim", "applies"), "claim")
+    condition = F.concat(F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("condition")
+    cited = t.lineitem.select(F.col("l_orderkey").alias("claim"), condition, "l_returnflag").join(judged(t).select("claim", "applies"), "claim")
     settled = cited.filter("applies = 'yes'").select("condition").distinct()
     return cited.filter("l_returnflag = 'N' and applies = 'human'").select("condition").distinct().join(settled, "condition", "left_anti")
 

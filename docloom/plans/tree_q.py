@@ -190,12 +190,12 @@ def t18(spark, sf):
 
 @query(
     "t19_t22_lead_of_item",
-    f"WITH {NODES}, {BLOCKS}, {_LEAD}, single AS (SELECT node_id, any_value(block_id) AS block_id FROM blocks WHERE node_id LIKE 'c%' GROUP BY node_id HAVING count(*) = 1) SELECT s.block_id, l.lead_id FROM single s JOIN nodes n ON n.node_id = s.node_id JOIN leads l ON l.node_id = n.parent_id",
+    f"WITH {NODES}, {BLOCKS}, {_LEAD}, single AS (SELECT node_id, any_value(block_id) AS block_id FROM blocks WHERE node_id LIKE 'c%' GROUP BY node_id, kind, confirmed HAVING count(*) = 1) SELECT s.block_id, l.lead_id FROM single s JOIN nodes n ON n.node_id = s.node_id JOIN leads l ON l.node_id = n.parent_id",
 )
 def t19(spark, sf):
-    """The sole block of a leaf takes the lead-in of the parent."""
+    """The sole block of a leaf takes the lead-in of the parent; a leaf is a customer's orders of one kind and state."""
     n, b, _ = _frames(spark, sf)
-    single = b.filter(F.col("node_id").startswith("c")).groupBy("node_id").agg(F.count("*").alias("n"), F.first("block_id").alias("block_id")).filter("n = 1")
+    single = b.filter(F.col("node_id").startswith("c")).groupBy("node_id", "kind", "confirmed").agg(F.count("*").alias("n"), F.first("block_id").alias("block_id")).filter("n = 1")
     leads = b.filter((F.col("kind") != "heading") & (F.col("ord") < C) & ~F.col("node_id").startswith("c")).groupBy(F.col("node_id").alias("parent_id")).agg(F.max_by("block_id", "ord").alias("lead_id"))
     return single.join(n.select("node_id", "parent_id"), "node_id").join(leads, "parent_id").select("block_id", "lead_id")
 

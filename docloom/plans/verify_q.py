@@ -107,7 +107,7 @@ def joined_leads(cited: DataFrame, leads: DataFrame, served: DataFrame, kinds: D
 
 @query(
     "v5_joined_lead_ins",
-    f"""{_ITEMS}, {_LEAD}, single AS (SELECT node_id, any_value(block_id) AS block_id FROM blocks WHERE node_id LIKE 'c%' GROUP BY node_id HAVING count(*) = 1),
+    f"""{_ITEMS}, {_LEAD}, single AS (SELECT node_id, any_value(block_id) AS block_id FROM blocks WHERE node_id LIKE 'c%' GROUP BY node_id, kind, confirmed HAVING count(*) = 1),
     pairs AS (SELECT s.block_id, l.lead_id FROM single s JOIN nodes n ON n.node_id = s.node_id JOIN leads l ON l.node_id = n.parent_id),
     own AS (SELECT claim, list(DISTINCT kind) FILTER (kind IN {_in(_DECISIVE)}) AS kinds FROM cited GROUP BY claim),
     met AS (SELECT c.claim, c.block_id, c.ord, p.lead_id, b.kind AS lead_kind FROM cited c JOIN pairs p ON p.block_id = c.block_id JOIN blocks b ON b.block_id = p.lead_id WHERE b.confirmed AND (c.claim, p.lead_id) NOT IN (SELECT (claim, block_id) FROM cited)),

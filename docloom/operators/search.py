@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.scratch import Rounds
+
 
 def document_frequency(tokens: DataFrame) -> DataFrame:
     """corpus, token, df: how many blocks of a corpus hold the word."""
@@ -20,28 +22,16 @@ def form_weights(forms: DataFrame, frequency: DataFrame) -> DataFrame:
     return forms.join(frequency, "token").groupBy("question", "group", "form", "corpus").agg(F.sum(1.0 / F.col("df")).alias("weight"))
 
 
-def scores(tokens: DataFrame, forms: DataFrame, question_words: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
-    """question, corpus, block and the score's parts for every block that shares a word with a form.
-
-    full: groups with a wholly covered form; precision: the densest covered form of several words; partial: where
-    nothing is full, the mean over groups of the rarest shared word's part of its form's weight; coverage: the part
-    of the question's words in the block. Ratios are rounded to 9 places, so that sums of reciprocals tie alike in
-    any order.
-
-    What is asked becomes one table of words with all that a score needs of them; up to `most_broadcast` rows of it
-    go to every task, beyond that it is joined by shuffles. Blocks are dealt out once, and a block's hits are summed
-    where it lies: only the best blocks of a question move on.
-    """
-    wanted = forms.select("token").union(question_words.select("token")).distinct()
-    frequency = document_frequency(tokens.join(wanted, "token", "left_semi"))
+def _terms(forms: DataFrame, question_words: DataFrame, frequency: DataFrame) -> DataFrame:
+    """What is asked as one table of words with all that a score needs of them; the whole question is a form without a group."""
     groups = forms.groupBy("question").agg(F.countDistinct("group").alias("groups"))
     of_forms = forms.join(frequency, "token").join(form_weights(forms, frequency), ["question", "group", "form", "corpus"]).join(groups, "question")
-    # the whole question is a form without a group
     of_questions = question_words.join(frequency, "token").withColumnRenamed("question_size", "form_size")
-    terms = of_forms.unionByName(of_questions, allowMissingColumns=True).persist()
-    few = terms.count() <= most_broadcast
-    hits = tokens.repartition("corpus", "block").join(F.broadcast(terms) if few else terms, ["corpus", "token"])
-    by_form = hits.groupBy("corpus", "block", "question", "group", "form", "form_size", "n_tokens", "weight", "groups").agg(F.count("*").alias("met"), F.min("df").alias("rarest"))
+    return of_forms.unionByName(of_questions, allowMissingColumns=True)
+
+
+def _of_blocks(by_form: DataFrame) -> DataFrame:
+    """The scores of blocks from how much of each form they hold."""
     grouped = F.col("group").isNotNull()
     whole = grouped & (F.col("met") == F.col("form_size"))
     by_group = by_form.groupBy("corpus", "block", "question", "group").agg(
@@ -59,12 +49,107 @@ def scores(tokens: DataFrame, forms: DataFrame, question_words: DataFrame, most_
     return out.select("question", "corpus", "block", "full", F.round(partial, 9).alias("partial"), F.round("precision", 9).alias("precision"), F.round(F.coalesce("coverage", F.lit(0.0)), 9).alias("coverage"))
 
 
+def scores(tokens: DataFrame, forms: DataFrame, question_words: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
+    """question, corpus, block and the score's parts for every block that shares a word with a form.
+
+    full: groups with a wholly covered form; precision: the densest covered form of several words; partial: where
+    nothing is full, the mean over groups of the rarest shared word's part of its form's weight; coverage: the part
+    of the question's words in the block. Ratios are rounded to 9 places, so that sums of reciprocals tie alike in
+    any order.
+
+    What is asked becomes one table of words with all that a score needs of them; up to `most_broadcast` rows of it
+    go to every task, beyond that it is joined by shuffles. Blocks are dealt out once, and a block's hits are summed
+    where it lies: only the best blocks of a question move on.
+    """
+    wanted = forms.select("token").union(question_words.select("token")).distinct()
+    frequency = document_frequency(tokens.join(wanted, "token", "left_semi"))
+    terms = _terms(forms, question_words, frequency).persist()
+    few = terms.count() <= most_broadcast
+    hits = tokens.repartition("corpus", "block").join(F.broadcast(terms) if few else terms, ["corpus", "token"])
+    by_form = hits.groupBy("corpus", "block", "question", "group", "form", "form_size", "n_tokens", "weight", "groups").agg(F.count("*").alias("met"), F.min("df").alias("rarest"))
+    return _of_blocks(by_form)
+
+
 def best(scored: DataFrame, most: int) -> DataFrame:
     """The first `most` blocks of each question, best first; corpus and block end the order, so it is total."""
     order = Window.partitionBy("question").orderBy(F.desc("full"), F.desc("partial"), F.desc("precision"), F.desc("coverage"), "corpus", "block")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
+def overlapping(sets: DataFrame, asked: DataFrame, keys: list[str], ask: str, share: float = 0.5) -> DataFrame:
+    """ask, keys, shared, size: the sets that hold at least `share` of the words asked for.
+
+    sets: keys, words (distinct); asked: ask, token (distinct words of an ask). A set that holds `need` of an ask's n
+    words holds one of its n - need + 1 rarest, whatever else it lacks. Only these bring sets and asks together, so
+    that frequent words are never a key; what meets is then counted in full.
+    """
+    words = asked.groupBy(ask).agg(F.collect_set("token").alias("wanted")).withColumn("size", F.size("wanted")).withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("size") * share)))
+    held = sets.select(*keys, F.explode("words").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    order = Window.partitionBy(ask).orderBy(F.coalesce("df", F.lit(0)), "token")
+    ranked = asked.join(df, "token", "left").withColumn("place", F.row_number().over(order)).join(words.select(ask, "size", "need"), ask)
+    rare = ranked.filter(F.col("place") <= F.col("size") - F.col("need") + 1).select(ask, "token")
+    met = held.join(rare, "token").select(ask, *keys).distinct()
+    counted = met.join(sets, keys).join(words, ask).withColumn("shared", F.size(F.array_intersect("words", "wanted")))
+    return counted.filter("shared >= need").select(ask, *keys, F.col("shared").cast("long").alias("shared"), F.col("size").cast("long").alias("size"))
+
+
+def _scored(met: DataFrame, sets: DataFrame, terms: DataFrame) -> DataFrame:
+    """The scores of `scores` for the pairs (question, corpus, block) in `met` alone."""
+    wanted = terms.groupBy("question", "corpus").agg(F.collect_set("token").alias("wanted"))
+    shared = met.join(sets, ["corpus", "block"]).join(wanted, ["question", "corpus"])
+    shared = shared.select("question", "corpus", "block", F.size("words").alias("n_tokens"), F.explode(F.array_intersect("words", "wanted")).alias("token"))
+    hits = shared.join(terms, ["question", "corpus", "token"])
+    by_form = hits.groupBy("corpus", "block", "question", "group", "form", "form_size", "n_tokens", "weight", "groups").agg(F.count("*").alias("met"), F.min("df").alias("rarest"))
+    return _of_blocks(by_form)
+
+
+def ranked(sets: DataFrame, forms: DataFrame, question_words: DataFrame, most: int = 20, first: int = 200, growth: int = 10) -> DataFrame:
+    """What `best(scores(...), most)` gives, without scoring every block that shares a word with a question.
+
+    sets: corpus, block, words (distinct). Blocks that cover a form wholly hold its rarest word, so that word alone
+    brings all of them. Where a question has fewer than `most` of these, blocks that share its weightiest words are
+    scored too, words that stand in `first` blocks at first and `growth` times more each round, until `most` scores
+    are above what any other block could reach with the words that are left. Rounds end at the latest when no word is
+    left; only questions that aren't certain yet go on.
+    """
+    rounds = Rounds(sets.sparkSession, "search")
+    sets = rounds.keep(sets)
+    postings = sets.select("corpus", "block", F.explode("words").alias("token"))
+    wanted = forms.select("token").union(question_words.select("token")).distinct()
+    frequency = rounds.keep(document_frequency(postings.join(wanted, "token", "left_semi")))
+    terms = rounds.keep(_terms(forms, question_words, frequency))
+    of_forms = terms.filter("group is not null")
+
+    whole = of_forms.groupBy("question", "corpus", "group", "form", "form_size").agg(F.count("*").alias("known"), F.min_by("token", F.struct("df", "token")).alias("token")).filter("known = form_size")
+    full = postings.join(whole.select("question", "corpus", "token").distinct(), ["corpus", "token"]).select("question", "corpus", "block").distinct()
+    found = rounds.keep(_scored(full, sets, terms).filter("full > 0"))
+    n_full = found.groupBy("question").agg(F.count("*").alias("n_full"))
+    open_now = rounds.keep(of_forms.select("question").distinct().join(n_full, "question", "left").select("question", (most - F.coalesce("n_full", F.lit(0))).alias("wanted")).filter("wanted > 0"))
+
+    # a word's value is the most that it can add to a question's score; of several forms of a group the best counts
+    value = (1.0 / F.col("df") / F.col("weight") / F.col("groups")).alias("value")
+    values = of_forms.select("question", "corpus", "group", "token", "df", value).groupBy("question", "corpus", "group", "token", "df").agg(F.max("value").alias("value"))
+    weightiest = Window.partitionBy("question").orderBy(F.desc("value"), "corpus", "token", "group")
+    values = rounds.keep(values.withColumn("met_before", F.coalesce(F.sum("df").over(weightiest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    budget, scored = first, found
+    while open_now.take(1):
+        mine = values.join(open_now.select("question"), "question", "left_semi")
+        heavy = mine.filter(F.col("met_before") < budget).select("question", "corpus", "token").distinct()
+        met = postings.join(heavy, ["corpus", "token"]).select("question", "corpus", "block").distinct()
+        partly = rounds.keep(_scored(met, sets, terms).filter("full = 0"))
+        light = mine.filter(F.col("met_before") >= budget).groupBy("question", "corpus", "group").agg(F.max("value").alias("value")).groupBy("question", "corpus").agg(F.sum("value").alias("reach"))
+        light = light.groupBy("question").agg(F.max("reach").alias("reach"))
+        place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("partial")))
+        least = partly.withColumn("place", place).join(open_now, "question").filter(F.col("place") == F.col("wanted")).select("question", F.col("partial").alias("least"))
+        sure = open_now.join(light, "question", "left").join(least, "question", "left")
+        certain = F.col("reach").isNull() | F.coalesce(F.col("least") > F.col("reach") + 1e-8, F.lit(False))  # scores are rounded to 9 places
+        settled = sure.filter(certain).select("question")
+        scored = scored.unionByName(partly.join(settled, "question", "left_semi"))
+        open_now, budget = rounds.keep(sure.filter(~certain).select("question", "wanted")), budget * growth
+    return best(scored, most)
+
+
 def holders(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     """term, token: the words of a vocabulary (token) that contain a term (term), be it at their start, end or inside.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.operators import search
 from docloom.plans.base import LINES, TOKENS, Tables, lines, norm_sql, query, tokens, words_sql
+from docloom.scratch import Rounds
 from docloom.session import spread
 
 N = norm_sql
@@ -34,6 +35,13 @@ def index(t: Tables) -> DataFrame:
     return tokens(t).select(F.col("source").alias("corpus"), block.alias("block"), "token", "n_tokens")
 
 
+def sets(t: Tables) -> DataFrame:
+    """corpus, block, words: the distinct words of every line that has any."""
+    block = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(":"), F.lpad(F.col("seq").cast("string"), 5, "0"))
+    found = F.array_distinct(tx.words(tx.normalize(F.col("line"))))
+    return lines(t).select(F.col("source").alias("corpus"), block.alias("block"), found.alias("words")).filter(F.size("words") > 0)
+
+
 def asked(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Forms and words of every question: each proposition of an item is a group with one form."""
     found = F.array_distinct(tx.words(tx.normalize(F.col("part"))))
@@ -52,7 +60,7 @@ def r1(spark, sf):
 def r2(spark, sf):
     """R2-R6: every item searches the lines of all sources; twenty best."""
     t = Tables(spark, sf)
-    return search.best(search.scores(index(t), *asked(t)), 20)
+    return search.ranked(sets(t), *asked(t), 20)
 
 
 @query(
@@ -72,8 +80,8 @@ def r7(spark, sf):
     """Clauses scored by question coverage alone; designated are those with half of a question's words."""
     t = Tables(spark, sf)
     _, words = asked(t)
-    found = index(t).join(words, "token").groupBy("question", "corpus", "block").agg((F.count("*") / F.first("question_size")).alias("coverage"))
-    return found.filter("coverage >= 0.5").withColumn("coverage", F.round("coverage", 9))
+    found = search.overlapping(Rounds(spark, "coverage").keep(sets(t)), words.select("question", "token"), ["corpus", "block"], "question")
+    return found.select("question", "corpus", "block", F.round(F.col("shared") / F.col("size"), 9).alias("coverage"))
 
 
 @query("r8_block_share", f"WITH {INDEX}, n AS (SELECT source AS corpus, count(*) AS n FROM lines GROUP BY source) SELECT d.corpus, token, round(CAST(df AS DOUBLE) / n, 9) AS share FROM df d JOIN n ON n.corpus = d.corpus WHERE df >= 5")
@@ -288,9 +296,9 @@ def q6(spark, sf):
     """Triggers (an item's longer words) that a text holds as whole words, against those known; from half on."""
     t = Tables(spark, sf)
     terms = terms_of(t).select(F.col("ask").alias("item_id"), F.col("term").alias("token"))
-    known = terms.groupBy("item_id").agg(F.count("*").alias("known"))
-    held = spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(tx.words(tx.normalize(F.col("text"))))).alias("token"))
-    return held.join(terms, "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("met")).join(known, "item_id").filter("met * 2 >= known").select("doc_id", "item_id", "met", "known")
+    held = spread(t.documents.select("doc_id", "text")).select("doc_id", F.array_distinct(tx.words(tx.normalize(F.col("text")))).alias("words"))
+    found = search.overlapping(Rounds(spark, "intents").keep(held), terms, ["doc_id"], "item_id")
+    return found.select("doc_id", "item_id", F.col("shared").alias("met"), F.col("size").alias("known"))
 
 
 @query("q8_bounded_share", f"WITH {INDEX}, n AS (SELECT source AS corpus, count(*) AS n FROM lines GROUP BY source) SELECT d.corpus, token, CASE WHEN 0.01 * n < 1 THEN NULL ELSE CAST(df AS DOUBLE) / n <= 0.01 END AS admitted FROM df d JOIN n ON n.corpus = d.corpus WHERE df >= 2")

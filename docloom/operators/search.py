@@ -104,14 +104,14 @@ def _scored(met: DataFrame, sets: DataFrame, terms: DataFrame) -> DataFrame:
     return _of_blocks(by_form)
 
 
-def ranked(sets: DataFrame, forms: DataFrame, question_words: DataFrame, most: int = 20, first: int = 200, growth: int = 10) -> DataFrame:
+def ranked(sets: DataFrame, forms: DataFrame, question_words: DataFrame, most: int = 20, first: int = 500, growth: int = 8) -> DataFrame:
     """What `best(scores(...), most)` gives, without scoring every block that shares a word with a question.
 
-    sets: corpus, block, words (distinct). Blocks that cover a form wholly hold its rarest word, so that word alone
-    brings all of them. Where a question has fewer than `most` of these, blocks that share its weightiest words are
-    scored too, words that stand in `first` blocks at first and `growth` times more each round, until `most` scores
-    are above what any other block could reach with the words that are left. Rounds end at the latest when no word is
-    left; only questions that aren't certain yet go on.
+    sets: corpus, block, words (distinct). Blocks that share one of a question's rarest words are scored: words that
+    stand in `first` blocks together at first, `growth` times as many in each further round. What any other block
+    could reach follows from the words left: forms made of them alone, the part of the weight that they bring, and
+    their share of the question. As soon as `most` scores are above that, no other block can be among the best, and
+    the question is settled; rounds end at the latest when no word is left. A round keeps the best of its blocks.
     """
     rounds = Rounds(sets.sparkSession, "search")
     sets = rounds.keep(sets)
@@ -119,35 +119,42 @@ def ranked(sets: DataFrame, forms: DataFrame, question_words: DataFrame, most: i
     wanted = forms.select("token").union(question_words.select("token")).distinct()
     frequency = rounds.keep(document_frequency(postings.join(wanted, "token", "left_semi")))
     terms = rounds.keep(_terms(forms, question_words, frequency))
-    of_forms = terms.filter("group is not null")
-
-    whole = of_forms.groupBy("question", "corpus", "group", "form", "form_size").agg(F.count("*").alias("known"), F.min_by("token", F.struct("df", "token")).alias("token")).filter("known = form_size")
-    full = postings.join(whole.select("question", "corpus", "token").distinct(), ["corpus", "token"]).select("question", "corpus", "block").distinct()
-    found = rounds.keep(_scored(full, sets, terms).filter("full > 0"))
-    n_full = found.groupBy("question").agg(F.count("*").alias("n_full"))
-    open_now = rounds.keep(of_forms.select("question").distinct().join(n_full, "question", "left").select("question", (most - F.coalesce("n_full", F.lit(0))).alias("wanted")).filter("wanted > 0"))
-
-    # a word's value is the most that it can add to a question's score; of several forms of a group the best counts
-    value = (1.0 / F.col("df") / F.col("weight") / F.col("groups")).alias("value")
-    values = of_forms.select("question", "corpus", "group", "token", "df", value).groupBy("question", "corpus", "group", "token", "df").agg(F.max("value").alias("value"))
-    weightiest = Window.partitionBy("question").orderBy(F.desc("value"), "corpus", "token", "group")
-    values = rounds.keep(values.withColumn("met_before", F.coalesce(F.sum("df").over(weightiest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    budget, scored = first, found
+    open_now = terms.filter("group is not null").select("question").distinct()
+    rarest = Window.partitionBy("question").orderBy("df", "corpus", "token")
+    words = terms.join(open_now, "question", "left_semi").select("question", "corpus", "token", "df").distinct()
+    words = rounds.keep(words.withColumn("met_before", F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    placed = rounds.keep(terms.join(words.select("question", "corpus", "token", "met_before"), ["question", "corpus", "token"]))
+
+    scored, done = None, None
+    low, budget = 0, first
     while open_now.take(1):
-        mine = values.join(open_now.select("question"), "question", "left_semi")
-        heavy = mine.filter(F.col("met_before") < budget).select("question", "corpus", "token").distinct()
-        met = postings.join(heavy, ["corpus", "token"]).select("question", "corpus", "block").distinct()
-        partly = rounds.keep(_scored(met, sets, terms).filter("full = 0"))
-        light = mine.filter(F.col("met_before") >= budget).groupBy("question", "corpus", "group").agg(F.max("value").alias("value")).groupBy("question", "corpus").agg(F.sum("value").alias("reach"))
-        light = light.groupBy("question").agg(F.max("reach").alias("reach"))
-        place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("partial")))
-        least = partly.withColumn("place", place).join(open_now, "question").filter(F.col("place") == F.col("wanted")).select("question", F.col("partial").alias("least"))
-        sure = open_now.join(light, "question", "left").join(least, "question", "left")
-        certain = F.col("reach").isNull() | F.coalesce(F.col("least") > F.col("reach") + 1e-8, F.lit(False))  # scores are rounded to 9 places
-        settled = sure.filter(certain).select("question")
-        scored = scored.unionByName(partly.join(settled, "question", "left_semi"))
-        open_now, budget = rounds.keep(sure.filter(~certain).select("question", "wanted")), budget * growth
-    return best(scored, most)
+        fresh = words.filter((F.col("met_before") >= low) & (F.col("met_before") < budget)).join(open_now, "question", "left_semi")
+        met = postings.join(fresh.select("question", "corpus", "token"), ["corpus", "token"]).select("question", "corpus", "block").distinct()
+        if scored is not None:  # the best of earlier rounds are known already
+            met = met.join(scored.select("question", "corpus", "block"), ["question", "corpus", "block"], "left_anti")
+        part = best(_scored(met, sets, terms), most).drop("rank")
+        scored_now = rounds.keep(part)
+        scored = scored_now if scored is None else scored.unionByName(scored_now)
+        done = best(scored.filter("full is not null"), most)
+
+        left = placed.filter(F.col("met_before") >= budget).join(open_now, "question", "left_semi")
+        grouped = F.col("group").isNotNull()
+        by_form = left.groupBy("question", "corpus", "group", "form", "form_size", "groups").agg(F.count("*").alias("n"), F.max(1.0 / F.col("df") / F.col("weight")).alias("value"))
+        covers = grouped & (F.col("n") == F.col("form_size"))
+        by_group = by_form.groupBy("question", "corpus", "group").agg(
+            F.max(covers.cast("int")).alias("full"), F.max(F.when(covers & (F.col("form_size") > 1), 1.0).otherwise(0.0)).alias("precision"), F.max("value").alias("value"), F.max("groups").alias("groups"), F.max(F.when(~grouped, F.col("n") / F.col("form_size"))).alias("coverage")
+        )
+        reach = by_group.groupBy("question", "corpus").agg(F.sum("full").alias("full"), F.coalesce(F.sum("value") / F.max("groups"), F.lit(0.0)).alias("partial"), F.max("precision").alias("precision"), F.coalesce(F.max("coverage"), F.lit(0.0)).alias("coverage"))
+        reach = reach.select("question", F.struct("full", F.when(F.col("full") > 0, 0.0).otherwise(F.col("partial")).alias("partial"), "precision", "coverage").alias("reach")).groupBy("question").agg(F.max("reach").alias("reach"))
+        last = done.filter(F.col("rank") == most).select("question", F.struct("full", "partial", "precision", "coverage").alias("last"))
+        above = lambda c: F.col(f"last.{c}") > F.col(f"reach.{c}") + 1e-8  # noqa: E731  scores are rounded to 9 places
+        level = lambda c: F.col(f"last.{c}") >= F.col(f"reach.{c}") - 1e-12
+        even = (F.col("last.full") == F.col("reach.full")) & (F.col("reach.full") > 0)
+        beyond = (F.col("last.full") > F.col("reach.full")) | ((F.col("last.full") == F.col("reach.full")) & above("partial")) | (even & (above("precision") | (level("precision") & above("coverage"))))
+        sure = open_now.join(reach, "question", "left").join(last, "question", "left")
+        open_now = rounds.keep(sure.filter(F.col("reach").isNotNull() & ~F.coalesce(beyond, F.lit(False))).select("question"))
+        low, budget = budget, budget * growth
+    return done if done is not None else best(_scored(postings.join(words, ["corpus", "token"]).select("question", "corpus", "block"), sets, terms), most)
 
 
 def holders(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:

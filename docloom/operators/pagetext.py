@@ -95,3 +95,68 @@ def outline(headings: DataFrame, chunk: int = 10_000) -> DataFrame:
     step = lambda s, x: F.when(x > s["latest"], F.struct(x.alias("latest"), (s["depth"] + 1).alias("depth"))).otherwise(s)
     up = F.aggregate(seen, start, step)
     return met.withColumn("up", up).select("book", "ord", "level", F.when(F.col("up.latest") >= 0, F.col("up.latest")).alias("parent"), F.col("up.depth").alias("depth"))
+
+
+#: A heading with its number; a number of up to three digits; a heading that ends in leaders or spaces and a page number. Fixed values.
+HEADING, PAGE_NUMBER, PRINTED_ENTRY = r"^(\d+(?:\.\d+)*)\.?\s+(.*)$", r"^\d{1,3}$", r"^\s*(\d+(?:\.\d+)*)\.?\s+(.+?)(?:\s+\.{2,}\s*|\s+)(\d{1,3})\s*$"
+
+
+def printed_entries(lines: DataFrame, height: float, column: float = 80.0, indent: float = 5.0, baseline: float = 8.0, gap: float = 1.5, bucket: float = 60.0) -> DataFrame:
+    """page, box, number, title, parts: the entries of printed contents, with titles that go on over several lines.
+
+    lines: page, box, x0, y0, x1, y1, text. A line that ends in its page number is an entry of its own. Another
+    numbered line is one if a page number stands to its right on its baseline; its title goes on with the lines
+    between it and the next numbered line of its column, not left of it and left of the page number, as long as no
+    gap between them is wider than `gap` times the next line's height.
+
+    All bounds are met by equality on buckets first: heights between two starts in strips of `bucket`, columns and
+    baselines in bands of their tolerance and the bands beside; no line meets all lines of its page.
+    """
+    bare = lines.withColumn("bare", F.trim("text"))
+    printed = F.col("bare").rlike(PRINTED_ENTRY)
+    clean = lambda c: F.expr(f"trim(BOTH ' .' FROM {c})")
+    whole = bare.filter(printed).select("page", "box", F.regexp_extract("bare", PRINTED_ENTRY, 1).alias("number"), F.regexp_extract("bare", PRINTED_ENTRY, 2).alias("t"))
+    whole = whole.select("page", "box", "number", clean("t").alias("title"), F.lit(1).alias("parts"))
+    rest = bare.filter(~printed)
+    starts = rest.filter(F.col("bare").rlike(HEADING)).withColumn("number", F.regexp_extract("bare", HEADING, 1)).withColumn("t", F.regexp_extract("bare", HEADING, 2))
+    beside = lambda c, width: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(c) / width) + d))
+
+    numbers = rest.filter(F.col("bare").rlike(PAGE_NUMBER)).select("page", F.col("x0").alias("nx"), F.col("y0").alias("ny"), F.floor(F.col("y0") / baseline).alias("band"))
+    right = starts.select("page", "box", "x0", "y0", beside("y0", baseline).alias("band")).join(numbers, ["page", "band"])
+    right = right.filter((F.col("nx") > F.col("x0")) & (F.abs(F.col("ny") - F.col("y0")) <= baseline)).groupBy("page", "box").agg(F.min("nx").alias("edge"))
+    below = starts.select("page", F.col("x0").alias("ox"), F.col("y0").alias("oy"), F.floor(F.col("x0") / column).alias("band"))
+    following = starts.select("page", "box", "x0", "y0", beside("x0", column).alias("band")).join(below, ["page", "band"])
+    following = following.filter((F.col("oy") > F.col("y0")) & (F.abs(F.col("ox") - F.col("x0")) <= column)).groupBy("page", "box").agg(F.min("oy").alias("until"))
+    opened = starts.join(right, ["page", "box"]).join(following, ["page", "box"], "left").withColumn("until", F.coalesce("until", F.lit(height)))
+
+    strips = F.sequence(F.floor(F.col("y0") / bucket), F.floor(F.col("until") / bucket))
+    reach = opened.filter("until > y0").select("page", "box", "x0", "y0", "y1", "edge", "until", F.explode(strips).alias("strip"))
+    plain = rest.filter(~F.col("bare").rlike(PAGE_NUMBER) & ~F.col("bare").rlike(HEADING))
+    plain = plain.select("page", F.col("box").alias("of"), F.col("x0").alias("cx"), F.col("y0").alias("cy"), F.col("x1").alias("cx1"), F.col("y1").alias("cy1"), "bare", F.floor(F.col("y0") / bucket).alias("strip"))
+    met = reach.join(plain, ["page", "strip"]).filter((F.col("cy") > F.col("y0")) & (F.col("cy") < F.col("until")) & (F.col("cx") >= F.col("x0") - indent) & (F.col("cx1") < F.col("edge")))
+    down = Window.partitionBy("page", "box").orderBy("cy", "cx", "of")
+    near = F.col("cy") - F.coalesce(F.lag("cy1").over(down), F.col("y1")) <= gap * F.greatest(F.col("cy1") - F.col("cy"), F.lit(1.0))
+    met = met.withColumn("near", near).withColumn("kept", F.min("near").over(down.rowsBetween(Window.unboundedPreceding, 0))).filter("kept")
+    more = met.groupBy("page", "box").agg(F.array_sort(F.collect_list(F.struct("cy", "cx", "of", clean("bare").alias("t")))).alias("more"))
+    titled = opened.join(more, ["page", "box"], "left").withColumn("more", F.coalesce(F.transform("more", lambda m: m["t"]), F.array().cast("array<string>")))
+    pieces = F.filter(F.concat(F.array(clean("t")), F.col("more")), lambda p: p != "")
+    return whole.unionByName(titled.select("page", "box", "number", F.array_join(pieces, " ").alias("title"), (1 + F.size("more")).alias("parts")))
+
+
+def grid_cells(lines: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """page, row, column, text: the lines of a table in the cells of the grid that their left and upper edges make.
+
+    lines: page, box, x0, y0, text. Edges that follow each other by at most `tolerance` are one rule of the grid;
+    rows and columns are the ranks of rules, from 1. Lines of a cell are joined from top to bottom, left to right.
+    """
+
+    def ruled(frame: DataFrame, edge: str, name: str) -> DataFrame:
+        order = Window.partitionBy("page").orderBy(edge)
+        fresh = F.coalesce(F.col(edge) - F.lag(edge).over(order) > tolerance, F.lit(True)).cast("int")
+        rules = frame.select("page", edge).distinct().withColumn("fresh", fresh)
+        ranks = rules.withColumn(name, F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("fresh")
+        return frame.join(ranks, ["page", edge])
+
+    placed = ruled(ruled(lines, "x0", "column"), "y0", "row")
+    cells = placed.groupBy("page", "row", "column").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "box", "text"))).alias("held"))
+    return cells.select("page", "row", "column", F.array_join(F.transform("held", lambda h: h["text"]), "\n").alias("text"))

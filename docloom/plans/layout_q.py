@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import layout, pagetext
-from docloom.plans.base import Tables, query
+from docloom.functions import text as tx
+from docloom.operators import calls, layout, pagetext
+from docloom.plans.base import BLOCKS, LINES, NODES, Tables, blocks, lines, nodes, norm_sql, query, words_sql
 
 
 def boxes(t: Tables) -> DataFrame:
@@ -231,3 +232,81 @@ def s11(spark, sf):
     lines = Tables(spark, sf).lineitem.select(F.col("l_suppkey").alias("book"), (F.row_number().over(order) - 1).cast("long").alias("ord"), text.alias("text"))
     number = F.regexp_extract("text", r"^(\d+(?:\.\d+)*)\.?\s+(.*)$", 1)
     return pagetext.outline(lines.select("book", "ord", F.size(F.split(number, r"\.")).alias("level")), chunk=250)
+
+
+_CONTENTS = """toc AS (
+  SELECT page, box, CASE WHEN q % 5 = 1 THEN 600.0 ELSE x0 END AS x0, y0, CASE WHEN q % 5 = 1 THEN 612.0 ELSE x1 END AS x1, y1,
+    CASE WHEN q % 5 = 0 AND q % 3 = 0 THEN q || '.' || box || ' cover ' || q || ' ..... ' || (q + 10) WHEN q % 5 = 0 THEN q || '.' || box || '. title ' || l_returnflag || '.' WHEN q % 5 = 1 THEN CAST(q AS VARCHAR) ELSE 'goes on ' || l_returnflag || box || '.' END AS text
+  FROM (SELECT page, box, CAST(x AS DOUBLE) AS x0, CAST(top AS DOUBLE) AS y0, CAST(x + w AS DOUBLE) AS x1, CAST(top + 10 AS DOUBLE) AS y1, q, l_returnflag FROM lx))"""
+
+
+def contents_lines(t: Tables) -> DataFrame:
+    """page, box, x0, y0, x1, y1, text: the boxes as lines of printed contents, page numbers at the right edge."""
+    order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag")
+    more = t.lineitem.select(F.col("l_partkey").alias("page"), F.row_number().over(order).alias("box"), F.col("l_quantity").cast("long").alias("q"), "l_returnflag")
+    b = boxes(t).drop("text").join(more, ["page", "box"])
+    q, flag, box = F.col("q").cast("string"), F.col("l_returnflag"), F.col("box").cast("string")
+    number = F.col("q") % 5 == 1
+    cover = F.concat(q, F.lit("."), box, F.lit(" cover "), q, F.lit(" ..... "), (F.col("q") + 10).cast("string"))
+    text = F.when((F.col("q") % 5 == 0) & (F.col("q") % 3 == 0), cover).when(F.col("q") % 5 == 0, F.concat(q, F.lit("."), box, F.lit(". title "), flag, F.lit("."))).when(number, q).otherwise(F.concat(F.lit("goes on "), flag, box, F.lit(".")))
+    return b.select("page", "box", F.when(number, 600.0).otherwise(F.col("x0")).alias("x0"), "y0", F.when(number, 612.0).otherwise(F.col("x1")).alias("x1"), "y1", text.alias("text"))
+
+
+@query(
+    "e32_printed_entries",
+    f"""WITH {BOXES}, {_CONTENTS},
+    k AS (SELECT *, regexp_matches(text, '^[0-9.]+ cover') AS printed, regexp_matches(text, '^[0-9]+[.][0-9]+[.] ') AS start, regexp_matches(text, '^[0-9]+$') AS number FROM toc),
+    s AS (SELECT s.*, (SELECT min(n.x0) FROM k n WHERE n.page = s.page AND n.number AND n.x0 > s.x0 AND abs(n.y0 - s.y0) <= 8) AS edge, coalesce((SELECT min(o.y0) FROM k o WHERE o.page = s.page AND o.start AND o.y0 > s.y0 AND abs(o.x0 - s.x0) <= 80), 800) AS until FROM k s WHERE s.start),
+    c AS (SELECT s.page, s.box, s.y1 AS sy1, c.box AS cbox, c.y0, c.x0, c.y1, c.text FROM s JOIN k c ON c.page = s.page AND c.y0 > s.y0 AND c.y0 < s.until AND c.x0 >= s.x0 - 5 AND c.x1 < s.edge AND NOT c.printed AND NOT c.start AND NOT c.number WHERE s.edge IS NOT NULL),
+    g AS (SELECT *, y0 - coalesce(lag(y1) OVER w, sy1) <= 1.5 * (y1 - y0) AS near FROM c WINDOW w AS (PARTITION BY page, box ORDER BY y0, x0, cbox)),
+    h AS (SELECT *, bool_and(near) OVER (PARTITION BY page, box ORDER BY y0, x0, cbox ROWS UNBOUNDED PRECEDING) AS kept FROM g),
+    m AS (SELECT page, box, string_agg(rtrim(text, '.'), ' ' ORDER BY y0, x0, cbox) AS more, count(*) AS n FROM h WHERE kept GROUP BY page, box)
+    SELECT page, box, regexp_extract(text, '^[0-9]+[.][0-9]+') AS number, regexp_extract(text, '(cover [0-9]+)') AS title, CAST(1 AS INT) AS parts FROM k WHERE printed
+    UNION ALL SELECT s.page, s.box, regexp_extract(s.text, '^[0-9]+[.][0-9]+'), regexp_extract(s.text, '(title [A-Z])') || coalesce(' ' || more, ''), CAST(1 + coalesce(m.n, 0) AS INT) FROM s LEFT JOIN m ON m.page = s.page AND m.box = s.box WHERE s.edge IS NOT NULL""",
+)
+def e32(spark, sf):
+    """Entries of printed contents; titles go on below their start, in its column and left of the page number."""
+    return pagetext.printed_entries(contents_lines(Tables(spark, sf)), 800.0)
+
+
+@query(
+    "s10_grid_cells",
+    f"""WITH {BOXES}, x AS (SELECT page, x0, sum(fresh) OVER (PARTITION BY page ORDER BY x0) AS col FROM (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0) <= 3 THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT page, x0 FROM boxes))),
+    y AS (SELECT page, y0, sum(fresh) OVER (PARTITION BY page ORDER BY y0) AS nr FROM (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY page ORDER BY y0) <= 3 THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT page, y0 FROM boxes)))
+    SELECT page, CAST(nr AS INT) AS row, CAST(col AS INT) AS column, string_agg(text, chr(10) ORDER BY y0, x0, box) AS text FROM boxes JOIN x USING (page, x0) JOIN y USING (page, y0) GROUP BY page, nr, col""",
+)
+def s10(spark, sf):
+    """The boxes of a page in the cells of the grid of their aligned edges."""
+    return pagetext.grid_cells(boxes(Tables(spark, sf)))
+
+
+_CALLS = f"""asked AS (SELECT item_id, list_filter({words_sql(norm_sql('text'))}, lambda x: length(x) > 6)[1] AS word, {words_sql(norm_sql('text'))}[1] AS head FROM benchmark),
+calls AS (SELECT event_id AS call, CASE event_type WHEN 'view' THEN 'contents' WHEN 'click' THEN 'open' WHEN 'purchase' THEN 'search' WHEN 'signup' THEN 'definitions' ELSE event_type END AS tool,
+  CASE WHEN event_type = 'view' THEN 'n' || user_id % 30 WHEN event_type = 'click' THEN 'c' || event_id WHEN event_type = 'purchase' THEN word ELSE head END AS arg FROM events LEFT JOIN asked ON item_id = event_id % 50)"""
+
+
+@query(
+    "u1_u5_tool_calls",
+    f"""WITH {NODES}, {BLOCKS}, {LINES}, {_CALLS},
+    w AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':' || lpad(CAST(seq AS VARCHAR), 5, '0') AS line, list_distinct({words_sql(norm_sql('line'))}) AS words, {words_sql(norm_sql('line'))}[1] AS head FROM lines),
+    a AS (
+      SELECT call, tool, CASE WHEN node_id IS NULL THEN 'unknown node' END AS error, (SELECT count(*) FROM nodes k WHERE k.parent_id = arg) AS n, (SELECT min(node_id) FROM nodes k WHERE k.parent_id = arg) AS first FROM calls LEFT JOIN nodes ON node_id = arg WHERE tool = 'contents'
+      UNION ALL SELECT call, tool, CASE WHEN nodes.node_id IS NULL THEN 'unknown node' END, coalesce(b.n, 0), b.first FROM calls LEFT JOIN nodes ON node_id = arg LEFT JOIN (SELECT node_id, count(*) AS n, CAST(arg_min(block_id, ord) AS VARCHAR) AS first FROM blocks GROUP BY node_id) b ON b.node_id = arg WHERE tool = 'open'
+      UNION ALL SELECT call, tool, CASE WHEN coalesce(arg, '') = '' THEN 'empty word' END, coalesce(f.n, 0), f.first FROM calls LEFT JOIN (SELECT word, count(*) AS n, min(line) AS first FROM (SELECT line, unnest(words) AS word FROM w) GROUP BY word) f ON f.word = arg WHERE tool = 'search'
+      UNION ALL SELECT call, tool, CASE WHEN coalesce(arg, '') = '' THEN 'empty word' END, coalesce(f.n, 0), f.first FROM calls LEFT JOIN (SELECT head, count(*) AS n, min(line) AS first FROM w GROUP BY head) f ON f.head = arg WHERE tool = 'definitions'
+      UNION ALL SELECT call, tool, 'unknown tool', NULL, NULL FROM calls WHERE tool NOT IN ('contents', 'open', 'search', 'definitions'))
+    SELECT call, tool, error IS NULL AS ok, CASE WHEN error IS NULL THEN CAST(n AS BIGINT) END AS n, CASE WHEN error IS NULL THEN first END AS first, error FROM a""",
+)
+def u5(spark, sf):
+    """Events as calls of four tools and one that doesn't exist, on nations, customers and words of the benchmark."""
+    t = Tables(spark, sf)
+    w = tx.words(tx.normalize(F.col("text")))
+    asked = t.benchmark.select("item_id", F.get(F.filter(w, lambda x: F.length(x) > 6), F.lit(0)).alias("word"), F.get(w, F.lit(0)).alias("head"))
+    e = t.events.select("event_id", "user_id", "event_type", (F.col("event_id") % 50).alias("item_id")).join(asked, "item_id", "left")
+    tool, kind = F.col("event_type"), F.col("event_type")
+    for name, called in (("view", "contents"), ("click", "open"), ("purchase", "search"), ("signup", "definitions")):
+        tool = F.when(kind == name, called).otherwise(tool)
+    arg = F.when(kind == "view", F.concat(F.lit("n"), (F.col("user_id") % 30).cast("string"))).when(kind == "click", F.concat(F.lit("c"), F.col("event_id").cast("string"))).when(kind == "purchase", F.col("word")).otherwise(F.col("head"))
+    line = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(":"), F.lpad(F.col("seq").cast("string"), 5, "0"))
+    held = lines(t).select(line.alias("line"), F.array_distinct(tx.words(tx.normalize(F.col("line")))).alias("words")).filter(F.size("words") > 0)
+    return calls.answered(e.select(F.col("event_id").alias("call"), tool.alias("tool"), arg.alias("arg")), nodes(t), blocks(t), held)

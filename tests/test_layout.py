@@ -262,3 +262,69 @@ def test_outline(spark, chunk):
             stack.append((o, level))
     got = {tuple(r) for r in pagetext.outline(spark.createDataFrame(rows, "book long, ord long, level int"), chunk).collect()}
     assert got == expected
+
+
+def test_printed_entries(spark, frame, pages):
+    import re
+
+    rnd, rows, expected = random.Random(6), [], set()
+    for p, boxes in pages.items():
+        texts = {b.box: rnd.choice(["1.2 Cover ..... 14", "3 Short 7", "2.1 Title of", "4. Another .", "12", "31", "goes on", "and on.", ". .", "words"]) for b in boxes}
+        lines = [(p, b.box, 500.0 if texts[b.box].isdigit() and rnd.random() < 0.8 else b.x0, b.y0, b.x1, b.y1, texts[b.box]) for b in boxes]
+        rows += lines
+        starts = []
+        for r in lines:
+            if m := re.match(r"^\s*(\d+(?:\.\d+)*)\.?\s+(.+?)(?:\s+\.{2,}\s*|\s+)(\d{1,3})\s*$", r[6]):
+                expected.add((p, r[1], m.group(1), m.group(2).strip(" ."), 1))
+            elif m := re.match(r"^(\d+(?:\.\d+)*)\.?\s+(.*)$", r[6]):
+                starts.append((r, m))
+        heads = {r[1] for r, _ in starts}
+        entries = {k[1] for k in expected if k[0] == p}
+        for r, m in starts:
+            until = min([o[3] for o, _ in starts if o[3] > r[3] and abs(o[2] - r[2]) <= 80], default=800.0)
+            edges = [n[2] for n in lines if n[6].isdigit() and n[2] > r[2] and abs(n[3] - r[3]) <= 8]
+            if not edges:
+                continue
+            title, bottom = [m.group(2).strip(" .")], r[5]
+            below = [c for c in lines if r[3] < c[3] < until and c[2] >= r[2] - 5 and c[4] < min(edges) and not c[6].isdigit() and c[1] not in heads and c[1] not in entries]
+            for c in sorted(below, key=lambda c: (c[3], c[2], c[1])):
+                if c[3] - bottom > 1.5 * max(c[5] - c[3], 1.0):
+                    break
+                title.append(c[6].strip(" ."))
+                bottom = c[5]
+            expected.add((p, r[1], m.group(1), " ".join(t for t in title if t), len(title)))
+    f = spark.createDataFrame(rows, "page long, box int, x0 double, y0 double, x1 double, y1 double, text string")
+    got = [tuple(r) for r in pagetext.printed_entries(f, 800.0).select("page", "box", "number", "title", "parts").collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and max(r[4] for r in got) > 2
+    assert set(map(tuple, pagetext.printed_entries(f, 800.0, bucket=7.0).select("page", "box", "number", "title", "parts").collect())) == expected
+
+
+def test_grid_cells(spark, frame, pages):
+    expected = set()
+    for p, boxes in pages.items():
+        rank = {}
+        for edge in ("x0", "y0"):
+            n, last = 0, None
+            for v in sorted({getattr(b, edge) for b in boxes}):
+                n += last is None or v - last > 3
+                last = v
+                rank[edge, v] = n
+        cells = defaultdict(list)
+        for b in sorted(boxes, key=lambda b: (b.y0, b.x0, b.box)):
+            cells[p, rank["y0", b.y0], rank["x0", b.x0]].append(b.text)
+        expected |= {(*k, "\n".join(v)) for k, v in cells.items()}
+    assert {tuple(r) for r in pagetext.grid_cells(frame).collect()} == expected
+
+
+def test_tool_calls(spark):
+    from docloom.operators import calls
+
+    nodes = spark.createDataFrame([("w", None), ("a", "w"), ("b", "w"), ("c", "a")], "node_id string, parent_id string")
+    blocks = spark.createDataFrame([("a", 7, 2), ("a", 9, 1), ("c", 4, 1)], "node_id string, block_id long, ord long")
+    lines = spark.createDataFrame([("1", ["fire", "loss"]), ("2", ["loss"]), ("3", ["water", "fire"])], "line string, words array<string>")
+    asked = [(1, "contents", "w"), (2, "contents", "c"), (3, "contents", "zz"), (4, "open", "a"), (5, "open", "b"), (6, "open", None), (7, "search", "fire"), (8, "search", "hail"), (9, "search", ""), (10, "search", None), (11, "definitions", "loss"), (12, "fetch", "x"), (13, None, "x"), (4, "open", "a")]
+    got = sorted(tuple(r) for r in calls.answered(spark.createDataFrame(asked, "call long, tool string, arg string"), nodes, blocks, lines).select("call", "ok", "n", "first", "error").collect())
+    assert got == [
+        (1, True, 2, "a", None), (2, True, 0, None, None), (3, False, None, None, "unknown node"), (4, True, 2, "9", None), (4, True, 2, "9", None), (5, True, 0, None, None), (6, False, None, None, "unknown node"),
+        (7, True, 2, "1", None), (8, True, 0, None, None), (9, False, None, None, "empty word"), (10, False, None, None, "empty word"), (11, True, 1, "2", None), (12, False, None, None, "unknown tool"), (13, False, None, None, "unknown tool"),
+    ]

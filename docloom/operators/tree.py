@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.scratch import Rounds
+
 #: Where child nodes stand among a node's items: behind most blocks, before those with larger numbers.
 CHILD = 1_000_000_000_000
 HEADING = "heading"
@@ -89,3 +91,30 @@ def common_ancestor(up: DataFrame, members: DataFrame) -> DataFrame:
     sizes = distinct.groupBy("group").agg(F.count("*").alias("size"))
     over = distinct.join(up, distinct.node_id == up.descendant).groupBy("group", "ancestor").agg(F.count("*").alias("n"), F.sum("distance").alias("total"))
     return over.join(sizes, "group").filter("n = size").groupBy("group").agg(F.min_by("ancestor", "total").alias("node_id"))
+
+
+def subtree_digests(nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """node_id, digest: equal where subtrees have equal contents and hang together alike, children in order.
+
+    nodes: node_id, parent_id, level, key; own: node_id, h (a digest of the node's own contents). Digests are made from
+    the deepest level up: a node's is that of its own contents, the number of its children and the sums of two halves
+    of their digests, each taken with its place among its siblings. Sums are added up on the map side, so that a node
+    of any number of children is no large group. There are as many rounds as levels.
+    """
+    rounds = Rounds(nodes.sparkSession, "subtrees")
+    place = F.row_number().over(Window.partitionBy("parent_id").orderBy("key", "node_id"))
+    placed = rounds.keep(nodes.select("node_id", "parent_id", "level", "key").join(own, "node_id").withColumn("place", place).drop("key"))
+    half = lambda at: F.conv(F.substring("mixed", at, 15), 16, 10).cast("decimal(38,0)")
+    out, below = None, None
+    for level in sorted((r.level for r in placed.select("level").distinct().collect()), reverse=True):  # one row a level
+        here = placed.filter(F.col("level") == level)
+        if below is None:
+            here = here.withColumn("children", F.lit("0:0:0"))
+        else:
+            sums = below.groupBy(F.col("parent_id").alias("node_id")).agg(F.concat_ws(":", F.count("*"), F.sum(half(1)), F.sum(half(16))).alias("children"))
+            here = here.join(sums, "node_id", "left").withColumn("children", F.coalesce("children", F.lit("0:0:0")))
+        digest = F.md5(F.concat_ws("/", "h", "children").cast("binary"))
+        below = here.withColumn("digest", digest).withColumn("mixed", F.md5(F.concat_ws(":", "place", "digest").cast("binary"))).select("node_id", "parent_id", "digest", "mixed")
+        below = rounds.keep(below)
+        out = below if out is None else out.unionByName(below)
+    return out.select("node_id", "digest") if out is not None else own.select("node_id", F.col("h").alias("digest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.operators import tree
+from docloom.operators import intervals, tree
 from docloom.plans.base import BLOCKS, CLOSURE, NODES, Tables, blocks, nodes, query
 
 C = tree.CHILD
@@ -293,19 +293,31 @@ def t27(spark, sf):
     return over.select(F.col("ancestor").alias("node_id"), "n", F.col("low.block_id").alias("first_block"), F.col("high.block_id").alias("last_block"))
 
 
+def _subtrees_sql() -> str:
+    """Digests of nodes from the deepest level up, a level a step."""
+    steps, below = [], None
+    for level in (3, 2, 1, 0):
+        of_children = f"LEFT JOIN (SELECT parent_id, count(*) || ':' || sum(CAST('0x' || substr(mixed, 1, 15) AS BIGINT)) || ':' || sum(CAST('0x' || substr(mixed, 16, 15) AS BIGINT)) AS children FROM {below} GROUP BY parent_id) c ON c.parent_id = p.node_id" if below else ""
+        children = "coalesce(children, '0:0:0')" if below else "'0:0:0'"
+        steps.append(f"l{level} AS (SELECT *, md5(place || ':' || digest) AS mixed FROM (SELECT p.node_id, p.parent_id, place, md5(h || '/' || {children}) AS digest FROM placed p {of_children} WHERE level = {level}))")
+        below = f"l{level}"
+    return ", ".join(steps)
+
+
 @query(
     "t32_subtree_equality",
-    f"""{WITHB}, own AS (SELECT n.node_id, md5(coalesce(string_agg(b.kind, ',' ORDER BY b.ord), '')) AS h FROM nodes n LEFT JOIN blocks b ON b.node_id = n.node_id GROUP BY n.node_id),
-    sub AS (SELECT c.ancestor AS node_id, md5(string_agg(o.h, ',' ORDER BY o.h)) AS digest FROM closure c JOIN own o ON o.node_id = c.descendant GROUP BY c.ancestor)
+    f"""WITH {NODES}, {BLOCKS}, own AS (SELECT n.node_id, md5(coalesce(string_agg(b.kind, ',' ORDER BY b.ord), '')) AS h FROM nodes n LEFT JOIN blocks b ON b.node_id = n.node_id GROUP BY n.node_id),
+    placed AS (SELECT n.node_id, parent_id, level, h, row_number() OVER (PARTITION BY parent_id ORDER BY key, n.node_id) AS place FROM nodes n JOIN own ON own.node_id = n.node_id),
+    {_subtrees_sql()}, sub AS (SELECT node_id, digest FROM l0 UNION ALL SELECT node_id, digest FROM l1 UNION ALL SELECT node_id, digest FROM l2 UNION ALL SELECT node_id, digest FROM l3)
     SELECT digest, CAST(count(*) AS BIGINT) AS n, min(node_id) AS first_node FROM sub GROUP BY digest HAVING count(*) > 1""",
 )
 def t32(spark, sf):
-    """Subtrees with equal contents: digests of nodes' blocks, combined over the closure."""
-    n, b, up = _frames(spark, sf)
+    """Subtrees with equal contents that hang together alike: digests from the leaves up."""
+    t = Tables(spark, sf)
+    n, b = nodes(t), blocks(t)
     kinds = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "kind"))), lambda x: x["kind"]), ",")
-    own = n.select("node_id").join(b.groupBy("node_id").agg(kinds.alias("kinds")), "node_id", "left").select(F.col("node_id").alias("descendant"), F.md5(F.coalesce("kinds", F.lit("")).cast("binary")).alias("h"))
-    sub = up.join(own, "descendant").groupBy("ancestor").agg(F.md5(F.array_join(F.array_sort(F.collect_list("h")), ",").cast("binary")).alias("digest"))
-    return sub.groupBy("digest").agg(F.count("*").alias("n"), F.min("ancestor").alias("first_node")).filter("n > 1")
+    own = n.select("node_id").join(b.groupBy("node_id").agg(kinds.alias("kinds")), "node_id", "left").select("node_id", F.md5(F.coalesce("kinds", F.lit("")).cast("binary")).alias("h"))
+    return tree.subtree_digests(n, own).groupBy("digest").agg(F.count("*").alias("n"), F.min("node_id").alias("first_node")).filter("n > 1")
 
 
 _SPANS = "spans AS (SELECT o_custkey AS owner, o_orderkey AS uid, CAST(epoch(o_orderdate) / 86400 AS BIGINT) AS lo, CAST(epoch(o_orderdate) / 86400 AS BIGINT) + 30 * (1 + o_orderkey % 12) AS hi FROM orders)"
@@ -320,8 +332,7 @@ def _spans(t: Tables):
 def t28(spark, sf):
     """The intervals that hold a segment's last day, outermost first."""
     s = _spans(Tables(spark, sf))
-    p, other = s.alias("p"), s.alias("s")
-    found = p.join(other, (F.col("p.owner") == F.col("s.owner")) & (F.col("s.lo") <= F.col("p.hi")) & (F.col("p.hi") <= F.col("s.hi"))).select(F.col("p.uid").alias("uid"), F.col("s.uid").alias("span"), (F.col("s.hi") - F.col("s.lo")).alias("length"), F.col("s.lo").alias("lo"))
+    found = intervals.holding(s.select("owner", "uid", F.col("hi").alias("at")), s.withColumnRenamed("uid", "span")).withColumn("length", F.col("hi") - F.col("lo"))
     depth = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("length"), "lo", "span"))
     return found.select("uid", "span", depth.alias("depth"))
 
@@ -330,8 +341,7 @@ def t28(spark, sf):
 def t29(spark, sf):
     """The intervals that hold a line, innermost first."""
     s = _spans(Tables(spark, sf))
-    p, other = s.alias("p"), s.alias("s")
-    found = p.join(other, (F.col("p.owner") == F.col("s.owner")) & F.col("p.lo").between(F.col("s.lo"), F.col("s.hi"))).select(F.col("p.uid").alias("uid"), F.col("s.uid").alias("span"), (F.col("s.hi") - F.col("s.lo")).alias("length"), F.col("s.lo").alias("lo"))
+    found = intervals.holding(s.select("owner", "uid", F.col("lo").alias("at")), s.withColumnRenamed("uid", "span")).withColumn("length", F.col("hi") - F.col("lo"))
     place = F.row_number().over(Window.partitionBy("uid").orderBy("length", F.desc("lo"), "span"))
     return found.select("uid", "span", place.alias("place"))
 
@@ -351,6 +361,6 @@ def t30(spark, sf):
 @query("t31_deepest_interval", f"WITH {_SPANS} SELECT p.uid, arg_max(s.uid, -(s.hi - s.lo) * 100000000 - s.uid) AS deepest, CAST(count(*) AS BIGINT) AS depth FROM spans p JOIN spans s ON s.owner = p.owner AND s.lo <= p.lo AND p.lo <= s.hi GROUP BY p.uid")
 def t31(spark, sf):
     """Each line with the deepest interval that holds it, and how many do."""
-    found = t29(spark, sf)
-    s = _spans(Tables(spark, sf)).select(F.col("uid").alias("span"), (F.col("hi") - F.col("lo")).alias("length"))
-    return found.join(s, "span").groupBy("uid").agg(F.min_by("span", F.struct("length", "span")).alias("deepest"), F.count("*").alias("depth"))
+    s = _spans(Tables(spark, sf))
+    found = intervals.holding(s.select("owner", "uid", F.col("lo").alias("at")), s.withColumnRenamed("uid", "span"))
+    return found.groupBy("uid").agg(F.min_by("span", F.struct(F.col("hi") - F.col("lo"), F.col("span"))).alias("deepest"), F.count("*").alias("depth"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docloom.operators import search, tree
+from docloom.operators import intervals, search, tree
 from docloom.plans.evidence_q import quote_places
 from docloom.plans.shapes_q import union_area
 from docloom.plans.verify_q import found_across_breaks, joined_leads, resolved_definitions
@@ -78,3 +78,30 @@ def test_area_of_a_union(spark):
     rows = [(1, 0, 0, 4, 4), (1, 2, 2, 6, 6), (1, 2, 2, 3, 3), (1, 9, 9, 9, 12), (2, 0, 0, 1, 1), (2, 5, 5, 7, 6), (3, 0, 0, 10, 1), (3, 0, 0, 1, 10), (3, 4, 0, 5, 9)]
     got = {r.page: r.area for r in union_area(spark.createDataFrame(rows, "page long, x0 long, y0 long, x1 long, y1 long")).collect()}
     assert got == {1: 28, 2: 3, 3: 27}
+
+
+def test_intervals_that_hold_points(spark):
+    rng = random.Random(11)
+    spans = [(rng.randrange(3), i, lo, lo + rng.choice([-1, 0, 1, 2, 3, 7, 8, 60, 1000])) for i in range(300) for lo in [rng.randrange(-50, 400)]]
+    points = [(rng.randrange(4), i, rng.randrange(-60, 500)) for i in range(200)]
+    found = intervals.holding(spark.createDataFrame(points, "owner long, uid long, at long"), spark.createDataFrame(spans, "owner long, span long, lo long, hi long"))
+    got = sorted((r.uid, r.span) for r in found.collect())
+    assert got == sorted((u, s) for o, u, at in points for p, s, lo, hi in spans if o == p and lo <= at <= hi)
+
+
+def test_one_owner_with_many_intervals(spark):
+    """100,000 intervals of one owner and as many points: no pairs of an owner are made."""
+    spans = spark.range(100_000).select(F.lit(1).alias("owner"), F.col("id").alias("span"), (F.col("id") * 10).alias("lo"), (F.col("id") * 10 + 1 + F.col("id") % 8).alias("hi"))
+    points = spans.select("owner", F.col("span").alias("uid"), (F.col("lo") + 1).alias("at"))
+    found = intervals.holding(points, spans)
+    assert found.count() == 100_000 and found.filter("uid <> span").count() == 0
+
+
+def test_subtrees_that_hang_together_otherwise_differ(spark):
+    """A{B} isn't A, B; a chain isn't a root with two children; order counts."""
+    rows = [("w", None, 0, 0), ("a1", "w", 1, 1), ("b1", "a1", 2, 1), ("a2", "w", 1, 2), ("b2", "w", 1, 3), ("a3", "w", 1, 4), ("b3", "a3", 2, 9), ("c1", "w", 1, 5), ("x1", "c1", 2, 1), ("y1", "c1", 2, 2), ("c2", "w", 1, 6), ("y2", "c2", 2, 1), ("x2", "c2", 2, 2), ("c3", "w", 1, 7), ("x3", "c3", 2, 1), ("y3", "x3", 3, 1)]
+    nodes = spark.createDataFrame(rows, "node_id string, parent_id string, level int, key long")
+    own = nodes.select("node_id", F.substring("node_id", 1, 1).alias("h"))
+    digest = {r.node_id: r.digest for r in tree.subtree_digests(nodes, own).collect()}
+    assert digest["a1"] == digest["a3"] != digest["a2"] and digest["b1"] == digest["b2"] == digest["b3"]
+    assert len({digest[c] for c in ("c1", "c2", "c3")}) == 3 and digest["x1"] == digest["x2"] != digest["x3"]

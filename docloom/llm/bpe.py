@@ -15,7 +15,6 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -40,16 +39,25 @@ _NEVER = 1 << 62
 
 
 class Memo(dict):
-    """A bounded memo of a function of one argument; when full it starts anew."""
+    """A memo of a function of one argument, bounded by the bytes that it holds; when full it starts anew.
 
-    def __init__(self, function, most: int):
+    `size` gives the bytes of a key; values are bytes. What alone would fill a good part of it isn't kept.
+    """
+
+    def __init__(self, function, size, most: int):
         super().__init__()
-        self.function, self.most = function, most
+        self.function, self.size, self.most, self.held = function, size, most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.function(key)
+        cost = self.size(key) + len(value) + 160
+        if cost * 64 > self.most:
+            return value
+        if self.held + cost > self.most:
             self.clear()
-        value = self[key] = self.function(key)
+            self.held = 0
+        self.held += cost
+        self[key] = value
         return value
 
 
@@ -60,7 +68,7 @@ class WordBpe:
     are the words; other kinds of file are refused.
     """
 
-    def __init__(self, definition: str, memo: int = 600_000):
+    def __init__(self, definition: str, memo: int = 224_000_000):
         spec = json.loads(definition)
         model, steps = spec["model"], [x["type"] for x in spec["normalizer"].get("normalizers", [])]
         if steps != ["NFC", "Replace", "Lowercase"] or model["type"] != "BPE" or model.get("byte_fallback") or spec.get("decoder"):
@@ -87,8 +95,9 @@ class WordBpe:
             inner = token.removesuffix(self.end)
             code = [back[c] for c in inner]
             self.joined.update(zip(code, code[1:], strict=False))
-        self.fragments = Memo(self._merge, memo)
-        self.words = Memo(self._word, memo)
+        # a character of a word takes four bytes at most
+        self.fragments = Memo(lambda x: array("I", self._merge(x)).tobytes(), lambda x: len(x[0]) + 60, memo * 3 // 7)
+        self.words = Memo(self._word, lambda x: 4 * len(x) if not x.isascii() else len(x), memo * 4 // 7)
 
     def cuts(self, word: bytes) -> list[bytes]:
         """The word's fragments between certain cuts."""
@@ -148,7 +157,7 @@ class WordBpe:
     def _word(self, word: str) -> bytes:
         """A word's ids, packed as 32-bit integers."""
         parts = self.cuts(word.encode())
-        return array("I", chain.from_iterable(self.fragments[part, i == len(parts) - 1] for i, part in enumerate(parts))).tobytes()
+        return b"".join([self.fragments[part, i == len(parts) - 1] for i, part in enumerate(parts)])
 
     def _encode_plain(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text):

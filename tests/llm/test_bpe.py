@@ -56,3 +56,18 @@ def test_awkward_rows_and_empty_table(spark, awkward, library):
     for r, text in zip(sorted(got, key=lambda r: (r.doc_id or 0, r.n_tokens)), sorted(awkward.collect(), key=lambda r: (r.doc_id or 0, len(r.text or ""))), strict=True):
         assert r.ids == library.encode(text.text or "", add_special_tokens=False).ids
     assert bpe.encode_table(awkward.limit(0), word_vocabulary()).count() == 0
+
+
+def test_a_word_of_a_megabyte(library, own):
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=1_000_000))
+    assert list(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    assert text not in own.words
+
+
+def test_memo_is_bounded_by_bytes():
+    memo = bpe.Memo(lambda k: k.encode() * 2, len, 100_000)
+    for i in range(5_000):
+        assert memo[f"{i:030}"] == f"{i:030}".encode() * 2
+        assert sum(len(k) + len(v) + 160 for k, v in memo.items()) == memo.held <= 100_000
+    assert memo["x" * 50_000] == b"x" * 100_000 and "x" * 50_000 not in memo

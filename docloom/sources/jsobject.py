@@ -1,6 +1,6 @@
 """`window.KB = {...}` files as a Spark source: one row a file, as JSON text for from_json or a variant.
 
-Object literals may have unquoted keys, trailing commas and comments. Single-quoted and template strings, and any
+Object literals may have unquoted keys, comments anywhere between tokens, and a trailing comma behind a value. Single-quoted and template strings, and any
 other statement, are refused with the line and column of the fault.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r'\s+|//[^\n]*|/\*.*?\*/|(?P<string>"(?:[^"\\\n]|\\.)*")|(?P<number>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<word>[A-Za-z_$][\w$]*)|(?P<sign>[{}\[\],:])', re.DOTALL)
+_COLON = re.compile(r"(?:\s|//[^\n]*|/\*.*?\*/)*:", re.DOTALL)
 _HEAD = re.compile(r"\s*(?:(?://[^\n]*|/\*.*?\*/)\s*)*window\.KB\s*=\s*", re.DOTALL)
 
 
@@ -33,10 +34,10 @@ def to_json(text: str) -> str:
             raise fault(at, f"unexpected {text[at]!r}")
         kind, value = found.lastgroup, found.group()
         if kind == "word" and value not in ("true", "false", "null"):
-            if not text[found.end() :].lstrip().startswith(":"):
+            if not _COLON.match(text, found.end(), end):
                 raise fault(at, f"unexpected {value}")
             value = json.dumps(value)
-        if kind == "sign" and value in "}]" and out and out[-1] == ",":
+        if kind == "sign" and value in "}]" and len(out) > 1 and out[-1] == "," and out[-2] not in ("[", "{", ",", ":"):
             out.pop()
         if kind:
             out.append(value)

@@ -68,7 +68,7 @@ class WordBpe:
     are the words; other kinds of file are refused.
     """
 
-    def __init__(self, definition: str, memo: int = 224_000_000):
+    def __init__(self, definition: str, memo: int = 112_000_000):
         spec = json.loads(definition)
         model, steps = spec["model"], [x["type"] for x in spec["normalizer"].get("normalizers", [])]
         if steps != ["NFC", "Replace", "Lowercase"] or model["type"] != "BPE" or model.get("byte_fallback") or spec.get("decoder"):

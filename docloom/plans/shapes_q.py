@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.folds import fold_rows
+from docloom.operators.segments import greedy_segments
 from docloom.plans.base import LINES, Tables, lines, query
 from docloom.plans.search_q import _THESAURUS, claims
 from docloom.sources.jsobject import parsed_object
@@ -92,22 +90,10 @@ def s18(spark, sf):
 def planned_segments(units: DataFrame, most_units: int, most_chars: int) -> DataFrame:
     """registry, unit, segment: contiguous segments, each as long as the bounds allow, that never split a unit; -1 for a unit that fits nowhere.
 
-    units: registry, ord, unit, chars. As the bounds only grow with a segment, the longest prefix that fits is found
-    unit by unit.
+    units: registry, ord, unit, chars.
     """
-
-    def step(state: dict, row: tuple) -> Iterable[tuple]:
-        registry, _, unit, size = row
-        if size > most_chars:
-            state.update(segment=state["segment"] + bool(state["units"]), units=0, chars=0)
-            return [(registry, unit, -1)]
-        if state["units"] == most_units or state["chars"] + size > most_chars:
-            state.update(segment=state["segment"] + 1, units=0, chars=0)
-        state["units"] += 1
-        state["chars"] += size
-        return [(registry, unit, state["segment"])]
-
-    return fold_rows(units.select("registry", "ord", "unit", "chars"), "registry", ["ord"], lambda: {"segment": 0, "units": 0, "chars": 0}, step, "registry string, unit long, segment int")
+    found = greedy_segments(units.select("registry", "ord", "unit", "chars"), "registry", ["ord"], "chars", most_units, most_chars, long_alone=False)
+    return found.select("registry", "unit", "segment")
 
 
 @query(
@@ -138,23 +124,13 @@ def k8(spark, sf):
 def rotated(entries: DataFrame, most_bytes: int, files: int) -> DataFrame:
     """sink, file, lines, bytes: what a log with rotation holds, of the `files` last files of each sink.
 
-    entries: sink, ord, bytes. A file is closed where the next line would take it beyond `most_bytes`; a longer line
-    has a file of its own.
+    entries: sink, ord, bytes (at least 1). A file is closed where the next line would take it beyond `most_bytes`; a
+    longer line has a file of its own.
     """
-
-    def step(state: dict, row: tuple) -> Iterable[tuple]:
-        sink, _, size = row
-        full = state["bytes"] and state["bytes"] + size > most_bytes
-        out = [(sink, state["file"], state["lines"], state["bytes"])] if full else []
-        if full:
-            state.update(file=state["file"] + 1, lines=0, bytes=0)
-        state["lines"] += 1
-        state["bytes"] += size
-        return out
-
-    closed = fold_rows(entries.select("sink", "ord", "bytes"), "sink", ["ord"], lambda: {"file": 0, "lines": 0, "bytes": 0}, step, "sink string, file int, lines long, bytes long", lambda s, sink: [(sink, s["file"], s["lines"], s["bytes"])])
-    newest = F.row_number().over(Window.partitionBy("sink").orderBy(F.desc("file")))
-    return closed.withColumn("newest", newest).filter(F.col("newest") <= files).drop("newest")
+    filed = greedy_segments(entries.select("sink", "ord", "bytes"), "sink", ["ord"], "bytes", most_bytes, most_bytes)
+    closed = filed.groupBy("sink", F.col("segment").alias("file")).agg(F.count("*").alias("lines"), F.sum("bytes").alias("bytes"))
+    last = closed.groupBy(F.col("sink").alias("of")).agg(F.max("file").alias("last"))
+    return closed.join(last, F.col("sink").eqNullSafe(F.col("of"))).filter(F.col("file") > F.col("last") - files).select("sink", "file", "lines", "bytes")
 
 
 @query(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.segments import greedy_segments
+from docloom.operators.segments import greedy_segments, running
 from docloom.plans.base import LINES, Tables, lines, query
 from docloom.plans.search_q import _THESAURUS, claims
+from docloom.scratch import Rounds
 from docloom.sources.jsobject import parsed_object
 
 # A base's file: an object literal with unquoted keys, a comment and trailing commas; every 29th part's is broken.
@@ -70,21 +71,39 @@ def s17(spark, sf):
     return judged.select("item_id", "verdict", F.when(F.col("verdict") == "accepted", F.col("suite")).alias("suite"))
 
 
+# Texts of a base are written in files of at most so many entries, as a base has no bound.
+FILE = 40
+_FILED = f"SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // {FILE} AS file FROM part"
+
+
+def filed(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """The rows and their `file` (from 0) within the key, `most` rows to a file in order, however large the key."""
+    ranked = running(rows, [key], order, {}, Rounds(rows.sparkSession, "files"))
+    return ranked.withColumn("file", F.floor((F.col("rank") - 1) / most)).drop("rank")
+
+
+def _texts(rows: DataFrame, head: Column, entry: Column, between: str, end: Column) -> DataFrame:
+    """p_brand, file, text: a text for each file, with its entries in the order of parts."""
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("entry")))), lambda x: x["entry"])
+    joined = filed(rows, "p_brand", ["p_partkey"], FILE).groupBy("p_brand", "file").agg(F.array_join(entries, between).alias("body"))
+    return joined.select("p_brand", "file", F.concat(head, F.col("body"), end).alias("text"))
+
+
 _PROPOSAL = """'{"doc": "' || p_brand || '", "nodes": [' || string_agg('{"id": ' || p_partkey || ', "size": ' || p_size || '}', ', ' ORDER BY p_partkey) || CASE WHEN right(p_brand, 1) = '4' THEN '' ELSE ']}' END"""
 
 
-@query("s18_structure_bytes", f"SELECT p_brand, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS digest, CASE WHEN right(p_brand, 1) <> '4' THEN nodes END AS nodes, CASE WHEN right(p_brand, 1) <> '4' THEN total END AS total FROM (SELECT p_brand, {_PROPOSAL} AS text, CAST(count(*) AS BIGINT) AS nodes, CAST(sum(p_size) AS BIGINT) AS total FROM part GROUP BY p_brand)")
+@query("s18_structure_bytes", f"SELECT p_brand, file, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS digest, CASE WHEN right(p_brand, 1) <> '4' THEN nodes END AS nodes, CASE WHEN right(p_brand, 1) <> '4' THEN total END AS total FROM (SELECT p_brand, file, {_PROPOSAL} AS text, CAST(count(*) AS BIGINT) AS nodes, CAST(sum(p_size) AS BIGINT) AS total FROM ({_FILED}) GROUP BY p_brand, file)")
 def s18(spark, sf):
-    """Structure proposals read once: the exact bytes' length and digest beside what they say; broken ones say nothing."""
+    """Structure proposals, in files of 40 nodes, read once: the exact bytes' length and digest beside what they say; broken ones say nothing."""
     node = F.concat(F.lit('{"id": '), F.col("p_partkey"), F.lit(', "size": '), F.col("p_size"), F.lit("}"))
-    nodes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", node.alias("n")))), lambda x: x["n"]), ", ")
+    parts = Tables(spark, sf).part.select("p_brand", "p_partkey", "p_size")
     end = F.when(F.col("p_brand").endswith("4"), "").otherwise("]}")
-    texts = Tables(spark, sf).part.groupBy("p_brand").agg(nodes.alias("n")).select("p_brand", F.concat(F.lit('{"doc": "'), "p_brand", F.lit('", "nodes": ['), "n", end).alias("text"))
+    texts = _texts(parts, F.concat(F.lit('{"doc": "'), "p_brand", F.lit('", "nodes": [')), node, ", ", end)
     x = F.from_json("text", "doc string, nodes array<struct<id: long, size: long>>, bad string", {"columnNameOfCorruptRecord": "bad"})
-    read = texts.select("p_brand", F.octet_length("text").cast("long").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), x.alias("x"))
+    read = texts.select("p_brand", "file", F.octet_length("text").cast("long").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), x.alias("x"))
     sound = F.col("x.bad").isNull() & F.col("x.doc").isNotNull()
     total = F.aggregate("x.nodes", F.lit(0).cast("long"), lambda a, b: a + b["size"])
-    return read.select("p_brand", "bytes", "digest", F.when(sound, F.size("x.nodes").cast("long")).alias("nodes"), F.when(sound, total).alias("total"))
+    return read.select("p_brand", "file", "bytes", "digest", F.when(sound, F.size("x.nodes").cast("long")).alias("nodes"), F.when(sound, total).alias("total"))
 
 
 def planned_segments(units: DataFrame, most_units: int, most_chars: int) -> DataFrame:
@@ -112,13 +131,13 @@ def l15(spark, sf):
     return planned_segments(rows, 8, 6000)
 
 
-@query("k8_report_tables", "SELECT p_brand, '| part | type | size |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || replace(p_name || CASE WHEN p_partkey % 4 = 0 THEN '|x' ELSE '' END, '|', '\\|') || ' | ' || CASE WHEN p_size % 5 = 0 THEN '—' ELSE p_type END || ' | ' || p_size || ' |', chr(10) ORDER BY p_partkey) AS report FROM part GROUP BY p_brand")
+@query("k8_report_tables", f"SELECT p_brand, file, '| part | type | size |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || replace(p_name || CASE WHEN p_partkey % 4 = 0 THEN '|x' ELSE '' END, '|', '\\|') || ' | ' || CASE WHEN p_size % 5 = 0 THEN '—' ELSE p_type END || ' | ' || p_size || ' |', chr(10) ORDER BY p_partkey) AS report FROM ({_FILED}) GROUP BY p_brand, file")
 def k8(spark, sf):
-    """A report table for each base: bars in cells escaped, a dash for what is missing, rows in order."""
+    """Report tables for each base, in files of 40 rows: bars in cells escaped, a dash for what is missing, rows in order."""
     name = F.replace(F.concat("p_name", F.when(F.col("p_partkey") % 4 == 0, "|x").otherwise("")), F.lit("|"), F.lit("\\|"))
     row = F.concat(F.lit("| "), name, F.lit(" | "), F.when(F.col("p_size") % 5 == 0, "—").otherwise(F.col("p_type")), F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n")
-    return Tables(spark, sf).part.groupBy("p_brand").agg(F.concat(F.lit("| part | type | size |\n|---|---|---|\n"), body).alias("report"))
+    parts = Tables(spark, sf).part.select("p_brand", "p_partkey", "p_name", "p_type", "p_size")
+    return _texts(parts, F.lit("| part | type | size |\n|---|---|---|\n"), row, "\n", F.lit("")).withColumnRenamed("text", "report")
 
 
 def rotated(entries: DataFrame, most_bytes: int, files: int) -> DataFrame:

@@ -80,6 +80,21 @@ def test_area_of_a_union(spark):
     assert got == {1: 28, 2: 3, 3: 27}
 
 
+def test_area_of_full_pages(spark):
+    """Pages of many rectangles, long ones across and small ones, against counted cells."""
+    rng, rows = random.Random(5), []
+    for page, n in ((1, 150), (2, 60), (3, 2)):
+        for _ in range(n):
+            x, y = rng.randrange(100), rng.randrange(100)
+            wide, high = rng.choice([(1, 5), (60, 2), (2, 60), (9, 9), (0, 4), (90, 1)])
+            rows.append((page, x, y, x + wide, y + high))
+    want = {p: len({(x, y) for q, x0, y0, x1, y1 in rows if q == p for x in range(x0, x1) for y in range(y0, y1)}) for p in (1, 2, 3)}
+    schema = "page long, x0 long, y0 long, x1 long, y1 long"
+    assert {r.page: r.area for r in union_area(spark.createDataFrame(rows, schema)).collect()} == want
+    assert {r.page: r.area for r in union_area(spark.createDataFrame(rows + rows, schema).repartition(7)).collect()} == want
+    assert union_area(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_intervals_that_hold_points(spark):
     rng = random.Random(11)
     spans = [(rng.randrange(3), i, lo, lo + rng.choice([-1, 0, 1, 2, 3, 7, 8, 60, 1000])) for i in range(300) for lo in [rng.randrange(-50, 400)]]

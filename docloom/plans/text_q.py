@@ -236,10 +236,7 @@ def n26(spark, sf):
 
 @query("n27_readable_title", f"WITH {LINES} SELECT doc_id, upper(left(t, 1)) || substr(t, 2) AS title FROM (SELECT doc_id, regexp_replace(trim(regexp_replace(lower(line), '\\s+', ' ', 'g')), '[ .:;,]+$', '') AS t FROM lines WHERE seq = 1)")
 def n27(spark, sf):
-    """A title's shape only: white space joined, closing punctuation dropped, one capital."""
-    bare = F.regexp_replace(F.trim(F.regexp_replace(F.lower("line"), r"\s+", " ")), "[ .:;,]+$", "")
-    titles = lines(Tables(spark, sf)).filter("seq = 1").select("doc_id", bare.alias("t"))
-    return titles.select("doc_id", F.concat(F.upper(F.substring("t", 1, 1)), F.col("t").substr(F.lit(2), F.length("t"))).alias("title"))
+    return lines(Tables(spark, sf)).filter("seq = 1").select("doc_id", tx.readable_title(F.col("line")).alias("title"))
 
 
 @query("n28_language_code", "SELECT doc_id, CASE WHEN lower(trim(lang)) IN ('fr', 'de', 'en') THEN lower(trim(lang)) ELSE 'fr' END AS code, NOT coalesce(lower(trim(lang)) IN ('fr', 'de', 'en'), false) AS fell_back FROM documents")

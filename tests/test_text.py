@@ -70,3 +70,20 @@ def test_a_proven_quote_maps_back(spark):
     raw = "Le « Contrat »  couvre\n l’eau-\nforte."
     row = spark.createDataFrame([(raw,)], "s string").select(spans.raw_passage(F.col("s"), F.lit("contrat\" couvre l'eauforte")).alias("p")).first()
     assert row.p == "Contrat »  couvre\n l’eau-\nforte"
+
+
+def test_readable_title_changes_letters_one_by_one(spark, con):
+    titles = ["ßachzu | BESCHIE. ;", "ŉa", "ᾳ X", "ﬁn", "ΟΔΟΣ", "İZ", "a\x0bB", "Été  .", " über ", "x. ", "", " . ", None, "ǆ", "ẞ"]
+    sql = "SELECT t, upper(left(b, 1)) || substr(b, 2) AS title FROM (SELECT t, regexp_replace(trim(regexp_replace(lower(t), '\\s+', ' ', 'g')), '[ .:;,]+$', '') AS b FROM (SELECT unnest($1) AS t))"
+    expected = dict(con.execute(sql, [titles]).fetchall())
+    found = spark.createDataFrame([(t,) for t in titles], "t string").select("t", tx.readable_title(F.col("t")).alias("title"))
+    assert {r.t: r.title for r in found.collect()} == expected
+
+
+def test_lines_of_space_separators_are_blank(spark, tmp_path, con):
+    from docloom.plans.base import LINES, Tables, lines
+
+    texts = [" \nb", " 　 \nß x", "\t\nc", " "]
+    spark.createDataFrame([(i, "en", "s", x) for i, x in enumerate(texts)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = con.execute(f"WITH documents AS (SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')), {LINES} SELECT doc_id, seq, line FROM lines").fetchall()
+    assert {tuple(r) for r in lines(Tables(spark, str(tmp_path))).select("doc_id", "seq", "line").collect()} == set(expected)

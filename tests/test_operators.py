@@ -120,3 +120,15 @@ def test_subtrees_that_hang_together_otherwise_differ(spark):
     digest = {r.node_id: r.digest for r in tree.subtree_digests(nodes, own).collect()}
     assert digest["a1"] == digest["a3"] != digest["a2"] and digest["b1"] == digest["b2"] == digest["b3"]
     assert len({digest[c] for c in ("c1", "c2", "c3")}) == 3 and digest["x1"] == digest["x2"] != digest["x3"]
+
+
+def test_structure_bytes_of_whole_bases(spark, tmp_path):
+    """A base of more than 40 parts is one text, as are the others."""
+    from docloom.plans.catalog import QUERIES
+
+    parts = [(i, "Brand#11" if i % 3 else "Brand#24", i % 50) for i in range(300)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.p_brand: (r.bytes, r.nodes, r.total) for r in QUERIES["s18_structure_bytes"](spark, str(tmp_path)).collect()}
+    text = lambda b: '{"doc": "' + b + '", "nodes": [' + ", ".join(f'{{"id": {i}, "size": {s}}}' for i, x, s in parts if x == b)
+    own = [s for _, b, s in parts if b == "Brand#11"]
+    assert found == {"Brand#11": (len(text("Brand#11")) + 2, 200, sum(own)), "Brand#24": (len(text("Brand#24")), None, None)}

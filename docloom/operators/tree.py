@@ -68,9 +68,12 @@ def sections(nodes: DataFrame, blocks: DataFrame, word: str = "exclusion") -> Da
 
 
 def first_after(value: Column, order: Column, partition: list[str]) -> Column:
-    """The next non-null value behind each row."""
-    ahead = Window.partitionBy(*partition).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return F.first(value, ignorenulls=True).over(ahead)
+    """The next non-null value behind each row.
+
+    Read from the end: a frame that grows from the first row is one pass, one that reaches to the last is read again for every row.
+    """
+    back = Window.partitionBy(*partition).orderBy(order.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(value, ignorenulls=True).over(back)
 
 
 def opening_conditions(blocks: DataFrame) -> DataFrame:

@@ -155,3 +155,12 @@ def test_places_nearby_meet_once(spark, tmp_path, monkeypatch):
     rows = joins_q.j10(spark, str(tmp_path)).collect()
     assert len(rows) == 3000 and {(r.n, r.nearest, r.metres) for r in rows} == {(2000, 0, 0.0)}
     assert pairs[0].count() == 1
+
+
+def test_first_after_in_one_pass(spark):
+    """The next value behind each row, with a frame that only grows, as one that reaches to the end is read again for every row."""
+    rows = [(i % 2, i, None if i % 5 else i) for i in range(60)]
+    found = spark.createDataFrame(rows, "k int, at int, v int").withColumn("next", tree.first_after(F.col("v"), F.col("at"), ["k"]))
+    want = {i: next((v for k, j, v in rows if k == i % 2 and j > i and v is not None), None) for _, i, _ in rows}
+    assert {r["at"]: r["next"] for r in found.collect()} == want
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -19,14 +19,15 @@ def running_lines(lines: DataFrame, band: float = 40.0, share: float = 0.3, caps
     capitals: `running_band`. Anywhere goes a turned line whose template stands turned on as many pages:
     `turned_title`. seen is how often the text was met in bands, or on how many pages the template.
 
-    Counts are grouped before lines move, and only texts that recur meet the lines again.
+    Counts are grouped before lines move, and only texts that recur meet the lines again: those in bands or turned, as
+    no other line can go.
     """
     of_book = lines.groupBy("book").agg(F.greatest(F.lit(2), F.ceil(F.countDistinct("page") * F.lit(share))).cast("long").alias("least"))
     in_band = (F.col("y0") < band) | (F.col("y1") > F.col("height") - band)
     recurring = lines.filter(in_band).groupBy("book", "text").agg(F.count("*").alias("seen")).join(of_book, "book").filter("seen >= least").select("book", "text", "seen")
     turned = lines.filter("turned").groupBy("book", template(F.col("text")).alias("template")).agg(F.countDistinct("page").alias("pages"))
     turned = turned.join(of_book, "book").filter("pages >= least").select("book", "template", "pages")
-    met = lines.withColumn("template", template(F.col("text"))).join(recurring, ["book", "text"], "left").join(turned, ["book", "template"], "left")
+    met = lines.filter(in_band | F.col("turned")).withColumn("template", template(F.col("text"))).join(recurring, ["book", "text"], "left").join(turned, ["book", "template"], "left")
     own = F.col("seen").isNotNull() | F.col("text").rlike(r"^\d{1,3}$") | ((F.col("size") <= caps_size) & (F.col("text") == F.upper("text")))
     motive = F.when(in_band & own, "running_band").when(F.col("turned") & F.col("pages").isNotNull(), "turned_title")
     seen = F.when(F.col("motive") == "running_band", F.coalesce("seen", F.lit(1))).otherwise(F.col("pages"))

@@ -328,3 +328,12 @@ def test_tool_calls(spark):
         (1, True, 2, "a", None), (2, True, 0, None, None), (3, False, None, None, "unknown node"), (4, True, 2, "9", None), (4, True, 2, "9", None), (5, True, 0, None, None), (6, False, None, None, "unknown node"),
         (7, True, 2, "1", None), (8, True, 0, None, None), (9, False, None, None, "empty word"), (10, False, None, None, "empty word"), (11, True, 1, "2", None), (12, False, None, None, "unknown tool"), (13, False, None, None, "unknown tool"),
     ]
+
+
+def test_body_lines_meet_no_counts(spark):
+    from docloom.operators import pagetext
+
+    rows = spark.createDataFrame([("b", 1, 0, 10, 20, 800, "head", 11, False), ("b", 2, 0, 10, 20, 800, "head", 11, False), ("b", 1, 1, 100, 110, 800, "head", 11, False)], "book string, page int, line int, y0 int, y1 int, height int, text string, size int, turned boolean")
+    found = pagetext.running_lines(rows)
+    assert sorted((r.page, r.line, r.motive, r.seen) for r in found.collect()) == [(1, 0, "running_band", 2), (2, 0, "running_band", 2)]
+    assert "OR turned#" in found._jdf.queryExecution().optimizedPlan().toString()

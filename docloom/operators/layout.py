@@ -42,6 +42,15 @@ _LOW = {"left_top": "y0", "left_from": "x0"}
 _HIGH = {"left_bottom": "y1", "left_to": "x1", "left_edge": "x1"}
 
 
+#: Boxes of one task: a sweep holds several wide rows of each.
+TASK_BOXES = 100_000
+
+
+def dealt(boxes: DataFrame, page: str, count: int) -> DataFrame:
+    """Whole pages dealt out to as many tasks as `count` boxes need, so that a task's memory doesn't grow with the table."""
+    return boxes.repartition(max(boxes.sparkSession.sparkContext.defaultParallelism, -(-count // TASK_BOXES)), page)
+
+
 def _event(x: Column, place: int, when: Column | None = None, **values: Column) -> Column:
     """A struct of the sweep; null, and left out, where `when` doesn't hold."""
     number = lambda name: F.coalesce(values.get(name, F.lit(0)), F.lit(0)).cast("long").alias(name)
@@ -148,7 +157,7 @@ def boundaries(boxes: DataFrame, rules: Columns = RULES) -> DataFrame:
     rounds = Rounds(boxes.sparkSession, "columns")
     regions, found = rounds.keep(whole_pages(boxes)), None
     while True:
-        best = rounds.keep(best_gutters(regions, rules).select(*REGION, "boundary"))
+        best = rounds.keep(best_gutters(dealt(regions, "page", regions.count()), rules).select(*REGION, "boundary"))
         found = best if found is None else found.unionByName(best)
         if not best.take(1):
             return found.select("page", "boundary")

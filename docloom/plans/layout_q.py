@@ -17,7 +17,8 @@ from docloom.plans.base import BLOCKS, LINES, NODES, Tables, blocks, lines, node
 def boxes(t: Tables) -> DataFrame:
     """page, box, x0, y0, x1, y1, src, is_line, text, bullet."""
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag")
-    li = t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long").alias("q"), "l_returnflag", F.row_number().over(order).alias("box"))
+    dealt = layout.dealt(t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag"), "l_partkey", t.lineitem.count())
+    li = dealt.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long").alias("q"), "l_returnflag", F.row_number().over(order).alias("box"))
     page, number = F.col("l_partkey"), F.col("l_linenumber")
     amounts = page % 11 == 0
     cols = F.when(amounts, 2).otherwise(1 + page % 4)

@@ -337,3 +337,11 @@ def test_body_lines_meet_no_counts(spark):
     found = pagetext.running_lines(rows)
     assert sorted((r.page, r.line, r.motive, r.seen) for r in found.collect()) == [(1, 0, "running_band", 2), (2, 0, "running_band", 2)]
     assert "OR turned#" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_hold_a_bounded_number_of_boxes(spark):
+    from docloom.operators import layout
+
+    pages = spark.range(10).withColumnRenamed("id", "page")
+    assert layout.dealt(pages, "page", 12 * layout.TASK_BOXES).rdd.getNumPartitions() == 12
+    assert layout.dealt(pages, "page", 0).count() == 10

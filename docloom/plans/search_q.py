@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators import search
-from docloom.plans.base import LINES, TOKENS, Tables, lines, norm_sql, query, tokens, words_sql
+from docloom.plans.base import LINES, TOKENS, Tables, block_id, line_words, lines, norm_sql, query, tokens, words_sql
 from docloom.scratch import Rounds
 from docloom.session import spread
 
@@ -31,15 +31,12 @@ SCORES = """hits AS (SELECT question, "group", form, form_size, i.corpus, block,
 
 
 def index(t: Tables) -> DataFrame:
-    block = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(":"), F.lpad(F.col("seq").cast("string"), 5, "0"))
-    return tokens(t).select(F.col("source").alias("corpus"), block.alias("block"), "token", "n_tokens")
+    return tokens(t).select(F.col("source").alias("corpus"), block_id().alias("block"), "token", "n_tokens")
 
 
 def sets(t: Tables) -> DataFrame:
     """corpus, block, words: the distinct words of every line that has any."""
-    block = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(":"), F.lpad(F.col("seq").cast("string"), 5, "0"))
-    found = F.array_distinct(tx.words(tx.normalize(F.col("line"))))
-    return lines(t).select(F.col("source").alias("corpus"), block.alias("block"), found.alias("words")).filter(F.size("words") > 0)
+    return line_words(t).select(F.col("source").alias("corpus"), block_id().alias("block"), "words")
 
 
 def asked(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -132,12 +129,8 @@ _PAIRS = "pairs AS (SELECT a.doc_id, a.seq AS a, b.seq AS b FROM sets a JOIN set
 )
 def r14(spark, sf):
     """For each line the three most similar of the five that follow, by the Jaccard index of their words."""
-    sets = lines(Tables(spark, sf)).select("doc_id", "seq", F.array_distinct(tx.words(tx.normalize(F.col("line")))).alias("s")).filter(F.size("s") > 0)
-    near = sets.select("doc_id", "seq", "s", F.explode(F.sequence(F.col("seq") + 1, F.col("seq") + 5)).alias("clause"))
-    met = near.join(sets.select("doc_id", F.col("seq").alias("clause"), F.col("s").alias("other")), ["doc_id", "clause"])
-    similarity = F.round(F.size(F.array_intersect("s", "other")) / F.size(F.array_union("s", "other")), 9)
-    place = F.row_number().over(Window.partitionBy("doc_id", "target").orderBy(F.desc("similarity"), "clause"))
-    return met.select("doc_id", F.col("seq").alias("target"), "clause", similarity.alias("similarity")).filter("similarity >= 0.2").withColumn("place", place).filter("place <= 3")
+    near = search.next_alike(spread(Tables(spark, sf).documents.select("doc_id", "text")), 5, 0.2, 3)
+    return near.select("doc_id", "target", "clause", "similarity", "place")
 
 
 _STOPS = ("the", "and", "of", "to", "in", "a", "de", "la", "le", "der", "die", "und", "que", "el", "en")

@@ -53,3 +53,29 @@ def test_overlapping(spark, share):
     expected = {(q, *k, len(w & s), len(w)) for q, w in wanted.items() for k, s in held.items() if len(w & s) >= max(1, -(-len(w) * share // 1))}
     got = {tuple(r) for r in search.overlapping(sets, asked.select("question", "token"), ["corpus", "block"], "question", share).collect()}
     assert got == expected
+
+
+def test_next_alike_within_documents(spark):
+    rnd = random.Random(6)
+    texts = ["\n".join(" ".join(rnd.choices("abcdef", k=rnd.choice([0, 1, 3, 5]))) for _ in range(rnd.randint(1, 15))) for _ in range(80)]
+    texts += ["", "\n\n", " \na b\r\n\n\n\na B", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = set()
+    for d, text in enumerate(texts):
+        words = [set(x.lower().split()) for x in (text or "").split("\n")]
+        for i, a in enumerate(words):
+            met = [(-round(len(a & b) / len(a | b), 9), k) for k, b in enumerate(words[i + 1 : i + 6], i + 2) if a and b]
+            expected |= {(d, i + 1, k, -s, n) for n, (s, k) in enumerate(sorted(x for x in met if x[0] <= -0.2)[:3], 1)}
+    got = search.next_alike(frame, 5, 0.2, 3)
+    assert {tuple(r) for r in got.collect()} == expected
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_r14_shuffles_no_lines(spark):
+    """The lines of a document meet where they lie; at most its row is dealt out to the cores."""
+    import support
+
+    from docloom.plans.catalog import QUERIES
+
+    plan = QUERIES["r14_limiting_clauses"](spark, support.SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan

@@ -96,3 +96,12 @@ def test_latin_texts_take_the_short_way(spark):
     texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 20))) for some in ("aB-\n \t«»|·`é\xa0\x85\x1c\xad", signs) for _ in range(1500)] + ["a" + c + " " + c + "\n" + c for c in signs]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.normalize(F.col("t")).alias("n"))
     assert [(r.t, r.n, plain(r.t)) for r in found.collect() if r.n != plain(r.t)][:5] == []
+
+
+def test_words_of_are_the_normaliser_s(spark):
+    """The shorter way to a text's words, over all of Unicode and with line breaks, hyphens and Latin signs."""
+    rng = random.Random(12)
+    some = samples() + ["".join(rng.choice("aB-\n \t«»|·`é\xa0\x85\xadß½") for _ in range(rng.randint(0, 20))) for _ in range(1500)]
+    frame = spark.createDataFrame([(t,) for t in [*some, None]], "t string")
+    found = frame.select("t", tx.words_of(F.col("t")).alias("short"), tx.words(tx.normalize(F.col("t"))).alias("long")).filter("not (short <=> long)")
+    assert found.collect() == []

@@ -105,3 +105,17 @@ def test_words_of_are_the_normaliser_s(spark):
     frame = spark.createDataFrame([(t,) for t in [*some, None]], "t string")
     found = frame.select("t", tx.words_of(F.col("t")).alias("short"), tx.words(tx.normalize(F.col("t"))).alias("long")).filter("not (short <=> long)")
     assert found.collect() == []
+
+
+def test_digests_are_those_of_the_spans(spark):
+    from hashlib import md5
+
+    texts = samples(200) + ["x" * 5000 + "  é½ " + "y" * 5000]
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "s string")
+    digest = lambda x: md5(x.encode()).hexdigest()
+    for r in frame.select("s", spans.normalize_spans(F.col("s")).alias("x"), spans.span_digests(F.col("s")).alias("d")).collect():
+        if r.s is None:
+            assert r.d is None or r.d.norm is None
+            continue
+        first, last = (",".join(map(str, x)) for x in (r.x["first"], r.x["last"]))
+        assert tuple(r.d) == (len(r.x.norm), digest(r.x.norm), digest(first), digest(last))

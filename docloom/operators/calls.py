@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.scratch import Rounds
+
 TOOLS = ("contents", "open", "search", "definitions")
 
 
@@ -21,16 +23,20 @@ def answered(calls: DataFrame, nodes: DataFrame, blocks: DataFrame, lines: DataF
     """
     asked = calls.withColumn("arg", F.coalesce("arg", F.lit("")))
     of = lambda tool: asked.filter(F.col("tool") == tool)
-    wanted = lambda tool: of(tool).select("arg").distinct()
 
     known = nodes.select(F.col("node_id").alias("arg"), F.lit(True).alias("known"))
     children = nodes.filter("parent_id is not null").groupBy(F.col("parent_id").alias("arg")).agg(F.count("*").alias("n"), F.min("node_id").alias("first"))
     opened = blocks.groupBy(F.col("node_id").alias("arg")).agg(F.count("*").alias("n"), F.min_by(F.col("block_id").cast("string"), "ord").alias("first"))
     at_nodes = [of(tool).join(known, "arg", "left").join(found, "arg", "left").withColumn("error", F.when(F.col("known").isNull(), "unknown node")) for tool, found in (("contents", children), ("open", opened))]
 
-    held = lines.select("line", F.explode("words").alias("arg")).join(wanted("search"), "arg", "left_semi").groupBy("arg").agg(F.count("*").alias("n"), F.min("line").alias("first"))
-    defined = lines.select("line", F.element_at("words", 1).alias("arg")).join(wanted("definitions"), "arg", "left_semi").groupBy("arg").agg(F.count("*").alias("n"), F.min("line").alias("first"))
-    by_word = [of(tool).join(found, "arg", "left").withColumn("error", F.when(F.col("arg") == "", "empty word")) for tool, found in (("search", held), ("definitions", defined))]
+    # both tools are answered out of one pass over the words; what is asked for is few, so texts needn't be moved to meet it
+    rounds = Rounds(calls.sparkSession, "calls")
+    wanted = rounds.keep(asked.filter(F.col("tool").isin("search", "definitions")).select("arg").distinct())
+    heads = F.col("pos") == 0
+    words = lines.select("line", F.posexplode("words").alias("pos", "arg")).join(wanted, "arg", "left_semi")
+    counts = rounds.keep(words.groupBy("arg").agg(F.count("*").alias("n"), F.min("line").alias("first"), F.count_if(heads).alias("n_heads"), F.min(F.when(heads, F.col("line"))).alias("first_head")))
+    found = {"search": counts.select("arg", "n", "first"), "definitions": counts.select("arg", F.col("n_heads").alias("n"), F.col("first_head").alias("first"))}
+    by_word = [of(tool).join(answers, "arg", "left").withColumn("error", F.when(F.col("arg") == "", "empty word")) for tool, answers in found.items()]
 
     others = asked.filter(~F.coalesce(F.col("tool").isin(*TOOLS), F.lit(False))).withColumn("error", F.lit("unknown tool"))
     out = None

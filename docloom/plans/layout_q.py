@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators import calls, layout, pagetext
-from docloom.plans.base import BLOCKS, LINES, NODES, Tables, blocks, lines, nodes, norm_sql, query, words_sql
+from docloom.plans.base import BLOCKS, LINES, NODES, Tables, block_id, blocks, line_words, lines, nodes, norm_sql, query, words_sql
 
 
 def boxes(t: Tables) -> DataFrame:
@@ -308,6 +308,5 @@ def u5(spark, sf):
     for name, called in (("view", "contents"), ("click", "open"), ("purchase", "search"), ("signup", "definitions")):
         tool = F.when(kind == name, called).otherwise(tool)
     arg = F.when(kind == "view", F.concat(F.lit("n"), (F.col("user_id") % 30).cast("string"))).when(kind == "click", F.concat(F.lit("c"), F.col("event_id").cast("string"))).when(kind == "purchase", F.col("word")).otherwise(F.col("head"))
-    line = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(":"), F.lpad(F.col("seq").cast("string"), 5, "0"))
-    held = lines(t).select(line.alias("line"), F.array_distinct(tx.words(tx.normalize(F.col("line")))).alias("words")).filter(F.size("words") > 0)
+    held = line_words(t).select(block_id().alias("line"), "words")
     return calls.answered(e.select(F.col("event_id").alias("call"), tool.alias("tool"), arg.alias("arg")), nodes(t), blocks(t), held)

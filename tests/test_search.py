@@ -79,3 +79,18 @@ def test_r14_shuffles_no_lines(spark):
 
     plan = QUERIES["r14_limiting_clauses"](spark, support.SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "hashpartitioning" not in plan
+
+
+def test_calls_are_answered_out_of_one_pass(spark, monkeypatch):
+    from docloom.operators import calls
+    from docloom.scratch import Rounds
+
+    kept, keep = [], Rounds.keep
+    monkeypatch.setattr(Rounds, "keep", lambda self, frame: kept.append(frame.columns) or keep(self, frame))
+    asked = spark.createDataFrame([(1, "search", "b"), (2, "definitions", "b"), (3, "definitions", "c"), (4, "search", "x"), (5, "definitions", None), (6, "open", "n"), (7, "dig", "b")], "call long, tool string, arg string")
+    nodes = spark.createDataFrame([("n", None)], "node_id string, parent_id string")
+    blocks = spark.createDataFrame([(4, "n", 2), (5, "n", 1)], "block_id long, node_id string, ord long")
+    lines = spark.createDataFrame([("l1", ["a", "b"]), ("l2", ["b", "c"]), ("l3", ["b"])], "line string, words array<string>")
+    got = {tuple(r) for r in calls.answered(asked, nodes, blocks, lines).select("call", "ok", "n", "first", "error").collect()}
+    assert got == {(1, True, 3, "l1", None), (2, True, 2, "l2", None), (3, True, 0, None, None), (4, True, 0, None, None), (5, False, None, None, "empty word"), (6, True, 2, "5", None), (7, False, None, None, "unknown tool")}
+    assert [c for c in kept if "n_heads" in c] == [["arg", "n", "first", "n_heads", "first_head"]]

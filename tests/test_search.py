@@ -94,3 +94,12 @@ def test_calls_are_answered_out_of_one_pass(spark, monkeypatch):
     got = {tuple(r) for r in calls.answered(asked, nodes, blocks, lines).select("call", "ok", "n", "first", "error").collect()}
     assert got == {(1, True, 3, "l1", None), (2, True, 2, "l2", None), (3, True, 0, None, None), (4, True, 0, None, None), (5, False, None, None, "empty word"), (6, True, 2, "5", None), (7, False, None, None, "unknown tool")}
     assert [c for c in kept if "n_heads" in c] == [["arg", "n", "first", "n_heads", "first_head"]]
+
+
+@pytest.mark.parametrize("share", [0.5, 1.0])
+def test_overlapping_by_broadcast_and_by_shuffles(spark, share):
+    sets, _, asked = drawn(spark, 7)
+    found = [search.overlapping(sets, asked.select("question", "token"), ["corpus", "block"], "question", share, most) for most in (0, 1_000_000)]
+    assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect()))
+    # what is asked goes to the sets, which stay where they are
+    assert "hashpartitioning(corpus" not in found[1]._jdf.queryExecution().executedPlan().toString()

@@ -162,7 +162,7 @@ def terms_of(t: Tables) -> DataFrame:
 def card_hits(t: Tables) -> DataFrame:
     """ask, term, key (document), head (whether in its first line) for every term that a document contains."""
     terms = terms_of(t)
-    held = tokens(t).groupBy(F.col("doc_id").alias("key"), "token").agg(F.bool_or(F.col("seq") == 1).alias("head"))
+    held = tokens(t).select(F.col("doc_id").alias("key"), "token", (F.col("seq") == 1).alias("head"))
     return terms.join(search.term_hits(held, terms), "term")
 
 

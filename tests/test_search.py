@@ -103,3 +103,15 @@ def test_overlapping_by_broadcast_and_by_shuffles(spark, share):
     assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect()))
     # what is asked goes to the sets, which stay where they are
     assert "hashpartitioning(corpus" not in found[1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_term_hits_of_repeated_words(spark, monkeypatch):
+    """Words of texts needn't be told apart first; those that contain a term are found once and kept."""
+    from docloom.scratch import Rounds
+
+    kept, keep = [], Rounds.keep
+    monkeypatch.setattr(Rounds, "keep", lambda self, frame: kept.append(frame.columns) or keep(self, frame))
+    held = spark.createDataFrame([(1, "contract", False), (1, "contract", True), (1, "subcontracts", False), (2, "contra", False), (3, "contracts", False)], "key long, token string, head boolean")
+    terms = spark.createDataFrame([("contract",), ("absent",)], "term string")
+    assert {tuple(r) for r in search.term_hits(held, terms).collect()} == {("contract", 1, True), ("contract", 3, False)}
+    assert kept == [["term", "token"]]

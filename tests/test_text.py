@@ -119,3 +119,17 @@ def test_digests_are_those_of_the_spans(spark):
             continue
         first, last = (",".join(map(str, x)) for x in (r.x["first"], r.x["last"]))
         assert tuple(r.d) == (len(r.x.norm), digest(r.x.norm), digest(first), digest(last))
+
+
+def test_titles_of_a_word_repeated_without_end(spark, con):
+    """Leading articles go however many they are; a pattern that recurses on each would overflow the task's stack."""
+    from docloom.plans.text_q import N
+
+    rng = random.Random(4)
+    titles = ["la " * 100_000 + "Maison", "3.1 " + "Les " * 20_000 + "des", "l " * 20_000 + "lesson la", "des", "lesdes", "12. d", "", "42", "Le  la\tDu cas"]
+    titles += [" ".join(rng.choice(["le", "la", "les", "l", "de", "des", "du", "d", "dé", "l'", "lard", "de.", "7"]) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    sql = f"SELECT t, regexp_replace(b, '^((le|la|les|l|de|des|du|d)( +|$))+', '') AS title FROM (SELECT t, trim(regexp_replace({N('t')}, '^[^a-z]+', '')) AS b FROM (SELECT unnest($1) AS t))"
+    expected = dict(con.execute(sql, [titles]).fetchall())
+    found = spark.createDataFrame([(t,) for t in titles], "t string").select("t", tx.section_title(F.col("t")).alias("title"))
+    assert {r.t: r.title for r in found.collect()} == expected
+    assert expected[titles[0]] == "maison"
